@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, quality, urls
 
-QUERIES = {"op9_winnowing": decontaminate.op9_winnowing}
-ORACLE_SQL = {"op9_winnowing": decontaminate.ORACLE_SQL}
+QUERIES = {
+    "op3_bloom_cascade": urls.op3_bloom_cascade,
+    "op4_robust_outliers": quality.op4_robust_outliers,
+    "op9_winnowing": decontaminate.op9_winnowing,
+}
+ORACLE_SQL = {
+    "op3_bloom_cascade": urls.ORACLE_SQL,
+    "op9_winnowing": decontaminate.ORACLE_SQL,
+}
