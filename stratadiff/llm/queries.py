@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, urls
+from . import classifier, decontaminate, licenses, packing, quality, spans, urls
 
 QUERIES = {
+    "op2_cost_balanced": packing.op2_cost_balanced,
     "op3_bloom_cascade": urls.op3_bloom_cascade,
     "op4_robust_outliers": quality.op4_robust_outliers,
+    "op7_fuzzy_notices": licenses.op7_fuzzy_notices,
+    "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_winnowing": decontaminate.op9_winnowing,
+    "op10_pairwise_ranking": classifier.op10_pairwise_ranking,
 }
 ORACLE_SQL = {
     "op3_bloom_cascade": urls.ORACLE_SQL,
