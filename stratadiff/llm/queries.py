@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, licenses, packing, quality, spans, urls
+from . import classifier, decontaminate, jaccard, licenses, packing, quality, spans, urls
 
 QUERIES = {
+    "op1_token_group_matrix": jaccard.op1_token_group_matrix,
     "op2_cost_balanced": packing.op2_cost_balanced,
     "op3_bloom_cascade": urls.op3_bloom_cascade,
     "op4_robust_outliers": quality.op4_robust_outliers,
