@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, jaccard, licenses, packing, quality, spans, urls
+from . import chat, classifier, decontaminate, jaccard, licenses, packing, quality, spans, urls
 
 QUERIES = {
     "op1_token_group_matrix": jaccard.op1_token_group_matrix,
     "op2_cost_balanced": packing.op2_cost_balanced,
     "op3_bloom_cascade": urls.op3_bloom_cascade,
     "op4_robust_outliers": quality.op4_robust_outliers,
+    "op6_grammar_round_trip": chat.op6_grammar_round_trip,
     "op7_fuzzy_notices": licenses.op7_fuzzy_notices,
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_winnowing": decontaminate.op9_winnowing,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_bloom_cascade": urls.ORACLE_SQL,
+    "op6_grammar_round_trip": chat.ORACLE_SQL,
     "op9_winnowing": decontaminate.ORACLE_SQL,
 }
