@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, decontaminate, jaccard, licenses, packing, quality, spans, urls
+from . import chat, classifier, decontaminate, jaccard, licenses, packing, quality, shards, spans, urls
 
 QUERIES = {
     "op1_token_group_matrix": jaccard.op1_token_group_matrix,
     "op2_cost_balanced": packing.op2_cost_balanced,
     "op3_bloom_cascade": urls.op3_bloom_cascade,
     "op4_robust_outliers": quality.op4_robust_outliers,
+    "op5_label_propagation": shards.op5_label_propagation,
     "op6_grammar_round_trip": chat.op6_grammar_round_trip,
     "op7_fuzzy_notices": licenses.op7_fuzzy_notices,
     "op8_sentence_spans": spans.op8_sentence_spans,
