@@ -98,3 +98,12 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
     sha256(coalesce(t.list, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN items t ON t.doc_id IS NOT DISTINCT FROM d.doc_id
 """
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The rows of ``docs`` (all columns as they are) that share no window with ``benchmark``; nulls as in ``per_document``."""
+    known = cut(benchmark_windows(benchmark, window, k))
+    hit = _candidates(docs, known, window, k).join(known.select("fingerprint", "run"), ["fingerprint", "run"], "left_semi")
+    bad = cut(hit.select(F.xxhash64("doc_id", "text_hash").alias("key")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    return rows.join(bad, "key", "left_anti").select("row.*")
