@@ -8,7 +8,6 @@ the whole notice with at most e edits and gives the span and the edits. Work in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,47 +54,44 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-@lru_cache
-def _machine(notices: tuple[tuple[str, str, int], ...]):
-    import ahocorasick
-    import regex
-
-    machine, where = ahocorasick.Automaton(), {}
-    for i, (_, notice, edits) in enumerate(notices):
-        for at, part in seeds(notice, edits):
-            where.setdefault(part, []).append((i, at))
-    for part, places in where.items():
-        machine.add_word(part, (len(part), places))
-    machine.make_automaton()
-    return machine, [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}") for _, notice, edits in notices]
-
-
-def fuzzy(text: str, notices: tuple[tuple[str, str, int], ...]) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, edits) of the places in a cleaned text where a notice stands with its edits, by place.
-
-    Places of one notice that overlap are one place, the best match among them.
-    """
-    machine, patterns = _machine(notices)
-    windows: dict[int, list[list[int]]] = {}
-    for last, (n, places) in machine.iter(text):
-        for i, at in places:
-            _, notice, edits = notices[i]
-            a, b = max(0, last + 1 - n - at - edits), min(len(text), last + 1 - n - at + len(notice) + edits)
-            some = windows.setdefault(i, [])
-            if some and a <= some[-1][1]:
-                some[-1][0], some[-1][1] = min(a, some[-1][0]), max(b, some[-1][1])
-            else:
-                some.append([a, b])
-    found = []
-    for i, some in windows.items():
-        for a, b in some:
-            while a < b and (m := patterns[i].search(text, a, b)):
-                found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                a = max(m.end(), a + 1)
-    return sorted(found, key=lambda x: (x[1], x[0]))
-
-
-def scan(text: str | None, notices: tuple[tuple[str, str, int], ...] = tuple(NOTICES)) -> dict:
+class Search:
+    """An automaton over the parts of all notices, and a pattern for each notice; built once in each task."""
+
+    def __init__(self, notices: list[tuple[str, str, int]]):
+        import ahocorasick
+        import regex
+
+        self.notices, self.machine, where = notices, ahocorasick.Automaton(), {}
+        for i, (_, notice, edits) in enumerate(notices):
+            for at, part in seeds(notice, edits):
+                where.setdefault(part, []).append((i, at))
+        for part, places in where.items():
+            self.machine.add_word(part, (len(part), places))
+        self.machine.make_automaton()
+        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}") for _, notice, edits in notices]
+
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(notice, start, end, edits) of the places in a cleaned text where a notice stands with its edits, by place."""
+        windows: dict[int, list[list[int]]] = {}
+        for last, (n, places) in self.machine.iter(text):
+            for i, at in places:
+                _, notice, edits = self.notices[i]
+                a, b = max(0, last + 1 - n - at - edits), min(len(text), last + 1 - n - at + len(notice) + edits)
+                some = windows.setdefault(i, [])
+                if some and a <= some[-1][1]:
+                    some[-1][0], some[-1][1] = min(a, some[-1][0]), max(b, some[-1][1])
+                else:
+                    some.append([a, b])
+        found = []
+        for i, some in windows.items():
+            for a, b in some:
+                while a < b and (m := self.patterns[i].search(text, a, b)):
+                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    a = max(m.end(), a + 1)
+        return sorted(found, key=lambda x: (x[1], x[0]))
+
+
+def scan(text: str | None, search: Search) -> dict:
     """What SCHEMA names, for one text."""
     text = clean(text)
     starts, base = [], set()
@@ -106,8 +102,8 @@ def scan(text: str | None, notices: tuple[tuple[str, str, int], ...] = tuple(NOT
             base.add(label)
             at = text.find(f" {phrase} ", at + 1)
     spans, score, at, before = [], 1.0 if starts else 0.0, 0, 0
-    for i, a, b, edits in fuzzy(text, notices):
-        label, notice, _ = notices[i]
+    for i, a, b, edits in search.find(text):
+        label, notice, _ = search.notices[i]
         before, at = before + text.count(" ", at, a + 1), a + 1  # places come in order, so blanks are counted once
         spans.append({"label": label, "first_word": before - 1, "last_word": before - 1 + text.count(" ", a + 1, b) - (text[b - 1] == " "), "edits": edits})
         score = max(score, 1.0 - edits / len(notice))
@@ -124,14 +120,13 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str, int]] = NOTICES
     labels adds those of notices found with few edits; spans gives each such place. score: 1 for an exact phrase, else
     one minus the least share of edited characters, 0 without a find. Null and empty texts have no words and no label.
     """
-    fixed = tuple(notices)
-    out = docs.select("doc_id", "text").schema
-    kind = out["doc_id"].dataType.simpleString()
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(notices)
         for batch in batches:
             for some in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                found = [scan(t, fixed) for t in some.column(1).to_pylist()]
+                found = [scan(t, search) for t in some.column(1).to_pylist()]
                 columns = [some.column(0), *(pa.array([x[n] for x in found], t) for n, t in TYPES.items())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *TYPES])
 
