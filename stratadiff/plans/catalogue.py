@@ -1,4 +1,387 @@
-"""The catalogue of queries over the star schema, event and document tables."""
+"""The catalogue of queries over the star schema, event and document tables, each with the same rows in DuckDB's SQL.
 
-QUERIES: dict = {}
+Every query reads whole tables. Arrays come out as joined strings, doubles rounded, and ties are broken by all keys.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from stratadiff.functions import sets
+from stratadiff.functions import text as T
+from stratadiff.operators import diffs, edits, graphs, results, similarity
+from stratadiff.sources.readers import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- set relations -----------------------------------------------------------------------------------------------------
+def _order_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Line numbers of each order, and of the order after it, by key of order modulo 3 as a tool."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_linenumber").alias("lines"))
+    after = lines.select((F.col("k") - 1).alias("k"), F.col("lines").alias("found"))
+    return lines.join(after, "k", "left")
+
+
+_SETS = """WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY 1),
+p AS (SELECT s.k, s.a, n.a AS b FROM s LEFT JOIN s n ON n.k = s.k + 1),
+r AS (SELECT k, CASE WHEN b IS NULL THEN 'Disjoint' WHEN list_has_all(b, a) AND list_has_all(a, b) THEN 'Equal' WHEN len(b) = 0 THEN 'Disjoint'
+    WHEN list_has_all(b, a) THEN 'Subset' WHEN list_has_all(a, b) THEN 'Superset' WHEN list_has_any(a, b) THEN 'Intersecting' ELSE 'Disjoint' END AS relation FROM p)
+"""
+
+
+def _related(spark: SparkSession, d: str) -> DataFrame:
+    return _order_sets(spark, d).select("k", F.when(F.col("found").isNull(), "Disjoint").otherwise(sets.relation(F.col("lines"), F.col("found"))).alias("relation"))
+
+
+@query(_SETS + "SELECT k AS l_orderkey, relation FROM r")
+def set_relation(spark, d):
+    return _related(spark, d).select(F.col("k").alias("l_orderkey"), "relation")
+
+
+@query(_SETS + "SELECT k % 3 AS tool, " + ", ".join(f"count(*) FILTER (WHERE relation = '{r}') AS {r.lower()}" for r in sets.RELATIONS) + " FROM r GROUP BY 1")
+def relation_pivot(spark, d):
+    return results.relation_counts(_related(spark, d).withColumn("tool", F.col("k") % 3), "tool")
+
+
+@query(_SETS + "SELECT k // 8 AS case_id, CASE WHEN count(DISTINCT relation) = 1 THEN min(relation) ELSE 'Intersecting' END AS relation FROM r GROUP BY 1")
+def relation_rollup(spark, d):
+    parts = _related(spark, d).withColumn("case_id", F.floor(F.col("k") / 8))
+    return results.rolled_up(parts, ["case_id"])
+
+
+@query("""WITH t AS (SELECT l_orderkey AS k, list(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY 1), tools AS (SELECT DISTINCT l_returnflag AS tool FROM lineitem),
+f AS (SELECT l_orderkey AS k, l_returnflag AS tool, list(DISTINCT l_linenumber) AS b FROM lineitem GROUP BY 1, 2)
+SELECT t.k AS l_orderkey, tools.tool, CASE WHEN b IS NULL THEN 'Disjoint' WHEN list_has_all(b, a) THEN 'Equal' ELSE 'Superset' END AS relation FROM t CROSS JOIN tools LEFT JOIN f ON f.k = t.k AND f.tool = tools.tool""")
+def tool_comparison(spark, d):
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "tool")
+    truth = lines.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("lines"))
+    found = lines.groupBy("l_orderkey", "tool").agg(F.collect_set("l_linenumber").alias("lines"))
+    return results.compared(truth, found, lines.select("tool").distinct(), ["l_orderkey"])
+
+
+# --- counts and shares ---------------------------------------------------------------------------------------------------
+_BUCKET_SQL = "CASE " + " ".join(f"WHEN n >= {a}" + (f" AND n <= {b}" if b else "") + f" THEN {i}" for i, (_, a, b) in enumerate(results.BUCKETS)) + " END"
+
+
+@query(f"""WITH x AS (SELECT len(string_split(text, chr(10))) AS n FROM documents), c AS (SELECT {_BUCKET_SQL} AS place, count(*) AS n FROM x WHERE {_BUCKET_SQL} IS NOT NULL GROUP BY 1),
+b AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{b[0]}')" for i, b in enumerate(results.BUCKETS))}) AS t(place, bucket))
+SELECT b.place, bucket, coalesce(n, 0) AS n, coalesce(round(n * 100.0::DOUBLE / (SELECT sum(n) FROM c), 2), 0.0)::DOUBLE AS percent FROM b LEFT JOIN c USING (place)""")
+def bucket_distribution(spark, d):
+    lines = table(spark, d, "documents").select(F.size(F.split("text", "\n")).alias("n"))
+    return results.distribution(lines, F.col("n"))
+
+
+@query("SELECT lang, source, count(*) FILTER (WHERE quality = 1) AS \"right\", count(*) AS total, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*), 3) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+def accuracy_by_group(spark, d):
+    both = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id")
+    return results.accuracy(both, ["lang", "source"], F.col("quality") == 1)
+
+
+@query("SELECT lang, coalesce(n, 0) AS n, total AS of, round(coalesce(n, 0)::DOUBLE / total, 6) AS share FROM (SELECT lang, count(*) AS total FROM documents GROUP BY 1) LEFT JOIN (SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) USING (lang)")
+def conditional_ratio(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return results.conditional_shares(docs.join(table(spark, d, "labels").where("toxic = 1"), "doc_id"), docs, ["lang"])
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def having_dup(spark, d):
+    return results.repeated(table(spark, d, "documents"), ["text"])
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def first_wins(spark, d):
+    return results.first_of(table(spark, d, "documents").select("text", "doc_id"), ["text"], [F.asc("doc_id")])
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def last_wins(spark, d):
+    return results.last_of(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+
+
+@query("SELECT doc_id, quality AS a_status, guess AS b_status FROM labels JOIN (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS guess FROM documents) USING (doc_id) WHERE quality <> guess")
+def result_diff(spark, d):
+    guess = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("s"))
+    return results.disagreeing(table(spark, d, "labels").select("doc_id", F.col("quality").alias("s")), guess, "doc_id", "s")
+
+
+@query("SELECT l_partkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS links FROM lineitem GROUP BY 1")
+def collect_sorted_links(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("link"))
+    return results.links_by_key(rows, "l_partkey", "link").select("l_partkey", F.array_join("links", ",").alias("links"))
+
+
+@query("""SELECT event_type, CASE WHEN event_type = 'error' AND value > 50 THEN 'True' WHEN event_type = 'purchase' THEN 'False#0' WHEN event_type = 'error' THEN 'False#1' ELSE 'Check' END AS status, count(*) AS n,
+sum(CASE WHEN event_type = 'error' AND value > 50 OR event_type NOT IN ('purchase', 'error') THEN 1 ELSE 0 END) AS ones FROM events GROUP BY 1, 2""")
+def status_class(spark, d):
+    stderr = F.when((F.col("event_type") == "error") & (F.col("value") > 50), "Expected: 1 Received: 2").when(F.col("event_type") == "purchase", "PASS x").when(F.col("event_type") == "error", "x is not a function").otherwise("")
+    rows = table(spark, d, "events").select("event_type", T.run_status(stderr).alias("status"))
+    return rows.groupBy("event_type", "status").agg(F.count("*").alias("n"), F.sum(T.status_bit(F.col("status"))).alias("ones"))
+
+
+@query("SELECT user_id, count(DISTINCT event_id) AS commits, round(avg(value), 6) AS mean_changed FROM events GROUP BY 1")
+def commit_size_stats(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.col("event_id").alias("commit_id"), F.col("value").alias("changed"))
+    return results.commit_sizes(rows, ["user_id"]).select("user_id", "commits", F.round("mean_changed", 6).alias("mean_changed"))
+
+
+@query("SELECT lang, '& ' || n || ' (' || printf('%.2f', n * 100.0 / total) || '%)' AS cell FROM (SELECT lang, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1)")
+def report_cells(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n")).select("lang", T.table_cell(F.col("n"), docs.agg(F.count("*")).scalar()).alias("cell"))
+
+
+# --- lines and texts -----------------------------------------------------------------------------------------------------
+@query("SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE length(trim(line, chr(32) || chr(9) || chr(13))) <= 3) AS trivial, count(*) FILTER (WHERE contains(line, 'the')) AS with_the FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+def line_explode(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(T.lines_of(F.col("text"))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.trivial_line(F.col("line"))).alias("trivial"), F.count_if(F.contains("line", F.lit("the"))).alias("with_the"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, string_split(string_split(url, '/')[-1], '#')[1] AS patch, string_split(url, '#')[1] AS bare,
+regexp_extract(url, '://[^/]+/([^/]+)/([^/]+)', 1) || '@' || regexp_extract(url, '://[^/]+/([^/]+)/([^/]+)', 2) AS repo FROM pages""")
+def url_parse(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.address_host(u).alias("host"), T.patch_id(u).alias("patch"), T.without_fragment(u).alias("bare"), T.owner_and_repo(u).alias("repo"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, 'k:' || json_extract_string(props, '$.k') AS entry FROM events")
+def json_props(spark, d):
+    p = F.col("props")
+    entry = F.transform(F.map_entries(F.from_json(p, "map<string,string>")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return table(spark, d, "events").select("event_id", T.package_field(p, "k").alias("k"), F.array_join(entry, ",").alias("entry"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN trim(text, chr(10)) ELSE chr(10) || text END AS code FROM conversations""")
+def fenced_extract(spark, d):
+    c = table(spark, d, "conversations")
+    t, fence = F.col("text"), F.lit("```")
+    made = F.when(F.col("turn") % 3 == 0, t).when(F.col("turn") % 3 == 1, F.concat(F.lit("see:\n```javascript\n"), t, F.lit("\n"), fence, F.lit("\nend"))).otherwise(F.concat(fence, F.lit("\n"), t))
+    return c.select("conv_id", "turn", T.fenced(made).alias("code"))
+
+
+@query("SELECT o_orderkey, abs(date_diff('day', DATE '1995-01-01', o_orderdate::DATE)) AS gap FROM orders")
+def date_gap(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.day_gap(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("gap"))
+
+
+@query(f"""SELECT doc_id, md5({"||".join(("'The patch below fixes a vulnerability:' || chr(10)", "text", "chr(10) || 'Apply the same fix to this code of an older version:' || chr(10)", "lang", "chr(10) || 'Answer with the changed code alone.' || chr(10)"))}) AS prompt FROM documents""")
+def prompt_render(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(edits.porting_prompt(F.col("text"), F.col("lang"))).alias("prompt"))
+
+
+# --- windows -------------------------------------------------------------------------------------------------------------
+_ISLANDS = """WITH x AS (SELECT *, event_type IN ('click', 'view') AS inside FROM events),
+y AS (SELECT *, CASE WHEN inside AND NOT coalesce(lag(inside) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) THEN 1 ELSE 0 END AS fresh FROM x),
+z AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS island FROM y)
+"""
+
+
+@query(_ISLANDS + "SELECT user_id, island::BIGINT AS island, count(*) AS n, min(event_id) AS first_event FROM z WHERE inside GROUP BY 1, 2")
+def islands(spark, d):
+    e = table(spark, d, "events")
+    found = diffs.islands(e, ["user_id"], ["ts", "event_id"], F.col("event_type").isin("click", "view"))
+    return found.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT l_orderkey, min(n)::INT AS first, max(n)::INT AS last FROM (SELECT l_orderkey, n, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem)) GROUP BY l_orderkey, run")
+def merged_numbers(spark, d):
+    return diffs.merged_runs(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("""WITH x AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR role IS DISTINCT FROM lag(role) OVER w THEN 1 ELSE 0 END AS fresh FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block FROM x), z AS (SELECT conv_id, block, min(role) AS role, string_agg(text, chr(10) ORDER BY turn) AS text FROM y GROUP BY 1, 2)
+SELECT conv_id, block::BIGINT AS block, role, length(text) AS chars, length(lag(text) OVER v) AS chars_before, length(lead(text) OVER v) AS chars_after FROM z WINDOW v AS (PARTITION BY conv_id ORDER BY block)""")
+def neighbour_blocks(spark, d):
+    b = diffs.blocks_with_neighbours(table(spark, d, "conversations"), ["conv_id"], ["turn"], "role", "text")
+    return b.select("conv_id", "block", "role", *(F.char_length(c).cast("long").alias(n) for c, n in (("text", "chars"), ("before", "chars_before"), ("after", "chars_after"))))
+
+
+@query("SELECT o_custkey, o_orderkey, (sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::BIGINT AS moved FROM orders")
+def running_offset(spark, d):
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, 0)
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1)).over(w).alias("moved"))
+
+
+@query("WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) SELECT p.user_id, p.event_id, c.event_id AS mark_event_id FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts")
+def asof_nearest(spark, d):
+    e = table(spark, d, "events")
+    clicks = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    return graphs.nearest_earlier(e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("event_id")), clicks, ["user_id"], "ts", ["event_id"]).select("user_id", "event_id", "mark_event_id")
+
+
+@query("""SELECT event_id, near FROM (SELECT p.event_id, c.event_id AS near, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.value - c.value) NULLS LAST, c.event_id) AS n
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') c ON p.user_id = c.user_id) WHERE n = 1""")
+def nearest_abs(spark, d):
+    e = table(spark, d, "events")
+    p, s = e.where("event_type = 'purchase'").select("user_id", "event_id", "value"), e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("near"), F.col("value").alias("near_value"))
+    return graphs.nearest_by_distance(p, s, ["user_id"], "value", "near_value", ["near"]).select("event_id", "near")
+
+
+@query("SELECT user_id, event_id, event_type, was FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS NOT NULL AND event_type IS DISTINCT FROM was")
+def version_change(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("commit_id"), F.col("event_type").alias("version"), F.lag("event_id").over(w).alias("parent_id"))
+    edges = e.where("parent_id IS NOT NULL").select("user_id", "commit_id", "parent_id", F.lit(0).alias("parent_idx"))
+    out = graphs.version_changes(e.drop("parent_id"), edges, ["user_id"])
+    return out.select("user_id", F.col("commit_id").alias("event_id"), F.col("version").alias("event_type"), F.col("parent_version").alias("was"))
+
+
+@query("SELECT user_id, event_id, next_event FROM (SELECT user_id, event_id, lead(event_id) OVER w AS next_event, lead(event_id, 2) OVER w AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE later IS NOT NULL")
+def history_pairs(spark, d):
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), F.col("event_id").alias("commit_id"))
+    return graphs.consecutive(e, ["user_id"], "o").select("user_id", F.col("commit_id").alias("event_id"), F.col("next_commit").alias("next_event"))
+
+
+@query("SELECT user_id, pair::BIGINT AS pair, min_by(event_id, k) AS first, max_by(event_id, k) AS second FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 2 AS pair FROM events) GROUP BY 1, 2 HAVING count(*) = 2")
+def row_pairs(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("k"))
+    return results.paired_rows(e, ["user_id"], "k", "event_id")
+
+
+# --- joins ---------------------------------------------------------------------------------------------------------------
+_RANGES = "r AS (SELECT DISTINCT l_orderkey AS k, least(l_linenumber, (l_quantity::INT % 7) + 1)::INT AS a, greatest(l_linenumber, (l_quantity::INT % 7) + 1)::INT AS b FROM lineitem)"
+
+
+def _ranges(spark, d):
+    q = (F.col("l_quantity").cast("int") % 7) + 1
+    a, b = F.least("l_linenumber", q), F.greatest("l_linenumber", q)
+    r = table(spark, d, "lineitem").select("l_orderkey", a.cast("int").alias("start_line"), b.cast("int").alias("end_line")).distinct()
+    return r.withColumn("name", F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")))
+
+
+@query(f"WITH {_RANGES} SELECT o_orderkey AS l_orderkey, 4 AS line_no, coalesce((SELECT min_by(a || '-' || b, (b - a) * 100 + a) FROM r WHERE k = o_orderkey AND 4 BETWEEN a AND b), 'global') AS name FROM orders")
+def interval_innermost(spark, d):
+    points = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(4).alias("line_no"))
+    return results.innermost(points, _ranges(spark, d), ["l_orderkey"], "line_no", default="global")
+
+
+@query(f"WITH {_RANGES} SELECT o_orderkey AS l_orderkey, 4 AS line_no FROM orders WHERE NOT EXISTS (SELECT 1 FROM r WHERE k = o_orderkey AND 4 BETWEEN a AND b)")
+def outside_ranges(spark, d):
+    points = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(4).alias("line_no"))
+    return results.outside_all(points, _ranges(spark, d), ["l_orderkey"], "line_no")
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer")
+def semi_anti(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return results.in_both(c, o, ["c_custkey"]).withColumn("has_orders", F.lit(True)).unionByName(results.unprocessed(c, o, ["c_custkey"]).withColumn("has_orders", F.lit(False)))
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def checked_lookup(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    c = results.looked_up(o, table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
+    return results.looked_up(c, table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey").select("o_orderkey", "c_name", "n_name")
+
+
+@query("""SELECT a.p_partkey AS l_partkey, b.p_partkey AS r_partkey, round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) > 0.8""")
+def levenshtein_join(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    out = similarity.edit_join(p, p, ["p_brand", "p_size"], "p_name", 0.8).where("l_p_partkey < r_p_partkey")
+    return out.select(F.col("l_p_partkey").alias("l_partkey"), F.col("r_p_partkey").alias("r_partkey"), F.round("similarity", 6).alias("similarity"))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations) SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard
+FROM x a JOIN x b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def token_jaccard(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(similarity.token_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"))
+
+
+@query("""WITH q AS (SELECT label, min(vec_id) AS q FROM embeddings GROUP BY 1), p AS (SELECT q.q, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS s FROM q JOIN embeddings f ON f.vec_id = q.q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.q)
+SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS n FROM p) WHERE n <= 3""")
+def cosine_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    first = results.first_of(e, ["label"], [F.asc("vec_id")]).select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    pairs = e.join(first, "label").where("vec_id <> q").select("q", "vec_id", F.round(similarity.cosine(F.col("embedding"), F.col("v")), 6).alias("s"))
+    return pairs.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("n <= 3").drop("n")
+
+
+@query("SELECT l_orderkey, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1")
+def argmax_first(spark, d):
+    best = similarity.best_match(table(spark, d, "lineitem"), ["l_orderkey"], "l_extendedprice", ["l_linenumber", "l_partkey", "l_suppkey"])
+    return best.select("l_orderkey", "l_partkey", "l_extendedprice")
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem) SELECT a.k AS l_orderkey, a.n AS left_out, coalesce((SELECT string_agg(b.n::VARCHAR, ',' ORDER BY b.n) FROM x b WHERE b.k = a.k AND b.n <> a.n), '') AS rest FROM x a""")
+def leave_one_out(spark, d):
+    parts = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_linenumber").cast("string").alias("v")).distinct()
+    return diffs.leave_one_out(parts, "l_orderkey", "n", "v").select("l_orderkey", "left_out", F.array_join("rest", ",").alias("rest"))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS k, l_linenumber % 2 AS i, list(DISTINCT l_partkey % 10) AS s FROM lineitem GROUP BY 1, 2)
+SELECT a.k AS l_orderkey, list_sort(a.s) = list_sort(b.s) AS same, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM d a JOIN d b ON a.k = b.k AND a.i = 0 AND b.i = 1""")
+def bag_and_jaccard(spark, d):
+    s = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("i")).agg(F.collect_set(F.col("l_partkey") % 10).alias("s"))
+    both = s.where("i = 0").select("l_orderkey", F.col("s").alias("a")).join(s.where("i = 1").select("l_orderkey", F.col("s").alias("b")), "l_orderkey")
+    return both.select("l_orderkey", sets.same_bag(F.col("a"), F.col("b")).alias("same"), F.round(sets.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+# --- graphs --------------------------------------------------------------------------------------------------------------
+#: Parents in a made history: half of the id, so depths are logarithms.
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS id, c_custkey // 2 AS parent FROM customer WHERE c_custkey // 2 > 0), a AS (SELECT id, parent AS up FROM e UNION SELECT a.id, e.parent FROM a JOIN e ON a.up = e.id) SELECT id AS c_custkey, count(*) AS ancestors FROM a GROUP BY 1")
+def closure_count(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 2).alias("parent")).where("parent > 0")
+    return graphs.closure(e, "id", "parent").groupBy(F.col("child").alias("c_custkey")).agg(F.count("*").alias("ancestors"))
+
+
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS id, c_custkey // 2 AS parent FROM customer WHERE c_custkey // 2 > 0), a AS (SELECT id, parent AS up FROM e UNION SELECT a.id, e.parent FROM a JOIN e ON a.up = e.id), n AS (SELECT id, count(*) AS ancestors FROM a GROUP BY 1), v AS (SELECT id FROM e UNION SELECT parent FROM e) SELECT v.id AS commit_id, coalesce(ancestors, 0) AS ancestors FROM v LEFT JOIN n USING (id)")
+def topological_depth(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 2).alias("parent")).where("parent > 0")
+    every = e.unionByName(e.select(F.col("parent").alias("id"), F.lit(None).cast("long").alias("parent")))
+    n = graphs.closure(e, "id", "parent").groupBy(F.col("child").alias("commit_id")).agg(F.count("*").alias("ancestors"))
+    return every.select(F.col("id").alias("commit_id")).distinct().join(n, "commit_id", "left").na.fill(0, ["ancestors"])
+
+
+@query("SELECT c_custkey, (SELECT min(b.c_custkey) FROM customer b WHERE b.c_custkey % 97 = a.c_custkey % 97) AS c FROM customer a")
+def components(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") % 97).alias("g"))
+    chain = c.withColumn("b", F.coalesce(F.lag("a").over(W.partitionBy("g").orderBy("a")), F.col("a")))
+    return graphs.components(chain.select("a", "b")).select(F.col("v").alias("c_custkey"), "c")
+
+
+# --- by Arrow batches: no SQL --------------------------------------------------------------------------------------------
+def _first_lines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.split("text", "\n").alias("l"))
+    return docs.select("doc_id", "lang", "source", F.get("l", 0).alias("a"), F.coalesce(F.get("l", 1), F.lit("")).alias("b"))
+
+
+@query()
+def seqmatch_ratio(spark, d):
+    return _first_lines(spark, d).select("doc_id", F.round(similarity.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("indel"))
+
+
+@query()
+def bleu(spark, d):
+    return _first_lines(spark, d).select("doc_id", F.round(similarity.bleu(F.col("a"), F.col("b")), 6).alias("bleu"), F.round(similarity.code_bleu(F.col("a"), F.col("b")), 6).alias("code_bleu"))
+
+
+@query()
+def diff_stats(spark, d):
+    """Each document's lines against those of itself without every third: patches are made, parsed and counted."""
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    body = F.array_join(F.transform("l", lambda x, i: F.concat(F.when(i % 3 == 2, "-").otherwise(" "), x)), "\n")
+    patch = F.concat(F.format_string("--- a/x.js\n+++ b/x.js\n@@ -1,%d +1,%d @@\n", F.size("l"), F.size("l") - F.floor(F.size("l") / 3).cast("int")), body)
+    return diffs.changed_lines(diffs.diff_lines(docs.select("doc_id", patch.alias("text")), "doc_id"), "doc_id")
