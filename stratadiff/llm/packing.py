@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from .common import table
 CAPACITY, END, BLOCK = 4096, 2, 1 << 22
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Words whose ids a Python worker keeps; beyond it the store is emptied and filled anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -34,28 +35,53 @@ def cost(length: int) -> float:
 
 
 class WordTokens:
-    """The ids of texts, from the ids of the parts that blanks and line feeds separate.
+    """The ids of texts, from the ids of parts, each encoded once and kept.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts in order.
+    The tokenizer lowers case, drops white space, and never joins letters with what is no letter. So a text's ids are
+    those of its parts between blanks and line feeds in order, also with a blank put before marks that end a part
+    after a letter or digit (apostrophes stay), and, where all characters are of Latin-1, with case lowered before.
     """
 
+    #: A word that is one id, and is in no other word's ids: new parts are encoded together with it in between.
+    BETWEEN = "\U0001f602"
+    _MARKS = re.compile(r"(?<=[0-9a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+
+    def parts(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        return self._MARKS.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        alone = [p for p in new if self.BETWEEN in p or len(self.between) != 1]
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        new = [p for p in new if p not in self.known]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = [-1, *np.flatnonzero(ids == self.between[0]), len(ids)]
+            raw = ids.tobytes()
+            self.known.update((p, raw[4 * a + 4 : 4 * b]) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [self.parts(t) for t in texts]
         known = self.known
         new = list({p for some in parts for p in some if p not in known})
         if len(known) + len(new) > KEPT_WORDS:
             known.clear()
             new = list({p for some in parts for p in some})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        if new:
+            self.learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, some)), "<u4") for some in parts]
 
 
