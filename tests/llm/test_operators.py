@@ -370,9 +370,6 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(1, " ".join(prose(40, 150).split()[:15]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(d)).collect()}
     assert not got & {400, 401, 402, 403, 406} and not any(100 + i in got for i in range(25))
-    rows = spark.read.parquet(f"{d}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, rows.limit(0), str(d)).columns == rows.columns, name
 
 
 def test_digest_of_no_items():
