@@ -125,6 +125,8 @@ def statement_around(code: str, number: int) -> tuple[int, int]:
     lines = blanked(code).split("\n")
     depth, start = 0, 1
     best = min(around, key=lambda c: c[1] - c[0], default=(1, len(lines)))
+    if around and number <= len(lines) and not lines[number - 1].strip():
+        return best
     for i, text in enumerate(lines, 1):
         if depth == 0:
             start = i

@@ -51,7 +51,7 @@ def diverged(pairs: DataFrame, ancestors: DataFrame, a: str, b: str, keys: list[
 
 
 def first_parents(edges: DataFrame) -> DataFrame:
-    return edges.where("parent_idx = 0").drop("parent_idx")
+    return edges.where("parent_idx = 0 AND parent_id IS NOT NULL").drop("parent_idx")
 
 
 def between(ancestors: DataFrame, pairs: DataFrame, low: str, high: str, keys: list[str] = []) -> DataFrame:  # noqa: B006

@@ -165,7 +165,7 @@ def ratio_join(left: DataFrame, right: DataFrame, keys: list[str], text: str, le
     a = left.select([F.col(c).alias(f"l_{c}") for c in left.columns])
     b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     la, lb = F.char_length(f"l_{text}"), F.char_length(f"r_{text}")
-    joined = a.join(b, [a[f"l_{k}"].eqNullSafe(b[f"r_{k}"]) for k in keys]).where(2 * F.least(la, lb) >= least * (la + lb))
+    joined = a.join(b, [*(a[f"l_{k}"].eqNullSafe(b[f"r_{k}"]) for k in keys), 2 * F.least(la, lb) >= least * (la + lb)])
     rated = joined.withColumn("similarity", sequence_ratio(F.col(f"l_{text}"), F.col(f"r_{text}")))
     return rated.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
 
