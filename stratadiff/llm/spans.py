@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-A span is a run of consecutive sentences: from each sentence on, the least number of sentences, two at least, that have
+A span is a run of consecutive sentences (long ones cut into parts): from each sentence on, the least number of sentences, two at least, that have
 ``LEAST_WORDS`` words together, and likewise back from each sentence (so the end of a repeated passage is covered).
 All spans are hashed and joined globally; a span's first place is that in the document of the lowest key, and sentences
 that any later place covers are removed. Pairs of hash and document are aggregated on each partition first; what comes
@@ -26,8 +26,21 @@ LEAST_WORDS, LEAST_SENTENCES = 24, 2
 _EDGE = re.compile(r"(?<=[.!?][\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=\n)(?=[^\x20\x09-\x0D])")
 
 
+#: A sentence of more words is cut after each so many, so a passage without marks is several sentences too.
+MOST_WORDS = 20
+_WORDS = re.compile(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}" % MOST_WORDS)
+
+
 def sentences(text: str | None) -> list[str]:
-    return _EDGE.split(text) if text else []
+    out = []
+    for part in _EDGE.split(text) if text else ():
+        at = 0
+        if len(part) > 2 * MOST_WORDS:
+            while (m := _WORDS.match(part, at)) and m.end() < len(part):
+                out.append(m[0])
+                at = m.end()
+        out.append(part[at:])
+    return out
 
 
 def spans(text: str | None, least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> list[tuple[int, int, int, bool]]:
