@@ -34,30 +34,28 @@ def path_of(url: Column) -> Column:
 class Cascade:
     """Exact membership in ``listed`` for every key of ``universe``. Both have a column ``key`` without nulls.
 
-    A level takes ``EACH`` bits a key, up to ``MOST_BITS`` (8 MB, what a task is sent at most). Beyond it the bits get
+    A level takes ``EACH`` bits a key, up to ``most_bits`` (8 MB, what a task is sent at most). Beyond it the bits get
     denser and the levels more; membership stays exact, as levels are added until nothing passes. If a level no
-    longer thins out what passes, ``universe`` is too large for arrays of this size and ``Crowded`` is raised:
-    ``member`` is then to be had from a join on the key.
+    longer thins out what passes, the keys are too many for arrays of this size: then, and only then, ``mark`` joins on the key.
     """
 
-    class Crowded(ValueError):
-        pass
-
-    def __init__(self, listed: DataFrame, universe: DataFrame, seed: int = 0):
+    def __init__(self, listed: DataFrame, universe: DataFrame, seed: int = 0, most_bits: int = MOST_BITS):
         self.levels: list[tuple[DataFrame, int, int]] = []
-        inside = cut(listed.select("key").distinct())
+        self.crowded = False
+        self.listed = inside = cut(listed.select("key").distinct())
         outside = cut(universe.select("key").distinct().join(inside, "key", "left_anti"))
         n, others, depth = inside.count(), outside.count(), 0
         while n:
-            size, level = bits_for(n * HASHES, EACH // HASHES, 1 << 10, MOST_BITS), seed + depth
+            size, level = bits_for(n * HASHES, EACH // HASHES, 1 << 10, most_bits), seed + depth
             positions = inside.select(F.explode(F.array(*(self._hash(F.col("key"), level, i) for i in range(HASHES)))).alias("h"))
             bits = cut(bit_array(positions, "h", size))
             self.levels.append((bits, size, level))
             passed = cut(self._with(outside, [self.levels[-1]]).where(F.col("in")[0]).select("key"))
             inside, outside, before = passed, inside, others
             n, others, depth = passed.count(), n, depth + 1
-            if n > 0.9 * before and before > MOST_BITS // EACH:
-                raise self.Crowded(f"{n} of {before} keys pass a level of {size} bits")
+            if n > 0.9 * before and before > most_bits // EACH:
+                self.crowded = True
+                break
 
     @staticmethod
     def _hash(key: Column, level: int, i: int) -> Column:
@@ -73,8 +71,18 @@ class Cascade:
         rows = rows.select("*", F.array(*(bits.scalar() for bits, _, _ in levels)).alias("bits"))
         return rows.select(*names, let(F.col("bits"), lambda b: F.array(*(cls._in(F.col("key"), b[i], size, level) for i, (_, size, level) in enumerate(levels)))).alias("in"))
 
+    def _joined(self, rows: DataFrame, keys: str, into: str) -> DataFrame:
+        """As ``mark``, by a join; rows are numbered and written first, so a task that is run again numbers them alike."""
+        numbered = cut(rows.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")))
+        each = numbered.select("id", F.posexplode(f"row.{keys}").alias("pos", "key")).join(self.listed.withColumn("hit", F.lit(True)), "key", "left")
+        marks = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("marks"))
+        out = numbered.join(marks, "id", "left")
+        return out.select("row.*", F.coalesce(F.transform("marks", lambda m: m["hit"]), F.array().cast("array<boolean>")).alias(into))
+
     def mark(self, rows: DataFrame, keys: str, into: str) -> DataFrame:
         """``rows`` with a column ``into``: for each key of the array column ``keys``, whether it is listed."""
+        if self.crowded:
+            return self._joined(rows, keys, into)
         if not self.levels:
             return rows.select("*", F.transform(F.col(keys), lambda k: F.lit(False)).alias(into))
         names = rows.columns

@@ -208,6 +208,14 @@ def test_outliers_go_and_order_does_not_matter(spark):
     assert kept[0] == kept[1] == set(range(150))
 
 
+def test_crowded_cascade_joins(spark):
+    every = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    c = urls.Cascade(every.where("crc32(key) % 5 = 0"), every, most_bits=1 << 10)
+    rows = every.select("key", F.array("key", F.lit("k1")).alias("keys"))
+    got = c.mark(rows, "keys", "in").select("key", F.col("in")[0].alias("in"), F.size("in").alias("n"))
+    assert c.crowded and got.where("n = 2").count() == 5000 and got.where("in <> (crc32(key) % 5 = 0)").count() == 0
+
+
 def test_chi_squared():
     assert abs(quality._chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality._chi2_quantile(0.975, 2) - 7.3778) < 1e-3
 
@@ -278,7 +286,14 @@ def test_sentence_spans(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     first = {}
     order = lambda d, t: (0, d, "") if d is not None else (1, 0, t or "")
-    split = lambda t: re.split(r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=\S)", t) if t else []
+
+    def split(t):
+        out = []
+        for part in re.split(r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=\S)", t) if t else []:
+            words = re.findall(r"^\s*\S+\s*|\S+\s*", part) or [part]
+            out += ["".join(words[i : i + 20]) for i in range(0, len(words), 20)]
+        return out
+
     plain = lambda p: " ".join(p.lower().split())
 
     def runs(parts):
