@@ -21,6 +21,7 @@ from .common import cut, let, table, total, words_of
 NAMES = ["x_words", "x_length", "x_symbols", "x_repeats", "x_lines"]
 FLOORS = [1.0, 0.1, 0.5, 1.0, 1.0]
 UNIT, BIN = 1024, 64
+MOST_SENT = 20_000
 
 
 def _chi2_cdf(x: float, p: int) -> float:
@@ -161,6 +162,8 @@ def judge(stats: DataFrame, params: DataFrame, share: float = 0.75, quantile: fl
     p = len(NAMES)
     consistent = share / _chi2_cdf(_chi2_quantile(share, p), p + 2)
     limit = _chi2_quantile(quantile, p) * consistent
+    # A row for each group, some 300 bytes: sent to all tasks while that is 6 MB at most, else joined by Spark's choice.
+    params = F.broadcast(params) if params.count() <= MOST_SENT else params
     joined = stats.alias("s").join(params.alias("o"), F.col("s.lang").eqNullSafe(F.col("o.lang")) & F.col("s.source").eqNullSafe(F.col("o.source")), "left")
     joined = joined.select("s.*", "o.params", *(v.alias(k) for k, v in _vector(F.col("s.q")).items()))
     failed = base_failed(F.col("q"))
