@@ -31,6 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more: its cleaner acts when the driver collects garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, nothing else changed. Texts of ASCII alone take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -50,7 +55,7 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def crc32_signedless(text: Column) -> Column:
+def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 

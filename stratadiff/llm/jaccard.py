@@ -23,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bit_array, bit_set, bits_for, cut, table
+from .common import bit_array, bit_set, bits_for, cut, let, release, table
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hashes a Python worker keeps.
 KEPT_WORDS = 500_000
+#: Counts of nodes from which a token is in a later class of the order.
+CLASSES = [2, 4, 16, 64, 512]
 #: Documents without an id come after all others: from here on keys are made of the hash of their text.
 NO_ID = 1 << 62
 
@@ -182,26 +183,40 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     key is doc_id, or for a null doc_id a number from NO_ID on; row is a hash of doc_id and text. Null and empty texts have
     no shingle and link with nothing. Repeated rows are equal sets. Other columns are not read, whatever their names.
     """
-    signed = cut(_signed(docs, k, num, den))
-    filled = signed.where("n > 0")
-    # 1. Signatures that two different sets have, and the nodes that have one.
-    each = filled.select(F.explode("signs").alias("sign"), "node")
-    shared = cut(each.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign"))
+    # 1. Signatures that two different sets have, and the nodes that have one. Texts are signed again rather than all signatures kept.
+    every = _signed(docs, k, num, den)
+    shared = cut(every.select(F.explode("signs").alias("sign"), "node").groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign"))
+    release(docs)
     size = bits_for(shared.count(), 32, 1 << 16)
-    maybe = each.select("sign", "node", bit_array(shared, "sign", size).scalar().alias("bits")).where(bit_set(F.col("bits"), F.col("sign"), size)).select("sign", "node")
-    nodes = maybe.join(shared, "sign", "left_semi").select("node").distinct()
+    marked = every.select("key", "row", "n", "node", "signs", bit_array(shared, "sign", size).scalar().alias("bits"))
+    signed = cut(marked.select("key", "row", "n", "node", let(F.col("bits"), lambda bits: F.filter("signs", lambda x: bit_set(bits, x, size))).alias("signs")))
+    filled = signed.where("n > 0")
+    nodes = filled.select(F.explode("signs").alias("sign"), "node").join(shared, "sign", "left_semi").select("node").distinct()
     picked = cut(filled.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
-    size = bits_for(picked.count(), 16, 1 << 16)
+    size = bits_for(many := picked.count(), 16, 1 << 16)
     texts = docs.select(_row().alias("row"), "text", bit_array(picked, "row", size).scalar().alias("bits")).where(bit_set(F.col("bits"), F.col("row"), size)).select("row", "text")
-    sets = cut(_sets(texts.join(picked, "row").select("node", "text"), k).dropDuplicates(["node"]))
-    # 2. Rarest tokens first; the prefix of each node, without tokens that no other node has.
-    tokens = sets.select("node", "n", F.explode("s").alias("t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    seen = tokens.join(often, "t")
-    w = W.partitionBy("node")
-    ranked = seen.select("t", "node", "n", (F.col("n") - F.count("*").over(w)).alias("own"), F.row_number().over(w.orderBy("df", "t")).alias("rank"))
+    sets = cut(_sets(texts.join(picked, "row").select("node", "text"), k))
+    if sets.count() > many:  # only where rows repeat in full
+        sets = cut(sets.dropDuplicates(["node"]))
+    release(docs)
+    # 2. Rarest tokens first, in classes of counts told by bit arrays: an order that is the same for all nodes. A wrong hit only
+    # moves a token to a later class everywhere. The prefix of each node, without tokens that surely no other node has.
+    often = cut(sets.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 1"))
+    counts = often.agg(*(F.count_if(F.col("df") >= c).alias(f"c{c}") for c in CLASSES)).first()
+    sizes = [bits_for(counts[f"c{c}"], 16, 1 << 12) for c in CLASSES]
+    arrays = F.array(*(bit_array(often.where(F.col("df") >= c), "t", n).scalar() for c, n in zip(CLASSES, sizes, strict=True)))
+
+    def ordered(tokens: Column, bits: Column) -> Column:
+        rank = lambda t: sum((F.when(bit_set(bits[i], t, n), 1).otherwise(0) for i, n in enumerate(sizes)), F.lit(0))
+        known = F.filter(tokens, lambda t: bit_set(bits[0], t, sizes[0]))
+        return F.sort_array(F.transform(known, lambda t: F.struct(rank(t).alias("rank"), t.alias("t"))))
+
+    placed = sets.select("node", "n", "s", arrays.alias("bits")).select("node", "n", let(F.col("bits"), lambda bits: ordered(F.col("s"), bits)).alias("known"))
     reach = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("int")  # greatest position, from 0
-    prefix = cut(ranked.select("t", "node", "n", "own", (F.col("own") + F.col("rank") - 1).alias("at")).where(F.col("at") <= reach))
+    own = (F.col("n") - F.size("known")).alias("own")
+    listed = placed.select("node", "n", own, F.posexplode(F.slice("known", F.lit(1), F.greatest(F.lit(0), reach - own + 1))).alias("at", "x"))
+    prefix = cut(listed.select("x.t", "node", "n", "own", (F.col("at") + F.col("own")).alias("at")))
+    release(docs)
     # 3. One leader for each node.
     order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("node"))
     leaders = prefix.groupBy("t").agg(F.min(order).alias("leader")).select("t", "leader.share", F.col("leader.node").alias("leader"))
@@ -230,6 +245,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     pairs = opened.join(member, ["t", "g"]).where(fits("n", "room", "n_b", "n_b", "room_b")).select(F.col("node").alias("a"), "b").distinct()
     links = _verified(pairs, sets, num, den)
     linked = components(near.unionByName(cut(links)))
+    release(docs)
     # 5. From nodes back to documents.
     own = filled.groupBy("node").agg(F.min("key").alias("key")).join(linked.select(F.col("v").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     least = own.groupBy("c").agg(F.min("key").alias("least"))
@@ -246,13 +262,20 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     texts in one component, those of the least text hash. Rows without a word all stay.
     """
     found = similar(docs, k, num, den)
-    stay = cut(found.where("n_shingles = 0").groupBy("row").agg(F.lit(True).alias("every")).unionByName(found.where("n_shingles > 0 AND key = least").groupBy("least").agg(F.min("row").alias("row")).select("row", F.lit(False).alias("every")).distinct()))
-    rows = docs.select(F.struct("*").alias("all"), _row().alias("row")).join(stay, "row")
-    again = found.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").select("row")
-    if again.isEmpty():
-        return rows.select("all.*")
-    first = rows.where("NOT every").dropDuplicates(["row"])
-    return rows.where("every").unionByName(first).select("all.*")
+    full = found.where("n_shingles > 0")
+    firsts = full.where("key = least").groupBy("least").agg(F.min("row").alias("first"))
+    gone = full.join(firsts, "least").where("row <> first").select("row").distinct()
+    again = full.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").select("row")
+    # Few rows go or repeat: a bit array tells most of the others, which stay where they are.
+    doubtful = cut(gone.withColumn("goes", F.lit(True)).unionByName(again.join(gone, "row", "left_anti").withColumn("goes", F.lit(False))))
+    release(docs)
+    size = bits_for(doubtful.count(), 32, 1 << 16)
+    rows = docs.select(F.struct("*").alias("all"), _row().alias("row"), bit_array(doubtful, "row", size).scalar().alias("bits"))
+    maybe = bit_set(F.col("bits"), F.col("row"), size)
+    sure = rows.where(~maybe).select("all")
+    tried = rows.where(maybe).select("all", "row").join(doubtful, "row", "left").where("goes IS NULL OR NOT goes")
+    once = tried.where("goes IS NOT NULL").dropDuplicates(["row"]).select("all")
+    return sure.unionByName(tried.where("goes IS NULL").select("all")).unionByName(once).select("all.*")
 
 
 def op1_token_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc32_signedless, cut, table
+from .common import text_crc32, cut, table
 
 SHARDS, ROUNDS, BLOCKS, BUCKETS = 16, 6, 64, 256
 
@@ -64,7 +64,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int")
-    base = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc32_signedless(text).alias("crc"), F.xxhash64(text).alias("g"), block.alias("block")))
+    base = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), text_crc32(text).alias("crc"), F.xxhash64(text).alias("g"), block.alias("block")))
     rows = base.count()
     quotas = [rows // shards + (s < rows % shards) for s in range(shards)]
     start = F.pmod(F.col("block"), F.lit(shards)).cast("int")
