@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable
@@ -32,7 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more: its cleaner acts when the driver collects garbage."""
+    """Lets Spark drop the files of shuffles and checkpoints that nothing refers to any more: its cleaner acts when the driver
+    collects garbage, and Python's references go first."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 

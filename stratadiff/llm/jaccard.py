@@ -216,6 +216,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     own = (F.col("n") - F.size("known")).alias("own")
     listed = placed.select("node", "n", own, F.posexplode(F.slice("known", F.lit(1), F.greatest(F.lit(0), reach - own + 1))).alias("at", "x"))
     prefix = cut(listed.select("x.t", "node", "n", "own", (F.col("at") + F.col("own")).alias("at")))
+    del often, arrays, placed, listed, picked, shared, texts, marked, nodes
     release(docs)
     # 3. One leader for each node.
     order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("node"))
