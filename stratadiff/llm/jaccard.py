@@ -1,8 +1,7 @@
 """N-gram Jaccard join by token-group matrix: exact links between documents whose shingle sets are similar.
 
-1. A Python pass turns each text into its set of shingle hashes (64 bits) and into screening signatures: the set is
-   dealt by hash into more parts than similar sets can differ in, so similar sets agree in a whole part. Sets that
-   agree with no other in any part have no partner and leave.
+1. A Python pass turns each text into its set of shingle hashes (64 bits). Hashes in a fixed share of their range are
+   counted over all documents: a set with more tokens of its own than similar sets can differ in has no partner and leaves.
 2. Equal sets are one node. Of the nodes that remain, tokens are counted and ordered rarest first; a node's prefix is
    so long that two similar nodes have a common token in their prefixes. Tokens of one node alone need no row.
 3. Groups: each node is compared with one leader, the node with fewest tokens of its own among those that share its
@@ -64,54 +63,6 @@ def shingles(text: str | None, k: int, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(out)
 
 
-class Screen:
-    """Screening signatures for sets with num / den or more in common.
-
-    Sizes fall into intervals of ratio den / num, so similar sets lie in one interval or in neighbours; a set signs for
-    its own interval and for the one below. With d the most tokens in which similar sets can differ (both ways counted), a set dealt into d + 1 + m parts
-    agrees with a similar one in m + 1 parts at least. Parts without a token are not signed, unless a set has more
-    than m of them: then it signs those too, so two sets that only agree in empty parts still meet.
-    """
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.starts = num, den, [1]
-        while self.starts[-1] < 1 << 40:
-            self.starts.append(max(self.starts[-1] + 1, self.starts[-1] * den // num))
-        self.starts_array = np.array(self.starts)
-        self.parts: dict[int, tuple[int, int]] = {}
-
-    def _parts(self, interval: int) -> tuple[int, int]:
-        if interval not in self.parts:
-            low, high = self.starts[interval], self.starts[interval + 1] - 1
-            d = (self.den - self.num) * (high + high * self.den // self.num) // (self.den + self.num)
-            m, most = 0, max(1, int(low / 3.5) - d - 1)
-            while m < most:
-                p = d + 1 + m
-                empty = p * (1 - 1 / p) ** low
-                if m >= empty + 4 * empty**0.5 + 0.5:
-                    break
-                m += 1
-            self.parts[interval] = d + 1 + m, m
-        return self.parts[interval]
-
-    def sign(self, s: np.ndarray) -> np.ndarray:
-        own = int(np.searchsorted(self.starts_array, len(s), "right")) - 1
-        out = []
-        for interval in (own, own - 1):
-            if interval < 0:
-                continue
-            p, m = self._parts(interval)
-            part = ((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            tag = np.uint64((interval * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-            sums = np.add.reduceat(_mix(s + tag), first)
-            out.append(_mix(sums + part[first] * _M1 + tag))
-            if p - len(first) > m:
-                none = np.setdiff1d(np.arange(p, dtype=np.uint64), part[first])
-                out.append(_mix(none * _M2 + tag))
-        return np.concatenate(out)
-
-
 def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2))
 
@@ -120,23 +71,45 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """key, row, n (size of the set), node (hash of the set) and signatures of each document."""
+def _sampled(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """key, row, n (size of the set), node (hash of the set) and some (its hashes below ``share`` of their range) of each document."""
+    below = np.uint64(min(share, 1) * (2**64 - 2**12))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        screen, known = Screen(num, den), {}
+        known: dict[bytes, int] = {}
         with np.errstate(over="ignore"):
             for batch in batches:
-                for some in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                    sets = [shingles(t, k, known) for t in some.column(2).to_pylist()]
-                    signs = [screen.sign(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                for rows in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                    sets = [shingles(t, k, known) for t in rows.column(2).to_pylist()]
+                    some = [s[: np.searchsorted(s, below)].view(np.int64) for s in sets]
                     nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in signs])]).astype(np.int32), np.concatenate(signs))
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes), lists], ["key", "row", "n", "node", "signs"])
+                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32), np.concatenate(some))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(nodes), lists], ["key", "row", "n", "node", "some"])
 
-    return docs.select(_key().alias("key"), _row().alias("row"), F.col("text")).mapInArrow(run, "key long, row long, n int, node long, signs array<long>")
+    return docs.select(_key().alias("key"), _row().alias("row"), F.col("text")).mapInArrow(run, "key long, row long, n int, node long, some array<long>")
+
+
+def _screened(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """key, row, n, node and maybe (false: surely without a partner) of each document.
+
+    A set can do without (den - num) / den of its tokens at most if it has a similar one. So tokens of one document alone are
+    counted, among twice that share of all hashes: where they are too many, there is no partner. Copies of a text
+    have no token alone and stay, as one node.
+    """
+    every = _sampled(docs, k, 2 * (den - num) / den)
+    often = cut(every.select(F.explode("some").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t"))
+    release(docs)
+    size = bits_for(many := often.count(), 16, 1 << 16)
+    if many * 6 <= size:  # a wrong hit of the bit array only lets a set stay
+        marked = every.select("key", "row", "n", "node", "some", bit_array(often, "t", size).scalar().alias("bits"))
+        hits = let(F.col("bits"), lambda bits: F.size(F.filter("some", lambda t: bit_set(bits, t, size))))
+        counted = marked.select("key", "row", "n", "node", F.size("some").alias("tried"), hits.alias("hits"))
+    else:
+        found = every.select("row", F.explode("some").alias("t")).join(often, "t", "left_semi").groupBy("row").agg(F.count("*").alias("hits"))
+        counted = every.select("key", "row", "n", "node", F.size("some").alias("tried")).join(found, "row", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return cut(counted.select("key", "row", "n", "node", ((F.col("n") - F.col("tried") + F.col("hits")) * den >= F.col("n").cast("long") * num).alias("maybe")))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -183,16 +156,10 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     key is doc_id, or for a null doc_id a number from NO_ID on; row is a hash of doc_id and text. Null and empty texts have
     no shingle and link with nothing. Repeated rows are equal sets. Other columns are not read, whatever their names.
     """
-    # 1. Signatures that two different sets have, and the nodes that have one. Texts are signed again rather than all signatures kept.
-    every = _signed(docs, k, num, den)
-    shared = cut(every.select(F.explode("signs").alias("sign"), "node").groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign"))
-    release(docs)
-    size = bits_for(shared.count(), 32, 1 << 16)
-    marked = every.select("key", "row", "n", "node", "signs", bit_array(shared, "sign", size).scalar().alias("bits"))
-    signed = cut(marked.select("key", "row", "n", "node", let(F.col("bits"), lambda bits: F.filter("signs", lambda x: bit_set(bits, x, size))).alias("signs")))
-    filled = signed.where("n > 0")
-    nodes = filled.select(F.explode("signs").alias("sign"), "node").join(shared, "sign", "left_semi").select("node").distinct()
-    picked = cut(filled.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")))
+    # 1. The nodes that may have a partner, each with one row's text.
+    screened = _screened(docs, k, num, den)
+    filled = screened.where("n > 0")
+    picked = cut(filled.where("maybe").groupBy("node").agg(F.min("row").alias("row")))
     size = bits_for(many := picked.count(), 16, 1 << 16)
     texts = docs.select(_row().alias("row"), "text", bit_array(picked, "row", size).scalar().alias("bits")).where(bit_set(F.col("bits"), F.col("row"), size)).select("row", "text")
     sets = cut(_sets(texts.join(picked, "row").select("node", "text"), k))
@@ -216,7 +183,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     own = (F.col("n") - F.size("known")).alias("own")
     listed = placed.select("node", "n", own, F.posexplode(F.slice("known", F.lit(1), F.greatest(F.lit(0), reach - own + 1))).alias("at", "x"))
     prefix = cut(listed.select("x.t", "node", "n", "own", (F.col("at") + F.col("own")).alias("at")))
-    del often, arrays, placed, listed, picked, shared, texts, marked, nodes
+    del often, arrays, placed, listed, picked, texts
     release(docs)
     # 3. One leader for each node.
     order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("node"))
@@ -251,7 +218,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     own = filled.groupBy("node").agg(F.min("key").alias("key")).join(linked.select(F.col("v").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     least = own.groupBy("c").agg(F.min("key").alias("least"))
     placed = own.join(least, "c").select("node", "least")
-    found = signed.select("key", "row", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("key", "row")).alias("node"), (F.col("n") > 0).alias("full"))
+    found = screened.select("key", "row", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("key", "row")).alias("node"), (F.col("n") > 0).alias("full"))
     out = found.join(placed.select("node", "least", F.lit(True).alias("full")), ["node", "full"], "left")
     return out.select("key", "row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "key").alias("least"))
 

@@ -99,22 +99,13 @@ def test_one_of_each(docs, empty):
     assert jaccard.one_of_each(empty).count() == 0 and jaccard.similar(empty).count() == 0
 
 
-def test_screen_meets_every_similar_pair():
-    import numpy as np
-
-    r = np.random.default_rng(5)
-    for num in (80, 90):
-        screen = jaccard.Screen(num, 100)
-        for n in [1, 2, 5, 9, 10, 11, 19, 20, 40, 100, 400]:
-            for _ in range(20):
-                a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
-                gone = r.integers(0, n + 1)
-                for cut in range(gone):
-                    b = np.unique(np.concatenate([a[cut:], r.integers(0, 1 << 63, int(r.integers(0, n // 4 + 1)), dtype=np.uint64)]))
-                    both = len(np.intersect1d(a, b))
-                    if len(b) and 100 * both >= num * (len(a) + len(b) - both):
-                        with np.errstate(over="ignore"):
-                            assert len(np.intersect1d(screen.sign(a), screen.sign(b)))
+@pytest.mark.parametrize("joined", [False, True])
+def test_screen_keeps_partners_and_drops_others(docs, monkeypatch, joined):
+    if joined:  # as where the bit array would be too large
+        monkeypatch.setattr(jaccard, "bits_for", lambda *a: 64)
+    kept = {r.key for r in jaccard._screened(docs, 5, 80, 100).where("maybe").collect()}
+    assert kept.issuperset([0, 1, 2, 3, 4, 7, 403, 404, *range(100, 125), *range(200, 230)])
+    assert not kept & {5, 6, 405, *range(8, 60)}
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------------
