@@ -3,7 +3,13 @@
 A span is a run of consecutive sentences (long ones cut into parts): from each sentence on, the least number of sentences, two at least, that have
 ``LEAST_WORDS`` words together, and likewise back from each sentence (so the end of a repeated passage is covered).
 All spans are hashed and joined globally; a span's first place is that in the document of the lowest key, and sentences
-that any later place covers are removed. Pairs of hash and document are aggregated on each partition first; what comes
+that any later place covers are removed.
+
+Repeats of ``LEAST_RUN`` words or more are found wherever they begin, sentences or not: of any ``STEP`` windows of
+``WINDOW`` words in a row the one of the least hash is chosen, so equal runs have an equal window, and each is compared
+word by word with its first place, as far to both sides as the next chosen window can be. What a run covers beyond
+removed sentences is removed too, also parts of sentences, if it has ``LEAST_PART`` words together.
+ Pairs of hash and document are aggregated on each partition first; what comes
 back to the spans is joined on the hash, after a bit array of bounded size has dropped nearly all spans that occur
 once. The join splits a hash that a third of all documents have.
 """
@@ -11,7 +17,8 @@ once. The join splits a hash that a third of all documents have.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +29,15 @@ from pyspark.sql import functions as F
 from .common import bit_array, bit_set, bits_for, cut, table
 
 LEAST_WORDS, LEAST_SENTENCES = 24, 2
+#: Words of a run that is a repeat at any place, of its hashed windows, windows of which one is chosen, words to compare beyond one.
+LEAST_RUN, WINDOW = 50, 24
+STEP = LEAST_RUN - WINDOW + 1
+REACH = STEP - 1
+#: Fewer words together than this, at the edge of a run beside removed sentences, stay.
+LEAST_PART = 10
+#: Words whose hashes a Python worker keeps.
+KEPT_WORDS = 500_000
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Sentences make up the text: each ends after `.`, `!` or `?` with a blank, or after a line feed.
 _EDGE = re.compile(r"(?<=[.!?][\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=\n)(?=[^\x20\x09-\x0D])")
 
@@ -81,20 +97,128 @@ def spans(text: str | None, least_words: int = LEAST_WORDS, least_sentences: int
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _M1 + b
+    x = (x ^ (x >> np.uint64(30))) * _M2
+    return x ^ (x >> np.uint64(29))
+
+
+def _slid(x: np.ndarray, n: int, f: Callable) -> np.ndarray:
+    """``f`` over each ``n`` neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x, size = f(x[:-size], x[size:]), 2 * size
+    return f(x[: len(x) - n + size], x[n - size :]) if size < n else x
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in common before and after windows, from their surroundings."""
+    same = (a == b) & (a != 0)
+    return np.logical_and.accumulate(same[:, :REACH], axis=1).sum(axis=1), np.logical_and.accumulate(same[:, REACH:], axis=1).sum(axis=1)
+
+
+def windows(texts: list[str | None], known: dict[str, int], full: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, hash, first word, surroundings) of the chosen windows, and (text, first word, words) of runs that a text has before.
+
+    Surroundings are hashes of the words before (nearest first) and after; 0 where the text ends. A text's own run
+    is one that begins ``LEAST_RUN`` words or more after its first place.
+    """
+    import xxhash
+
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    words = [t.lower().split() if t else [] for t in texts]
+    words = [w if len(w) >= LEAST_RUN else [] for w in words]
+    for w in set(chain.from_iterable(words)).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    none = np.zeros(0, np.int64)
+    if not len(ends) or not ends[-1]:
+        return none, none.view(np.uint64), none, np.zeros((0, 2 * REACH), np.uint32), none, none, none
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1])
+    text = np.repeat(np.arange(len(words)), sizes)
+    grams = {1: flat}
+    for n in (1, 2, 4, 8):
+        grams[2 * n] = _joined(grams[n][:-n], grams[n][n:])
+    h = _joined(grams[16][:-8], grams[8][16:])  # WINDOW words
+    least = _slid(h, STEP, np.minimum)
+    least[np.arange(LEAST_RUN, len(flat) + 1) > ends[text[: len(least)]]] = 0  # over the end of a text
+    edge = np.zeros(REACH, np.uint64)
+    at = np.flatnonzero((_slid(np.concatenate([edge, least, edge]), STEP, np.maximum) == h) & (h != 0))
+    text, h = text[at], h[at]
+    starts = (ends - sizes)[text]
+    if not full:
+        return text, h, at - starts, np.zeros((0, 2 * REACH), np.uint32), none, none, none
+    near = np.concatenate([-1 - np.arange(REACH), WINDOW + np.arange(REACH)]) + at[:, None]
+    inside = (near >= starts[:, None]) & (near < ends[text][:, None])
+    around = np.where(inside, (flat >> np.uint64(32)).astype(np.uint32)[np.where(inside, near, 0)] | np.uint32(1), np.uint32(0))
+    order = np.lexsort((at, h, text))
+    new = np.ones(len(at), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (h[order][1:] != h[order][:-1])
+    first = np.empty(len(at), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    own = np.flatnonzero(at - at[first] >= LEAST_RUN)
+    before, after = _alike(around[own], around[first[own]])
+    long = before + WINDOW + after >= LEAST_RUN
+    own, before, after = own[long], before[long], after[long]
+    return text, h, at - starts, around, text[own], (at - starts)[own] - before, before + WINDOW + after
+
+
+def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, 100) for i in range(0, batch.num_rows, 100))
+
+
+def _hashes(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
+    """h, k for each span and chosen window. k: the document's place in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        with np.errstate(over="ignore"):
+            for some in (s for batch in batches for s in _batches(batch)):
+                texts = some.column(1).to_pylist()
+                found = [[x[0] for x in spans(t, least_words, least_sentences)] for t in texts]
+                text, h, *_ = windows(texts, known, False)
+                k = some.column(0).to_numpy()
+                h = np.concatenate([np.fromiter(chain.from_iterable(found), np.uint64), h]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([np.repeat(k, [len(x) for x in found]), k[text]]))], ["h", "k"])
+
+    return docs.select(_keys(docs)[0], F.col("text")).mapInArrow(run, "h long, k long")
+
+
 def _exploded(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
-    """h, k, r, first, n, own for each span. k: the document's place in order; r: the row."""
+    """h, k, r, first, n, own, words, around for each span and chosen window, and for each run a text has before. k: the document's place
+    in order; r: the row; words: whether first and n count words instead of sentences; around: a window's surroundings."""
+    names = ["h", "k", "r", "first", "n", "own", "words", "around"]
+
+    def rows(some: pa.RecordBatch, at: np.ndarray, h: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray, words: bool, around: pa.Array | None = None) -> pa.RecordBatch:
+        k, r = (pa.array(some.column(i).to_numpy()[at]) for i in (0, 1))
+        around = pa.nulls(len(at), pa.binary()) if around is None else around
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), k, r, pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(own, pa.bool_()), pa.array(np.full(len(at), words)), around], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = [spans(t, least_words, least_sentences) for t in some.column(2).to_pylist()]
-                sizes = np.array([len(x) for x in found])
+        known: dict[str, int] = {}
+        with np.errstate(over="ignore"):
+            for some in (s for batch in batches for s in _batches(batch)):
+                texts = some.column(2).to_pylist()
+                found = [spans(t, least_words, least_sentences) for t in texts]
                 flat = [x for each in found for x in each]
                 h, first, n, own = zip(*flat, strict=True) if flat else ((), (), (), ())
-                repeated = [np.repeat(some.column(i).to_numpy(), sizes) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), *map(pa.array, repeated), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(own, pa.bool_())], ["h", "k", "r", "first", "n", "own"])
+                yield rows(some, np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array(h, np.uint64), np.array(first), np.array(n), np.array(own, bool), False)
+                text, h, first, around, own_text, own_first, own_n = windows(texts, known)
+                bytes_ = pa.array([x.tobytes() for x in around], pa.binary())
+                yield rows(some, text, h, first, np.full(len(text), WINDOW), np.zeros(len(text), bool), True, bytes_)
+                yield rows(some, own_text, np.zeros(len(own_text), np.uint64), own_first, own_n, np.ones(len(own_text), bool), True)
+
+    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, k long, r long, first int, n int, own boolean, words boolean, around binary")
 
-    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, k long, r long, first int, n int, own boolean")
+
+def _run(first: pd.Series, around: pd.Series, other: pd.Series) -> pd.DataFrame:
+    """The words from first on that a window and its first place have in common; n is 0 for fewer than ``LEAST_RUN``."""
+    sides = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, 2 * REACH) for x in (around, other))
+    before, after = _alike(*sides)
+    n = before + WINDOW + after
+    return pd.DataFrame({"first": (first.to_numpy() - before).astype(np.int32), "n": np.where(n >= LEAST_RUN, n, 0).astype(np.int32)})
 
 
 def _keys(docs: DataFrame) -> tuple[Column, Column]:
@@ -103,13 +227,47 @@ def _keys(docs: DataFrame) -> tuple[Column, Column]:
     return k.alias("k"), F.xxhash64("doc_id", "text").alias("r")
 
 
+def _cut_at_runs(parts: list[str], gone: np.ndarray, runs: list[tuple[int, int]]) -> tuple[list[str], np.ndarray]:
+    """Sentences cut where runs of words begin and end inside them, and which are gone then."""
+    counts = [len(p.split()) for p in parts]
+    fresh = np.zeros(sum(counts), bool)
+    for first, n in runs:
+        fresh[first : first + n] = True
+    fresh &= ~np.repeat(gone, counts)
+    edges = np.flatnonzero(np.diff(fresh, prepend=False, append=False))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if b - a < LEAST_PART:
+            fresh[a:b] = False
+    out, left, at = [], [], 0
+    for part, g, n in zip(parts, gone, counts, strict=True):
+        here = fresh[at : at + n]
+        at += n
+        if not here.any() or here.all():
+            out.append(part)
+            left.append(bool(g or here.any()))
+            continue
+        starts = [0, *(m.start() for m in re.finditer(r"\S+", part))][2:]
+        starts = [0, *starts, len(part)]
+        edges = [0, *(np.flatnonzero(np.diff(here)) + 1), n]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            out.append(part[starts[a] : starts[b]])
+            left.append(bool(here[a]))
+    return out, np.array(left, bool)
+
+
 def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
     rows = []
     for t, some in zip(text, places, strict=True):
         parts = sentences(t)
         gone = np.zeros(len(parts), bool)
+        runs = []
         for place in some if some is not None else ():
-            gone[place["first"] : place["first"] + place["n"]] = True
+            if place["words"]:
+                runs.append((place["first"], place["n"]))
+            else:
+                gone[place["first"] : place["first"] + place["n"]] = True
+        if runs:
+            parts, gone = _cut_at_runs(parts, gone, runs)
         rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g) if parts else t, len(parts), int(gone.sum())))
     return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
@@ -119,14 +277,20 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_senten
 
     Of equal spans the one of the lowest doc_id stays (without doc_id: after all others), in a document the first.
     Rows with the same doc_id count as one document: they lose what other documents have before and what they repeat
-    themselves, not what they share. Null and empty texts have no sentence and stay; an empty table stays empty.
+    themselves, not what they share. Null and empty texts have no sentence and stay; an empty table stays empty. Where a run
+    of words begins or ends inside a sentence and the part in it goes, each part counts as a sentence.
     """
     every = _exploded(docs, least_words, least_sentences)
-    known = cut(every.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("h", "low"))
+    known = cut(_hashes(docs, least_words, least_sentences).groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("h", "low"))
     size = bits_for(known.count(), 12, 1 << 16)
     maybe = every.select("*", bit_array(known, "h", size).scalar().alias("bits")).where(F.col("own") | bit_set(F.col("bits"), F.col("h"), size)).drop("bits")
-    again = maybe.join(known, "h", "left").where(F.col("own") | (F.col("low") < F.col("k")))
-    places = again.groupBy("r").agg(F.collect_set(F.struct("first", "n")).alias("places"))
+    again = maybe.join(known, "h", "left").where(F.col("own") | (F.col("low") < F.col("k")) | (F.col("words") & (F.col("low") == F.col("k"))))
+    again = cut(again.select("h", "r", "first", "n", "words", "around", (F.col("own") | (F.col("low") < F.col("k"))).alias("later")))
+    firsts = again.where("NOT later").groupBy("h").agg(F.min(F.struct("r", "first", "around")).alias("x")).select("h", F.col("x.around").alias("other"))
+    run = F.pandas_udf(_run, "first int, n int")
+    runs = again.where("later AND around IS NOT NULL").join(firsts, "h").select("r", run("first", "around", "other").alias("x")).where("x.n > 0")
+    places = again.where("later AND around IS NULL").select("r", "words", "first", "n").unionByName(runs.select("r", F.lit(True).alias("words"), "x.first", "x.n"))
+    places = places.groupBy("r").agg(F.collect_set(F.struct("words", "first", "n")).alias("places"))
     rows = docs.select(F.struct("*").alias("row"), _keys(docs)[1])
     without = F.pandas_udf(_without, "text string, n_sentences long, n_removed long")
     return rows.join(places, "r", "left").select("row", without("row.text", "places").alias("left"))
