@@ -363,19 +363,21 @@ def components(spark, d):
 
 
 # --- by Arrow batches: no SQL --------------------------------------------------------------------------------------------
-def _first_lines(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.split("text", "\n").alias("l"))
-    return docs.select("doc_id", "lang", "source", F.get("l", 0).alias("a"), F.coalesce(F.get("l", 1), F.lit("")).alias("b"))
+def _next_lines(spark, d):
+    """Every line (from 0) of each document with the line after it; a document of one line has it with an empty one, one without text a row of nulls."""
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    pairs = F.transform(F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(1))), lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get("l", i + 1), F.lit("")).alias("b")))
+    return docs.select("doc_id", F.posexplode_outer(pairs).alias("line", "p")).select("doc_id", "line", "p.a", "p.b")
 
 
 @query()
 def seqmatch_ratio(spark, d):
-    return _first_lines(spark, d).select("doc_id", F.round(similarity.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("indel"))
+    return _next_lines(spark, d).select("doc_id", "line", F.round(similarity.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"), F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 6).alias("indel"))
 
 
 @query()
 def bleu(spark, d):
-    return _first_lines(spark, d).select("doc_id", F.round(similarity.bleu(F.col("a"), F.col("b")), 6).alias("bleu"), F.round(similarity.code_bleu(F.col("a"), F.col("b")), 6).alias("code_bleu"))
+    return _next_lines(spark, d).select("doc_id", "line", F.round(similarity.bleu(F.col("a"), F.col("b")), 6).alias("bleu"), F.round(similarity.code_bleu(F.col("a"), F.col("b")), 6).alias("code_bleu"))
 
 
 @query()
