@@ -150,7 +150,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """key, row, n_shingles, least for each row of ``docs``: least is the least key in the row's component.
+    """key, row, n_shingles, least, component for each row of ``docs``: least is the least key in the row's component, component a
+    number of its own (null without a shingle), as components can have their least key in common where keys repeat.
 
     Two rows link if their sets of distinct shingles of ``k`` words have num / den or more of their union in common.
     key is doc_id, or for a null doc_id a number from NO_ID on; row is a hash of doc_id and text. Null and empty texts have
@@ -217,10 +218,10 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     # 5. From nodes back to documents.
     own = filled.groupBy("node").agg(F.min("key").alias("key")).join(linked.select(F.col("v").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     least = own.groupBy("c").agg(F.min("key").alias("least"))
-    placed = own.join(least, "c").select("node", "least")
+    placed = own.join(least, "c").select("node", "least", "c")
     found = screened.select("key", "row", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("key", "row")).alias("node"), (F.col("n") > 0).alias("full"))
-    out = found.join(placed.select("node", "least", F.lit(True).alias("full")), ["node", "full"], "left")
-    return out.select("key", "row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "key").alias("least"))
+    out = found.join(placed.select("node", "least", "c", F.lit(True).alias("full")), ["node", "full"], "left")
+    return out.select("key", "row", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "key").alias("least"), F.col("c").alias("component"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -231,8 +232,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     """
     found = similar(docs, k, num, den)
     full = found.where("n_shingles > 0")
-    firsts = full.where("key = least").groupBy("least").agg(F.min("row").alias("first"))
-    gone = full.join(firsts, "least").where("row <> first").select("row").distinct()
+    firsts = full.where("key = least").groupBy("component").agg(F.min("row").alias("first"))
+    gone = full.join(firsts, "component").where("row <> first").select("row").distinct()
     again = full.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").select("row")
     # Few rows go or repeat: a bit array tells most of the others, which stay where they are.
     doubtful = cut(gone.withColumn("goes", F.lit(True)).unionByName(again.join(gone, "row", "left_anti").withColumn("goes", F.lit(False))))
