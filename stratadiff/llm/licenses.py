@@ -85,9 +85,12 @@ class Search:
         found = []
         for i, some in windows.items():
             for a, b in some:
-                while a < b and (m := self.patterns[i].search(text, a, b)):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    a = max(m.end(), a + 1)
+                left = [(a, b)]  # the best place of each stretch, then what is before and after it
+                while left:
+                    a, b = left.pop()
+                    if a < b and (m := self.patterns[i].search(text, a, b)):
+                        found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        left += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
         return sorted(found, key=lambda x: (x[1], x[0]))
 
 
