@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,21 +115,22 @@ def consecutive(history: DataFrame, keys: list[str], order: str, all_pairs: bool
     return (paired if all_pairs else paired.where("__after IS NOT NULL")).drop("__after")
 
 
-def walk_back(start: DataFrame, steps: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+def walk_back(start: DataFrame, steps: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """Follows lines back through history: start and steps have keys, commit_id, line_no; steps also from_commit, from_line.
 
     A step leads from (from_commit, from_line) to the earlier (commit_id, line_no). Returns every (keys, commit_id, line_no) reached with
-    its depth. Stops when a round reaches nothing new, so cycles end.
+    its depth. Stops when a round reaches nothing new, so cycles end; a walk of more than ``most`` rounds, where given, is an error.
     """
     seen = _cut(start.select(*keys, "commit_id", "line_no", F.lit(0).alias("depth")).distinct())
     edge = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         back = edge.select(*keys, F.col("commit_id").alias("from_commit"), F.col("line_no").alias("from_line")).join(steps, [*keys, "from_commit", "from_line"])
         edge = _cut(back.select(*keys, "commit_id", "line_no").distinct().join(seen, [*keys, "commit_id", "line_no"], "left_anti").withColumn("depth", F.lit(depth)))
         if edge.isEmpty():
-            break
+            return seen
+        if most is not None and depth > most:
+            raise ValueError(f"more than {most} rounds of history")
         seen = _cut(seen.unionByName(edge))
-    return seen
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
