@@ -1,17 +1,22 @@
 """Substring dedup by sliding sentence spans.
 
-A span is a run of consecutive sentences (long ones cut into parts): from each sentence on, the least number of sentences, two at least, that have
-``LEAST_WORDS`` words together, and likewise back from each sentence (so the end of a repeated passage is covered).
-All spans are hashed and joined globally; a span's first place is that in the document of the lowest key, and sentences
-that any later place covers are removed.
+A span is a run of consecutive sentences (long ones cut into parts): from each sentence on, the least number of sentences, two at
+least, that have ``LEAST_WORDS`` words together, and likewise back from each sentence (so the end of a repeated passage is
+covered). Every longer run is made up of these, so what repeats over more sentences is found by its parts. All spans are hashed
+and joined globally; a span's first place is that in the document of the lowest key, and sentences that any later place covers
+are removed.
 
 Repeats of ``LEAST_RUN`` words or more are found wherever they begin, sentences or not: of any ``STEP`` windows of
 ``WINDOW`` words in a row the one of the least hash is chosen, so equal runs have an equal window, and each is compared
 word by word with its first place, as far to both sides as the next chosen window can be. What a run covers beyond
 removed sentences is removed too, also parts of sentences, if it has ``LEAST_PART`` words together.
- Pairs of hash and document are aggregated on each partition first; what comes
-back to the spans is joined on the hash, after a bit array of bounded size has dropped nearly all spans that occur
-once. The join splits a hash that a third of all documents have.
+
+1. One Python pass writes a row of hashes for each document; documents and hashes are aggregated on each partition before the
+   shuffle that tells which hashes two documents have.
+2. Bit arrays of bounded size pick the documents that may hold such a hash. Only these are read again, with the places and
+   surroundings of their spans; a bit array drops most spans that occur once, and a join, which splits a hash that a
+   third of all documents have, settles the rest. A second hash of 64 bits must agree with the first place's.
+3. Texts of documents that lose something, and of few others, are shuffled to their places; all others stay where they are.
 """
 
 from __future__ import annotations
@@ -26,81 +31,111 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_array, bit_set, bits_for, cut, table
+from .common import bit_array, bit_set, bits_for, cut, let, table
 
 LEAST_WORDS, LEAST_SENTENCES = 24, 2
+#: A sentence of more words is cut after each so many, so a passage without marks is several sentences too.
+MOST_WORDS = 20
 #: Words of a run that is a repeat at any place, of its hashed windows, windows of which one is chosen, words to compare beyond one.
 LEAST_RUN, WINDOW = 50, 24
 STEP = LEAST_RUN - WINDOW + 1
 REACH = STEP - 1
 #: Fewer words together than this, at the edge of a run beside removed sentences, stay.
 LEAST_PART = 10
-#: Words whose hashes a Python worker keeps.
-KEPT_WORDS = 500_000
+#: Words whose hashes a Python worker keeps; characters of texts that it works on at a time (one text at least).
+KEPT_WORDS, AT_ONCE = 300_000, 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Sentences make up the text: each ends after `.`, `!` or `?` with a blank, or after a line feed.
-_EDGE = re.compile(r"(?<=[.!?][\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=\n)(?=[^\x20\x09-\x0D])")
+#: Odd numbers for hashes of runs: the sum of each word's hash times a power; the second tells runs apart that agree in the first.
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-#: A sentence of more words is cut after each so many, so a passage without marks is several sentences too.
-MOST_WORDS = 20
-_WORDS = re.compile(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}" % MOST_WORDS)
+class Words(dict):
+    """Hash of each word of lower case; its lowest bit says whether the word ends a sentence."""
 
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
-def sentences(text: str | None) -> list[str]:
-    out = []
-    for part in _EDGE.split(text) if text else ():
-        at = 0
-        if len(part) > 2 * MOST_WORDS:
-            while (m := _WORDS.match(part, at)) and m.end() < len(part):
-                out.append(m[0])
-                at = m.end()
-        out.append(part[at:])
-    return out
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in ".!?")
+        self[word] = h
+        return h
 
 
-def spans(text: str | None, least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> list[tuple[int, int, int, bool]]:
-    """(hash, first sentence, sentences, whether the text has it before) for each span. Case and white space don't count.
+class Layout:
+    """Words and sentences of some texts, one after another.
 
-    Sentences without a word belong to spans but don't begin or end one.
+    words: a hash each; ends: for each text where its words end; firsts: the first word of each sentence, and the number of
+    words after the last. A sentence ends with a word that ends in . ! or ?, with a line, and after ``MOST_WORDS`` words.
     """
-    import xxhash
-
-    plain = [" ".join(s.lower().split()) for s in sentences(text)]
-    where = [i for i, s in enumerate(plain) if s]
-    counts = [plain[i].count(" ") + 1 for i in where]
-    hashes = b"".join(xxhash.xxh64_digest(plain[i].encode("utf-8", "surrogatepass")) for i in where)
-    n, runs = len(where), {}
-    b, total = 0, 0
-    for a in range(n):  # from a on
-        while b < n and (total < least_words or b - a < least_sentences):
-            total += counts[b]
-            b += 1
-        if total < least_words or b - a < least_sentences:
-            break
-        runs[a, b] = None
-        total -= counts[a]
-    a, total = n, 0
-    for b in range(n, 0, -1):  # back from b
-        while a > 0 and (total < least_words or b - a < least_sentences):
-            a -= 1
-            total += counts[a]
-        if total < least_words or b - a < least_sentences:
-            break
-        runs[a, b] = None
-        total -= counts[b - 1]
-    out, seen = [], set()
-    for a, b in sorted(runs):
-        h = xxhash.xxh64_intdigest(hashes[8 * a : 8 * b])
-        out.append((h, where[a], where[b - 1] - where[a] + 1, h in seen))
-        seen.add(h)
-    return out
-
-
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _M1 + b
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    return x ^ (x >> np.uint64(29))
+
+    def __init__(self, texts: list[str | None], known: Words):
+        lines = [t.lower().split("\n") if t else [] for t in texts]
+        split = [line.split() for some in lines for line in some]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
+        line_ends = np.concatenate([[0], np.cumsum(counts)])
+        self.ends = line_ends[np.cumsum([len(x) for x in lines], dtype=np.int64)] if lines else np.zeros(0, np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        n = len(self.words)
+        new = np.zeros(n + 1, bool)
+        new[line_ends] = True
+        new[1:] |= (self.words & np.uint64(1)).astype(bool)
+        at = np.arange(n)
+        new = new[:n]
+        new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % MOST_WORDS == 0
+        self.firsts = np.append(np.flatnonzero(new), n)
+        self.text = np.repeat(np.arange(len(texts)), self.ends - self.starts)  # of each word
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def hashes(self, a: np.ndarray, b: np.ndarray, base: int = 0) -> np.ndarray:
+        """A hash of the words from a up to b, of each pair."""
+        if base not in self._sums:
+            powers, back = np.full(len(self.words) + 1, _BASES[base], np.uint64), np.full(len(self.words) + 1, pow(_BASES[base], -1, 1 << 64), np.uint64)
+            powers[0] = back[0] = 1
+            powers, back = np.cumprod(powers), np.cumprod(back)
+            self._sums[base] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers[:-1])]), back
+        sums, back = self._sums[base]
+        x = (sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64) * _M1
+        x = (x ^ (x >> np.uint64(30))) * _M2
+        return x ^ (x >> np.uint64(29))
+
+    def window_hashes(self, at: np.ndarray, base: int = 0) -> np.ndarray:
+        """Like ``hashes`` of the windows, but never that of a span of the same words."""
+        return ~self.hashes(at, at + WINDOW, base)
+
+    def spans(self, least_words: int, least_sentences: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first sentence of each span and the one after its last, in order."""
+        f, m = self.firsts, len(self.firsts) - 1
+        a = np.arange(m)
+        b = np.maximum(np.searchsorted(f, f[:-1] + least_words), a + least_sentences)
+        fits = b <= m
+        fits[fits] = f[b[fits]] <= self.ends[self.text[f[a[fits]]]]
+        e = np.arange(1, m + 1)
+        back = np.minimum(np.searchsorted(f, f[1:] - least_words, side="right") - 1, e - least_sentences)
+        well = back >= 0
+        well[well] = f[back[well]] >= self.starts[self.text[f[e[well] - 1]]]
+        both = np.unique(np.concatenate([a[fits] * (m + 1) + b[fits], back[well] * (m + 1) + e[well]]))
+        return both // (m + 1), both % (m + 1)
+
+    def windows(self) -> np.ndarray:
+        """The first words of the chosen windows, in order."""
+        n = len(self.words)
+        if n < LEAST_RUN:
+            return np.zeros(0, np.int64)
+        at = np.arange(n - WINDOW + 1)
+        h = self.hashes(at, at + WINDOW) | np.uint64(1)
+        least = _slid(h, STEP, np.minimum)
+        least[at[: len(least)] + LEAST_RUN > self.ends[self.text[: len(least)]]] = 0  # over the end of a text
+        edge = np.zeros(REACH, np.uint64)
+        return np.flatnonzero(_slid(np.concatenate([edge, least, edge]), STEP, np.maximum) == h)
+
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the words before each window (nearest first) and after it; 0 where the text ends."""
+        near = np.concatenate([-1 - np.arange(REACH), WINDOW + np.arange(REACH)]) + at[:, None]
+        text = self.text[at][:, None]
+        inside = (near >= self.starts[text]) & (near < self.ends[text])
+        return np.where(inside, (self.words >> np.uint64(32)).astype(np.uint32)[np.where(inside, near, 0)] | np.uint32(1), np.uint32(0))
 
 
 def _slid(x: np.ndarray, n: int, f: Callable) -> np.ndarray:
@@ -117,100 +152,87 @@ def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logical_and.accumulate(same[:, :REACH], axis=1).sum(axis=1), np.logical_and.accumulate(same[:, REACH:], axis=1).sum(axis=1)
 
 
-def windows(texts: list[str | None], known: dict[str, int], full: bool = True) -> tuple[np.ndarray, ...]:
-    """(text, hash, first word, surroundings) of the chosen windows, and (text, first word, words) of runs that a text has before.
-
-    Surroundings are hashes of the words before (nearest first) and after; 0 where the text ends. A text's own run
-    is one that begins ``LEAST_RUN`` words or more after its first place.
-    """
-    import xxhash
-
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    words = [t.lower().split() if t else [] for t in texts]
-    words = [w if len(w) >= LEAST_RUN else [] for w in words]
-    for w in set(chain.from_iterable(words)).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    sizes = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(sizes)
-    none = np.zeros(0, np.int64)
-    if not len(ends) or not ends[-1]:
-        return none, none.view(np.uint64), none, np.zeros((0, 2 * REACH), np.uint32), none, none, none
-    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1])
-    text = np.repeat(np.arange(len(words)), sizes)
-    grams = {1: flat}
-    for n in (1, 2, 4, 8):
-        grams[2 * n] = _joined(grams[n][:-n], grams[n][n:])
-    h = _joined(grams[16][:-8], grams[8][16:])  # WINDOW words
-    least = _slid(h, STEP, np.minimum)
-    least[np.arange(LEAST_RUN, len(flat) + 1) > ends[text[: len(least)]]] = 0  # over the end of a text
-    edge = np.zeros(REACH, np.uint64)
-    at = np.flatnonzero((_slid(np.concatenate([edge, least, edge]), STEP, np.maximum) == h) & (h != 0))
-    text, h = text[at], h[at]
-    starts = (ends - sizes)[text]
-    if not full:
-        return text, h, at - starts, np.zeros((0, 2 * REACH), np.uint32), none, none, none
-    near = np.concatenate([-1 - np.arange(REACH), WINDOW + np.arange(REACH)]) + at[:, None]
-    inside = (near >= starts[:, None]) & (near < ends[text][:, None])
-    around = np.where(inside, (flat >> np.uint64(32)).astype(np.uint32)[np.where(inside, near, 0)] | np.uint32(1), np.uint32(0))
-    order = np.lexsort((at, h, text))
-    new = np.ones(len(at), bool)
+def _firsts(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each place, the number of the first one with its hash in its text."""
+    order = np.lexsort((h, text))  # stable, so equal ones stay in order
+    new = np.ones(len(h), bool)
     new[1:] = (text[order][1:] != text[order][:-1]) | (h[order][1:] != h[order][:-1])
-    first = np.empty(len(at), np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-    own = np.flatnonzero(at - at[first] >= LEAST_RUN)
-    before, after = _alike(around[own], around[first[own]])
-    long = before + WINDOW + after >= LEAST_RUN
-    own, before, after = own[long], before[long], after[long]
-    return text, h, at - starts, around, text[own], (at - starts)[own] - before, before + WINDOW + after
+    first = np.empty(len(h), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+    return first
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(i, 100) for i in range(0, batch.num_rows, 100))
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``AT_ONCE`` characters."""
+    for batch in batches:
+        lengths = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + AT_ONCE, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 def _hashes(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
-    """h, k for each span and chosen window. k: the document's place in order."""
+    """k, r, hashes (of spans and chosen windows) and own (whether the document repeats itself) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Words()
         with np.errstate(over="ignore"):
-            for some in (s for batch in batches for s in _batches(batch)):
-                texts = some.column(1).to_pylist()
-                found = [[x[0] for x in spans(t, least_words, least_sentences)] for t in texts]
-                text, h, *_ = windows(texts, known, False)
-                k = some.column(0).to_numpy()
-                h = np.concatenate([np.fromiter(chain.from_iterable(found), np.uint64), h]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([np.repeat(k, [len(x) for x in found]), k[text]]))], ["h", "k"])
-
-    return docs.select(_keys(docs)[0], F.col("text")).mapInArrow(run, "h long, k long")
+            for some in _batches(batches, 2):
+                x = Layout(some.column(2).to_pylist(), known)
+                a, b = x.spans(least_words, least_sentences)
+                a, b = x.firsts[a], x.firsts[b]
+                at = x.windows()
+                text = np.concatenate([x.text[a], x.text[at]])
+                h = np.concatenate([x.hashes(a, b), x.window_hashes(at)])
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+                own = np.zeros(some.num_rows, bool)
+                own[text[~new]] = True
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=some.num_rows))])
+                lists = pa.ListArray.from_arrays(ends.astype(np.int32), h[new].view(np.int64))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), lists, pa.array(own)], ["k", "r", "hashes", "own"])
+
+    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "k long, r long, hashes array<long>, own boolean")
 
 
 def _exploded(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
-    """h, k, r, first, n, own, words, around for each span and chosen window, and for each run a text has before. k: the document's place
-    in order; r: the row; words: whether first and n count words instead of sentences; around: a window's surroundings."""
-    names = ["h", "k", "r", "first", "n", "own", "words", "around"]
+    """h, g, k, r, first, n, own, words, around for each span and chosen window, and for each run a text has before. k: the document's
+    place in order; r: the row; g: a second hash; words: whether first and n count words instead of sentences; around: a window's
+    surroundings. A text's own run is one that begins ``LEAST_RUN`` words or more after its first place."""
+    names = ["h", "g", "k", "r", "first", "n", "own", "words", "around"]
 
-    def rows(some: pa.RecordBatch, at: np.ndarray, h: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray, words: bool, around: pa.Array | None = None) -> pa.RecordBatch:
-        k, r = (pa.array(some.column(i).to_numpy()[at]) for i in (0, 1))
-        around = pa.nulls(len(at), pa.binary()) if around is None else around
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), k, r, pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(own, pa.bool_()), pa.array(np.full(len(at), words)), around], names)
+    def rows(some: pa.RecordBatch, text: np.ndarray, h: np.ndarray, g: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray, words: bool, around: np.ndarray | None = None) -> pa.RecordBatch:
+        k, r = (pa.array(some.column(i).to_numpy()[text]) for i in (0, 1))
+        size = 0 if around is None else around.shape[1] * 4
+        bytes_ = pa.nulls(len(h), pa.binary()) if around is None else pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((np.arange(len(h) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(around.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), k, r, pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(own, pa.bool_()), pa.array(np.full(len(h), words)), bytes_], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Words()
         with np.errstate(over="ignore"):
-            for some in (s for batch in batches for s in _batches(batch)):
-                texts = some.column(2).to_pylist()
-                found = [spans(t, least_words, least_sentences) for t in texts]
-                flat = [x for each in found for x in each]
-                h, first, n, own = zip(*flat, strict=True) if flat else ((), (), (), ())
-                yield rows(some, np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array(h, np.uint64), np.array(first), np.array(n), np.array(own, bool), False)
-                text, h, first, around, own_text, own_first, own_n = windows(texts, known)
-                bytes_ = pa.array([x.tobytes() for x in around], pa.binary())
-                yield rows(some, text, h, first, np.full(len(text), WINDOW), np.zeros(len(text), bool), True, bytes_)
-                yield rows(some, own_text, np.zeros(len(own_text), np.uint64), own_first, own_n, np.ones(len(own_text), bool), True)
-
-    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, k long, r long, first int, n int, own boolean, words boolean, around binary")
+            for some in _batches(batches, 2):
+                x = Layout(some.column(2).to_pylist(), known)
+                before = np.searchsorted(x.firsts, x.starts)  # sentences before each text
+                a, b = x.spans(least_words, least_sentences)
+                text, wa, wb = x.text[x.firsts[a]], x.firsts[a], x.firsts[b]
+                h = x.hashes(wa, wb)
+                yield rows(some, text, h, x.hashes(wa, wb, 1), a - before[text], b - a, _firsts(text, h) < np.arange(len(h)), False)
+                at = x.windows()
+                text, h = x.text[at], x.window_hashes(at)
+                around, first = x.around(at), _firsts(text, h)
+                yield rows(some, text, h, x.window_hashes(at, 1), at - x.starts[text], np.full(len(at), WINDOW), np.zeros(len(at), bool), True, around)
+                own = np.flatnonzero(at - at[first] >= LEAST_RUN)
+                left, right = _alike(around[own], around[first[own]])
+                long = left + WINDOW + right >= LEAST_RUN
+                own, left, right = own[long], left[long], right[long]
+                none = np.zeros(len(own), np.uint64)
+                yield rows(some, text[own], none, none, (at - x.starts[text])[own] - left, left + WINDOW + right, np.ones(len(own), bool), True)
+
+    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, g long, k long, r long, first int, n int, own boolean, words boolean, around binary")
 
 
 def _run(first: pd.Series, around: pd.Series, other: pd.Series) -> pd.DataFrame:
@@ -227,73 +249,86 @@ def _keys(docs: DataFrame) -> tuple[Column, Column]:
     return k.alias("k"), F.xxhash64("doc_id", "text").alias("r")
 
 
-def _cut_at_runs(parts: list[str], gone: np.ndarray, runs: list[tuple[int, int]]) -> tuple[list[str], np.ndarray]:
-    """Sentences cut where runs of words begin and end inside them, and which are gone then."""
-    counts = [len(p.split()) for p in parts]
-    fresh = np.zeros(sum(counts), bool)
-    for first, n in runs:
-        fresh[first : first + n] = True
-    fresh &= ~np.repeat(gone, counts)
+def without(text: str, places: list[dict], known: Words) -> tuple[str, int, int]:
+    """The text without ``places``, its sentences, and how many of them went. Parts of a sentence count as sentences."""
+    x = Layout([text], known)
+    n = len(x.words)
+    gone, fresh = np.zeros(n, bool), np.zeros(n, bool)
+    for p in places:
+        a, b = p["first"], p["first"] + p["n"]
+        if p["words"]:
+            fresh[a:b] = True
+        else:
+            gone[x.firsts[a] : x.firsts[b]] = True
+    fresh &= ~gone
     edges = np.flatnonzero(np.diff(fresh, prepend=False, append=False))
     for a, b in zip(edges[::2], edges[1::2], strict=True):
         if b - a < LEAST_PART:
             fresh[a:b] = False
-    out, left, at = [], [], 0
-    for part, g, n in zip(parts, gone, counts, strict=True):
-        here = fresh[at : at + n]
-        at += n
-        if not here.any() or here.all():
-            out.append(part)
-            left.append(bool(g or here.any()))
-            continue
-        starts = [0, *(m.start() for m in re.finditer(r"\S+", part))][2:]
-        starts = [0, *starts, len(part)]
-        edges = [0, *(np.flatnonzero(np.diff(here)) + 1), n]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            out.append(part[starts[a] : starts[b]])
-            left.append(bool(here[a]))
-    return out, np.array(left, bool)
+    gone |= fresh
+    parts = np.union1d(x.firsts[:-1], np.flatnonzero(np.diff(gone)) + 1)
+    at = [0, *(m.start() for m in re.finditer(r"\S+", text))][2:]
+    at = [0, *at, len(text)]
+    edges = np.flatnonzero(np.diff(~gone, prepend=False, append=False))
+    kept = "".join(text[at[a] : at[b]] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n else text
+    return kept, max(len(parts), 1), int(gone[parts].sum()) if n else 0
 
 
 def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, some in zip(text, places, strict=True):
-        parts = sentences(t)
-        gone = np.zeros(len(parts), bool)
-        runs = []
-        for place in some if some is not None else ():
-            if place["words"]:
-                runs.append((place["first"], place["n"]))
-            else:
-                gone[place["first"] : place["first"] + place["n"]] = True
-        if runs:
-            parts, gone = _cut_at_runs(parts, gone, runs)
-        rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g) if parts else t, len(parts), int(gone.sum())))
+    known = Words()
+    with np.errstate(over="ignore"):
+        rows = [without(t, some, known) if t and some is not None and len(some) else (t, 0, 0) for t, some in zip(text, places, strict=True)]
     return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
 
+def _count(texts: pd.Series) -> pd.Series:
+    """Sentences of each text."""
+    known, out = Words(), []
+    with np.errstate(over="ignore"):
+        for at in range(0, len(texts), 200):
+            some = texts.iloc[at : at + 200].tolist()
+            x = Layout(some, known)
+            counts = np.diff(np.searchsorted(x.firsts, np.append(x.starts, len(x.words))))
+            out.append(np.maximum(counts, [bool(t) for t in some]))
+    return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64), dtype="int64")
+
+
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """Each row of ``docs`` (all columns, as struct ``row``) with what is left, in struct ``left``: text, n_sentences, n_removed.
 
     Of equal spans the one of the lowest doc_id stays (without doc_id: after all others), in a document the first.
     Rows with the same doc_id count as one document: they lose what other documents have before and what they repeat
-    themselves, not what they share. Null and empty texts have no sentence and stay; an empty table stays empty. Where a run
-    of words begins or ends inside a sentence and the part in it goes, each part counts as a sentence.
+    themselves, not what they share. Null and empty texts have no sentence and stay; a text without words is one sentence and
+    stays; an empty table stays empty. Where a run of words begins or ends inside a sentence and the part in it goes, each part
+    counts as a sentence. Memory of a task grows with the longest text alone. Other columns may have any names.
     """
-    every = _exploded(docs, least_words, least_sentences)
-    known = cut(_hashes(docs, least_words, least_sentences).groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("h", "low"))
+    hashes = cut(_hashes(docs, least_words, least_sentences))
+    known = hashes.select(F.explode("hashes").alias("h"), "k").groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    known = cut(known.where("low < high").select("h", "low"))
     size = bits_for(known.count(), 12, 1 << 16)
+    marked = hashes.select("r", "own", "hashes", bit_array(known, "h", size).scalar().alias("bits"))
+    held = cut(marked.where(F.col("own") | let(F.col("bits"), lambda bits: F.exists("hashes", lambda h: bit_set(bits, h, size)))).select("r"))
+    few = bits_for(held.count(), 16, 1 << 16)
+    some = docs.select("doc_id", "text", _keys(docs)[1], bit_array(held, "r", few).scalar().alias("bits")).where(bit_set(F.col("bits"), F.col("r"), few)).select("doc_id", "text")
+    every = _exploded(some, least_words, least_sentences)
     maybe = every.select("*", bit_array(known, "h", size).scalar().alias("bits")).where(F.col("own") | bit_set(F.col("bits"), F.col("h"), size)).drop("bits")
-    again = maybe.join(known, "h", "left").where(F.col("own") | (F.col("low") < F.col("k")) | (F.col("words") & (F.col("low") == F.col("k"))))
-    again = cut(again.select("h", "r", "first", "n", "words", "around", (F.col("own") | (F.col("low") < F.col("k"))).alias("later")))
-    firsts = again.where("NOT later").groupBy("h").agg(F.min(F.struct("r", "first", "around")).alias("x")).select("h", F.col("x.around").alias("other"))
+    again = maybe.join(known, "h", "left").where(F.col("own") | F.col("low").isNotNull())
+    again = cut(again.select("h", "g", "r", "first", "n", "own", "words", "around", F.coalesce(F.col("low") < F.col("k"), F.lit(False)).alias("later")))
+    firsts = again.where("NOT later AND h <> 0").groupBy("h").agg(F.min(F.struct("r", "first", "g", "around")).alias("x")).select("h", F.col("x.g").alias("g"), F.col("x.around").alias("other"))
+    found = again.where("later").join(firsts, ["h", "g"])
     run = F.pandas_udf(_run, "first int, n int")
-    runs = again.where("later AND around IS NOT NULL").join(firsts, "h").select("r", run("first", "around", "other").alias("x")).where("x.n > 0")
-    places = again.where("later AND around IS NULL").select("r", "words", "first", "n").unionByName(runs.select("r", F.lit(True).alias("words"), "x.first", "x.n"))
-    places = places.groupBy("r").agg(F.collect_set(F.struct("words", "first", "n")).alias("places"))
-    rows = docs.select(F.struct("*").alias("row"), _keys(docs)[1])
-    without = F.pandas_udf(_without, "text string, n_sentences long, n_removed long")
-    return rows.join(places, "r", "left").select("row", without("row.text", "places").alias("left"))
+    runs = found.where("around IS NOT NULL AND other IS NOT NULL").select("r", run("first", "around", "other").alias("x")).where("x.n > 0")
+    places = found.where("NOT words").select("r", "words", "first", "n").unionByName(again.where("own AND NOT (later AND words)").select("r", "words", "first", "n"))
+    places = places.unionByName(runs.select("r", F.lit(True).alias("words"), "x.first", "x.n"))
+    places = cut(places.groupBy("r").agg(F.collect_set(F.struct("words", "first", "n")).alias("places")))
+    losers = bits_for(places.count(), 16, 1 << 16)
+    rows = docs.select(F.struct("*").alias("row"), _keys(docs)[1], bit_array(places, "r", losers).scalar().alias("bits"))
+    doubtful = bit_set(F.col("bits"), F.col("r"), losers)
+    count, cleaned = F.pandas_udf(_count, "long"), F.pandas_udf(_without, "text string, n_sentences long, n_removed long")
+    whole = lambda text: F.struct(text.alias("text"), count(text).alias("n_sentences"), F.lit(0).cast("long").alias("n_removed"))
+    tried = rows.where(doubtful).select("row", "r").join(places, "r", "left")
+    stay = rows.where(~doubtful).select("row").unionByName(tried.where("places IS NULL").select("row")).select("row", whole(F.col("row.text")).alias("left"))
+    return stay.unionByName(tried.where("places IS NOT NULL").select("row", cleaned("row.text", "places").alias("left")))
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
