@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: text to words, in-row bindings, bit arrays, lineage cuts."""
+"""Helpers that the training-data operators share: text to words, in-row bindings, bit arrays, lineage cuts, rows told apart."""
 
 from __future__ import annotations
 
@@ -86,3 +86,29 @@ def bits_for(keys: int, each: int, least: int = 1 << 12, most: int = 1 << 26) ->
     while size < each * keys and size < most:
         size *= 2
     return size
+
+
+#: The most rows of some 300 bytes that a join sends to all tasks: 6 MB.
+MOST_SENT = 20_000
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """``few``, cut or cheap to count, marked for broadcast if it has ``MOST_SENT`` rows at most; else Spark chooses the join."""
+    return F.broadcast(few) if few.count() <= MOST_SENT else few
+
+
+def row_ids(*names: str) -> list[Column]:
+    """row and row2: two hashes of the named columns, 128 bits together, that tell rows apart."""
+    return [F.xxhash64(*names).alias("row"), F.xxhash64(F.lit(1), *names).alias("row2")]
+
+
+def rows_without(docs: DataFrame, gone: DataFrame, ids: list[Column]) -> DataFrame:
+    """The rows of ``docs`` (all columns as they are) whose ``ids`` (row and row2) are not in ``gone`` (row, row2).
+
+    A bit array of bounded size tells most rows that stay, and these are not shuffled; a join decides on the others.
+    """
+    size = bits_for(gone.count(), 16, 1 << 16)
+    rows = docs.select(F.struct("*").alias("all"), *ids, bit_array(gone, "row", size).scalar().alias("bits"))
+    maybe = bit_set(F.col("bits"), F.col("row"), size)
+    tried = rows.where(maybe).select("all", "row", "row2").join(gone, ["row", "row2"], "left_anti")
+    return rows.where(~maybe).select("all.*").unionByName(tried.select("all.*"))

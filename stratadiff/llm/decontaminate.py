@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, bit_array, bit_set, bits_for, cut, let, table, words_of
+from .common import NOT_ALNUM, ascii_lower, bit_array, bit_set, bits_for, cut, let, rows_without, table, words_of
 
 WINDOW, K = 10, 5
+#: Repeated rows that are given back from one row at a time.
+REPEATS = 1 << 12
 
 
 def _fingerprints(words: Column, window: int, k: int) -> Column:
@@ -68,7 +70,8 @@ def per_document(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     """One row for each row of ``docs``: doc_id, text_hash, n_words, n_hit, n_items, items (array of strings).
 
     Null and empty texts have no words and no hit; null item_ids count as the item ''; items of one id are one item.
-    Rows with the same doc_id and text are judged together, and each gets the result.
+    Rows with the same doc_id and text are judged together, and each gets the result. An empty table gives no row, an empty
+    benchmark no hit. Memory of a task grows with the longest text alone; other columns may have any names.
     """
     known = cut(benchmark_windows(benchmark, window, k))
     joined = _candidates(docs, known, window, k).join(known, ["fingerprint", "run"], "left")
@@ -77,7 +80,10 @@ def per_document(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     state = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("spans", state, lambda s, x: F.struct((s["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["end"]))).alias("hit"), F.greatest(s["end"], x["end"]).alias("end")))["hit"]
     out = grouped.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"), "rows")
-    return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("col")
+    # A row for each repeated one, by blocks, so no array grows with their number.
+    blocks = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(REPEATS).cast("long"))).alias("block"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS), F.col("rows") - F.col("block"))))
+    return blocks.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", each).drop("col")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +107,11 @@ FROM d LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN item
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The rows of ``docs`` (all columns as they are) that share no window with ``benchmark``; nulls as in ``per_document``."""
+    """The rows of ``docs`` (all columns as they are) that share no window with ``benchmark``.
+
+    Nulls, empty texts and tables are taken as in ``per_document``; repeated rows fare alike, all that stay as often as they were.
+    """
     known = cut(benchmark_windows(benchmark, window, k))
     hit = _candidates(docs, known, window, k).join(known.select("fingerprint", "run"), ["fingerprint", "run"], "left_semi")
-    bad = cut(hit.select(F.xxhash64("doc_id", "text_hash").alias("key")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
-    return rows.join(bad, "key", "left_anti").select("row.*")
+    gone = cut(hit.select(F.xxhash64("doc_id", "text_hash").alias("row"), F.col("text_hash").alias("row2")).distinct())
+    return rows_without(docs, gone, [F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), F.xxhash64("text").alias("row2")])

@@ -1,27 +1,36 @@
 """Quality rules by robust multivariate outliers (DataFrame functions only).
 
 Base rules count words, symbols, repeated lines and repeated runs. Rows that pass them get a vector of transformed
-statistics. For each language and source a minimum-covariance-determinant estimate (concentration steps from medians
-and MADs) gives centre and scatter, and vectors with a squared Mahalanobis distance above a chi-squared quantile go.
-All sums are over whole numbers (1/1024 units) and all quantiles over counted bins, so results do not depend on how
-rows are dealt out, a hot source is pre-aggregated on its own partitions, and no task gathers a group.
+statistics. For each language and source a minimum-covariance-determinant estimate gives centre and scatter: concentration
+steps from three robust starts at once (medians and MADs; covariance of squashed values; covariance of spatial signs), of
+which the one that ends with the least determinant counts. Vectors with a squared Mahalanobis distance above a
+chi-squared quantile go.
+
+A step sums counts and products for each bin of distance, on each partition first, so it reads the rows once, shuffles some
+hundred bins for each group, and no task gathers a group. All sums are over whole numbers and all quantiles over counted bins,
+so results do not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, let, table, total, words_of
+from .common import cut, let, row_ids, rows_without, sent, table, total, words_of
 
 #: Vector: length, word length, symbols, repeated runs, repeated lines. FLOORS: the least standard deviation each may have.
 NAMES = ["x_words", "x_length", "x_symbols", "x_repeats", "x_lines"]
 FLOORS = [1.0, 0.1, 0.5, 1.0, 1.0]
 UNIT, BIN = 1024, 64
-MOST_SENT = 20_000
+#: Robust starts of the concentration steps, and the least share of a squared scale that the last two leave each direction.
+STARTS, LEAST_SPREAD = 3, 0.05
+#: The group of all rows; others begin with = or null.
+EVERY = "every"
+CELLS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
 def _chi2_cdf(x: float, p: int) -> float:
@@ -109,62 +118,99 @@ def _distance(params: Column) -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def _estimate(moments: DataFrame) -> DataFrame:
-    """Centre and Cholesky factor (of the scatter plus the squared floors) for each group, from exact sums."""
+def _factored(centres: DataFrame, cell: Callable[[int, int], Column]) -> DataFrame:
+    """g, start, params (centre m, Cholesky factor l of the scatter with ``cell`` at i, j) and the logarithm of its determinant."""
+    out = centres
+    for i, j in CELLS:
+        rest = cell(i, j)
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(NAMES))), 2 * F.log("l00"))
+    return out.select("g", "start", F.struct(*(f"m{i}" for i in range(len(NAMES))), *(f"l{i}{j}" for i, j in CELLS)).alias("params"), det.alias("det"))
+
+
+def _products(values: list[Column]) -> list[Column]:
+    """The count, sums s and sums of products p of whole numbers."""
+    return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(values)), *(F.sum(values[i] * values[j]).alias(f"p{i}{j}") for i, j in CELLS)]
+
+
+def _covariance(i: int, j: int, unit: int) -> Column:
     n = F.col("n").cast("double")
-    out = moments.select("*", *((F.col(f"s{i}") / UNIT / n).alias(f"m{i}") for i in range(5)))
-    for i in range(5):
-        for j in range(i + 1):
-            cell = F.col(f"p{i}{j}") / (UNIT * UNIT) / n - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                cell = F.greatest(cell, F.lit(0.0)) + FLOORS[i] ** 2
-            for k in range(j):
-                cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cell, F.lit(1e-6))) if i == j else cell / F.col(f"l{j}{j}"))
-    return out.select("g", F.struct(*(f"m{i}" for i in range(5)), *(f"l{i}{j}" for i in range(5) for j in range(i + 1))).alias("params"))
+    return F.col(f"p{i}{j}") / (unit * unit) / n - (F.col(f"s{i}") / unit / n) * (F.col(f"s{j}") / unit / n)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The robust starts for each group: g, start, params, det. rows: g and the vector."""
+    p, step, fine = len(NAMES), UNIT // BIN, 4096
+    long = rows.select("g", F.posexplode(F.array(*NAMES)).alias("i", "x"))
+    mids = cut(_quantile_bin(long.groupBy("g", "i", F.floor(F.col("x") / step).alias("bin")).agg(F.count("*").alias("n")), ["g", "i"], 0.5, "mid"))
+    away = long.join(sent(mids), ["g", "i"]).groupBy("g", "i", F.abs(F.floor(F.col("x") / step) - F.col("mid")).alias("bin")).agg(F.count("*").alias("n"))
+    both = mids.join(_quantile_bin(away, ["g", "i"], 0.5, "mad"), ["g", "i"])
+    scale = [F.sqrt((F.max(F.when(F.col("i") == i, F.col("mad"))) / BIN * 1.4826) ** 2 + FLOORS[i] ** 2).alias(f"d{i}") for i in range(p)]
+    middle = cut(both.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("mid") / BIN)).alias(f"m{i}") for i in range(p)), *scale))
+    plain = _factored(middle.withColumn("start", F.lit(0)), lambda i, j: F.col(f"d{i}") ** 2 if i == j else F.lit(0.0))
+
+    z = [(F.col(name) / UNIT - F.col(f"m{i}")) / F.col(f"d{i}") for i, name in enumerate(NAMES)]
+    norm = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    whole = lambda x: F.round(x * fine).cast("long")
+    placed = rows.join(sent(middle), "g")
+    out = plain
+    for start, values in ((1, [F.tanh(x) for x in z]), (2, [x / norm for x in z])):
+        named = placed.select("g", *(whole(x).alias(f"y{i}") for i, x in enumerate(values)))
+        sums = named.groupBy("g").agg(*_products([F.col(f"y{i}") for i in range(p)])).join(middle, "g").withColumn("start", F.lit(start))
+        cell = lambda i, j: F.col(f"d{i}") * F.col(f"d{j}") * (_covariance(i, j, fine) + (LEAST_SPREAD if i == j else 0.0))
+        out = out.unionByName(_factored(sums, cell))
+    return out
+
+
+def _concentrated(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """``params`` after one step: from the ``share`` of each group's rows that are nearest (whole bins of distance, ties included)."""
+    near = rows.join(sent(params.select("g", "start", "params")), "g").select("g", "start", *NAMES, F.floor(F.log1p(_distance(F.col("params"))) * BIN).alias("bin"))
+    bins = near.groupBy("g", "start", "bin").agg(*_products([F.col(x) for x in NAMES]))
+    w = W.partitionBy("g", "start")
+    before = F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    kept = bins.select("*", before.alias("before"), F.sum("n").over(w).alias("all")).where(F.col("before") < F.ceil(F.col("all") * share))
+    sums = kept.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(len(NAMES))), *(f"p{i}{j}" for i, j in CELLS)]))
+    centres = sums.select("*", *((F.col(f"s{i}") / UNIT / F.col("n")).alias(f"m{i}") for i in range(len(NAMES))))
+    return _factored(centres, lambda i, j: F.greatest(_covariance(i, j, UNIT), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else _covariance(i, j, UNIT))
 
 
 def fit(stats: DataFrame, share: float = 0.75, steps: int = 5, least_rows: int = 50) -> DataFrame:
-    """Centre and scatter for each group: g, params. stats: lang, source, q (see statistics).
+    """Centre and scatter for each language and source: lang, source, params. stats: lang, source, q (see statistics).
 
     Groups are a language and source; null is a value of its own. Sources with fewer than ``least_rows`` rows that pass
-    the base rules are taken together within their language; what is still smaller gets no estimate. ``share`` of a
-    group's rows (whole bins of distance, ties included) enter each of ``steps`` concentration steps.
+    the base rules are taken together within their language; where these are still fewer, the estimate is that of the whole
+    table. ``share`` of a group's rows enter each of ``steps`` concentration steps, from each of ``STARTS`` starts;
+    the least determinant wins, the lower start where they tie. Squared ``FLOORS`` are added to each variance, so that
+    a statistic that is the same in all rows has a scale. Without a row that passes the base rules there is no estimate.
     """
     passed = stats.where(~base_failed(F.col("q")))
     sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = cut(sizes.withColumn("g", F.when(F.col("n") >= least_rows, _group(F.col("lang"), F.col("source"))).otherwise(F.concat(_group(F.col("lang"), F.lit(None)), F.lit("\x00rest")))))
-    own = own.withColumn("all", F.sum("n").over(W.partitionBy("g"))).where(F.col("all") >= least_rows).select("lang", "source", "g")
-    rows = passed.alias("p").join(own.alias("o"), F.col("p.lang").eqNullSafe(F.col("o.lang")) & F.col("p.source").eqNullSafe(F.col("o.source")))
+    large, rest = F.col("n") >= least_rows, F.concat(_group(F.col("lang"), F.lit(None)), F.lit("\x00rest"))
+    own = sizes.select("lang", "source", "n", F.when(large, _group(F.col("lang"), F.col("source"))).otherwise(rest).alias("g"))
+    own = own.withColumn("all", F.sum("n").over(W.partitionBy("g")))
+    own = cut(own.select("lang", "source", F.when(F.col("all") >= least_rows, F.col("g")).otherwise(F.lit(EVERY)).alias("g")))
+    same = F.col("p.lang").eqNullSafe(F.col("o.lang")) & F.col("p.source").eqNullSafe(F.col("o.source"))
+    rows = passed.alias("p").join(sent(own).alias("o"), same)
     rows = cut(rows.select("g", *(v.alias(k) for k, v in _vector(F.col("p.q")).items())))
-
-    long = rows.select("g", F.posexplode(F.array(*NAMES)).alias("i", "x"))
-    step = UNIT // BIN
-    mids = cut(_quantile_bin(long.groupBy("g", "i", F.floor(F.col("x") / step).alias("bin")).agg(F.count("*").alias("n")), ["g", "i"], 0.5, "mid"))
-    away = long.join(mids, ["g", "i"]).groupBy("g", "i", F.abs(F.floor(F.col("x") / step) - F.col("mid")).alias("bin")).agg(F.count("*").alias("n"))
-    mads = _quantile_bin(away, ["g", "i"], 0.5, "mad")
-    start = mids.join(mads, ["g", "i"]).groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(5) for c in ("mid", "mad")))
-    factor = lambda i, j: F.sqrt((F.col(f"mad{i}") / BIN * 1.4826) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)
-    params = start.select("g", F.struct(*((F.col(f"mid{i}") / BIN).alias(f"m{i}") for i in range(5)), *(factor(i, j).alias(f"l{i}{j}") for i in range(5) for j in range(i + 1))).alias("params"))
+    if not own.where(F.col("g") == EVERY).isEmpty():
+        rows = rows.where(F.col("g") != EVERY).unionByName(rows.select(F.lit(EVERY).alias("g"), *NAMES))
+    params = cut(_starts(rows))
     for _ in range(steps):
-        params = cut(params)
-        placed = rows.join(params, "g").select("g", *NAMES, F.floor(F.log1p(_distance(F.col("params"))) * BIN).alias("bin"))
-        edge = _quantile_bin(placed.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], share, "edge")
-        kept = placed.join(edge, "g").where(F.col("bin") <= F.col("edge"))
-        sums = [F.count("*").alias("n"), *(F.sum(a).alias(f"s{i}") for i, a in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i in range(5) for j in range(i + 1))]
-        params = _estimate(kept.groupBy("g").agg(*sums))
-    return cut(own.join(params, "g").select("lang", "source", "params"))
+        params = cut(_concentrated(rows, params, share))
+    best = params.groupBy("g").agg(F.min(F.struct("det", "start", "params")).alias("x")).select("g", "x.params")
+    return cut(own.join(best, "g").select("lang", "source", "params"))
 
 
 def judge(stats: DataFrame, params: DataFrame, share: float = 0.75, quantile: float = 0.99999) -> DataFrame:
     """``stats`` with base_failed and kept. A row that passes the base rules goes if its squared distance, with the scatter
-    made consistent for ``share``, is above the chi-squared ``quantile``; rows of groups without an estimate stay."""
+    made consistent for ``share``, is above the chi-squared ``quantile``."""
     p = len(NAMES)
     consistent = share / _chi2_cdf(_chi2_quantile(share, p), p + 2)
     limit = _chi2_quantile(quantile, p) * consistent
-    # A row for each group, some 300 bytes: sent to all tasks while that is 6 MB at most, else joined by Spark's choice.
-    params = F.broadcast(params) if params.count() <= MOST_SENT else params
-    joined = stats.alias("s").join(params.alias("o"), F.col("s.lang").eqNullSafe(F.col("o.lang")) & F.col("s.source").eqNullSafe(F.col("o.source")), "left")
+    same = F.col("s.lang").eqNullSafe(F.col("o.lang")) & F.col("s.source").eqNullSafe(F.col("o.source"))
+    joined = stats.alias("s").join(sent(params).alias("o"), same, "left")
     joined = joined.select("s.*", "o.params", *(v.alias(k) for k, v in _vector(F.col("s.q")).items()))
     failed = base_failed(F.col("q"))
     far = F.coalesce(_distance(F.col("params")) > limit, F.lit(False))
@@ -174,11 +220,13 @@ def judge(stats: DataFrame, params: DataFrame, share: float = 0.75, quantile: fl
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns as they are) that pass the base rules and are no outliers of their group.
 
-    Null and empty texts fail the base rules; an empty table stays empty; equal rows fare alike.
+    Null and empty texts fail the base rules; an empty table stays empty; equal rows fare alike. A text's statistics are computed
+    once, and memory grows with the longest text alone.
     """
-    stats = docs.select(F.struct("*").alias("row"), F.col("lang").alias("lang"), F.col("source").alias("source"), statistics(F.col("text")).alias("q"))
-    params = fit(cut(stats.drop("row")))
-    return judge(stats, params).where("kept").select("row.*")
+    ids = row_ids("doc_id", "text", "lang", "source")
+    stats = cut(docs.select(*ids, "lang", "source", statistics(F.col("text")).alias("q")))
+    gone = cut(judge(stats, fit(stats)).where("NOT kept").select("row", "row2").distinct())
+    return rows_without(docs, gone, ids)
 
 
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
