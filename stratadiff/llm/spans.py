@@ -13,17 +13,17 @@ removed sentences is removed too, also parts of sentences, if it has ``LEAST_PAR
 
 1. One Python pass writes a row of hashes for each document; documents and hashes are aggregated on each partition before the
    shuffle that tells which hashes two documents have.
-2. Bit arrays of bounded size pick the documents that may hold such a hash. Only these are read again, with the places and
-   surroundings of their spans; a bit array drops most spans that occur once, and a join, which splits a hash that a
-   third of all documents have, settles the rest. A second hash of 64 bits must agree with the first place's.
-3. Texts of documents that lose something, and of few others, are shuffled to their places; all others stay where they are.
+2. Bit arrays of bounded size pick the documents that may hold such a hash. Only these are read again, with the places of their
+   spans; a bit array drops most spans that occur once, and a join, which splits a hash that a third of all documents have,
+   settles the rest.
+3. Chosen windows that sentences don't explain already, with all words that could be found from them, are compared with
+   their first places: only these are read a third time, with the words around them.
+4. Texts of documents that lose something, and of few others, are shuffled to their places; all others stay where they are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bit_array, bit_set, bits_for, cut, let, table
+from .words import Runs, Words, raw, slices
 
 LEAST_WORDS, LEAST_SENTENCES = 24, 2
 #: A sentence of more words is cut after each so many, so a passage without marks is several sentences too.
@@ -42,91 +43,57 @@ STEP = LEAST_RUN - WINDOW + 1
 REACH = STEP - 1
 #: Fewer words together than this, at the edge of a run beside removed sentences, stay.
 LEAST_PART = 10
-#: Words whose hashes a Python worker keeps; characters of texts that it works on at a time (one text at least).
-KEPT_WORDS, AT_ONCE = 300_000, 1 << 20
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Odd numbers for hashes of runs: the sum of each word's hash times a power; the second tells runs apart that agree in the first.
-_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in ".!?"]] = True
 
 
-class Words(dict):
-    """Hash of each word of lower case; its lowest bit says whether the word ends a sentence."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in ".!?")
-        self[word] = h
-        return h
-
-
-class Layout:
+class Layout(Words):
     """Words and sentences of some texts, one after another.
 
-    words: a hash each; ends: for each text where its words end; firsts: the first word of each sentence, and the number of
-    words after the last. A sentence ends with a word that ends in . ! or ?, with a line, and after ``MOST_WORDS`` words.
+    firsts: the first word of each sentence, and the number of words after the last; text: that of each word. A sentence ends with a
+    word that ends in . ! or ?, with a line, and after ``MOST_WORDS`` words. Case does not count.
     """
 
-    def __init__(self, texts: list[str | None], known: Words):
-        lines = [t.lower().split("\n") if t else [] for t in texts]
-        split = [line.split() for some in lines for line in some]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
-        line_ends = np.concatenate([[0], np.cumsum(counts)])
-        self.ends = line_ends[np.cumsum([len(x) for x in lines], dtype=np.int64)] if lines else np.zeros(0, np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        n = len(self.words)
-        new = np.zeros(n + 1, bool)
-        new[line_ends] = True
-        new[1:] |= (self.words & np.uint64(1)).astype(bool)
+    def __init__(self, texts: list[str | None]):
+        super().__init__([raw(t.lower()) if t else b"" for t in texts])
+        n = len(self.hashes)
+        new = np.ones(n, bool)
+        if n:
+            lines = np.cumsum(self.bytes == 10)
+            new[1:] = _MARKS[self.bytes[self.ends[:-1] - 1]] | (lines[self.starts[1:]] > lines[self.starts[:-1]])
         at = np.arange(n)
-        new = new[:n]
         new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % MOST_WORDS == 0
         self.firsts = np.append(np.flatnonzero(new), n)
-        self.text = np.repeat(np.arange(len(texts)), self.ends - self.starts)  # of each word
-        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def hashes(self, a: np.ndarray, b: np.ndarray, base: int = 0) -> np.ndarray:
-        """A hash of the words from a up to b, of each pair."""
-        if base not in self._sums:
-            powers, back = np.full(len(self.words) + 1, _BASES[base], np.uint64), np.full(len(self.words) + 1, pow(_BASES[base], -1, 1 << 64), np.uint64)
-            powers[0] = back[0] = 1
-            powers, back = np.cumprod(powers), np.cumprod(back)
-            self._sums[base] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words * powers[:-1])]), back
-        sums, back = self._sums[base]
-        x = (sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64) * _M1
-        x = (x ^ (x >> np.uint64(30))) * _M2
-        return x ^ (x >> np.uint64(29))
-
-    def window_hashes(self, at: np.ndarray, base: int = 0) -> np.ndarray:
-        """Like ``hashes`` of the windows, but never that of a span of the same words."""
-        return ~self.hashes(at, at + WINDOW, base)
+        self.text = np.repeat(np.arange(len(texts)), self.upto - self.begin)
+        self.runs = Runs(self.hashes)
 
     def spans(self, least_words: int, least_sentences: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first sentence of each span and the one after its last, in order."""
+        """The first word of each span and the one after its last, in order."""
         f, m = self.firsts, len(self.firsts) - 1
         a = np.arange(m)
         b = np.maximum(np.searchsorted(f, f[:-1] + least_words), a + least_sentences)
         fits = b <= m
-        fits[fits] = f[b[fits]] <= self.ends[self.text[f[a[fits]]]]
+        fits[fits] = f[b[fits]] <= self.upto[self.text[f[a[fits]]]]
         e = np.arange(1, m + 1)
         back = np.minimum(np.searchsorted(f, f[1:] - least_words, side="right") - 1, e - least_sentences)
         well = back >= 0
-        well[well] = f[back[well]] >= self.starts[self.text[f[e[well] - 1]]]
+        well[well] = f[back[well]] >= self.begin[self.text[f[e[well] - 1]]]
         both = np.unique(np.concatenate([a[fits] * (m + 1) + b[fits], back[well] * (m + 1) + e[well]]))
-        return both // (m + 1), both % (m + 1)
+        return f[both // (m + 1)], f[both % (m + 1)]
+
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows, never that of a span of the same words."""
+        return ~self.runs.hashes(at, at + WINDOW)
 
     def windows(self) -> np.ndarray:
         """The first words of the chosen windows, in order."""
-        n = len(self.words)
+        n = len(self.hashes)
         if n < LEAST_RUN:
             return np.zeros(0, np.int64)
         at = np.arange(n - WINDOW + 1)
-        h = self.hashes(at, at + WINDOW) | np.uint64(1)
+        h = self.runs.hashes(at, at + WINDOW) | np.uint64(1)
         least = _slid(h, STEP, np.minimum)
-        least[at[: len(least)] + LEAST_RUN > self.ends[self.text[: len(least)]]] = 0  # over the end of a text
+        least[at[: len(least)] + LEAST_RUN > self.upto[self.text[: len(least)]]] = 0  # over the end of a text
         edge = np.zeros(REACH, np.uint64)
         return np.flatnonzero(_slid(np.concatenate([edge, least, edge]), STEP, np.maximum) == h)
 
@@ -134,8 +101,8 @@ class Layout:
         """Hashes of the words before each window (nearest first) and after it; 0 where the text ends."""
         near = np.concatenate([-1 - np.arange(REACH), WINDOW + np.arange(REACH)]) + at[:, None]
         text = self.text[at][:, None]
-        inside = (near >= self.starts[text]) & (near < self.ends[text])
-        return np.where(inside, (self.words >> np.uint64(32)).astype(np.uint32)[np.where(inside, near, 0)] | np.uint32(1), np.uint32(0))
+        inside = (near >= self.begin[text]) & (near < self.upto[text])
+        return np.where(inside, (self.hashes >> np.uint64(32)).astype(np.uint32)[np.where(inside, near, 0)] | np.uint32(1), np.uint32(0))
 
 
 def _slid(x: np.ndarray, n: int, f: Callable) -> np.ndarray:
@@ -162,30 +129,17 @@ def _firsts(text: np.ndarray, h: np.ndarray) -> np.ndarray:
     return first
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``AT_ONCE`` characters."""
-    for batch in batches:
-        lengths = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            upto = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + AT_ONCE, side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
-
-
 def _hashes(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
     """k, r, hashes (of spans and chosen windows) and own (whether the document repeats itself) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         with np.errstate(over="ignore"):
-            for some in _batches(batches, 2):
-                x = Layout(some.column(2).to_pylist(), known)
+            for some in slices(batches, 2):
+                x = Layout(some.column(2).to_pylist())
                 a, b = x.spans(least_words, least_sentences)
-                a, b = x.firsts[a], x.firsts[b]
                 at = x.windows()
                 text = np.concatenate([x.text[a], x.text[at]])
-                h = np.concatenate([x.hashes(a, b), x.window_hashes(at)])
+                h = np.concatenate([x.runs.hashes(a, b), x.window_hashes(at)])
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
                 new = np.ones(len(h), bool)
@@ -199,40 +153,70 @@ def _hashes(docs: DataFrame, least_words: int, least_sentences: int) -> DataFram
     return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "k long, r long, hashes array<long>, own boolean")
 
 
-def _exploded(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
-    """h, g, k, r, first, n, own, words, around for each span and chosen window, and for each run a text has before. k: the document's
-    place in order; r: the row; g: a second hash; words: whether first and n count words instead of sentences; around: a window's
-    surroundings. A text's own run is one that begins ``LEAST_RUN`` words or more after its first place."""
-    names = ["h", "g", "k", "r", "first", "n", "own", "words", "around"]
+#: What a row of ``_exploded`` is.
+SPAN, PLACE, OWN = 0, 1, 2
+
 
-    def rows(some: pa.RecordBatch, text: np.ndarray, h: np.ndarray, g: np.ndarray, first: np.ndarray, n: np.ndarray, own: np.ndarray, words: bool, around: np.ndarray | None = None) -> pa.RecordBatch:
-        k, r = (pa.array(some.column(i).to_numpy()[text]) for i in (0, 1))
-        size = 0 if around is None else around.shape[1] * 4
-        bytes_ = pa.nulls(len(h), pa.binary()) if around is None else pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((np.arange(len(h) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(around.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), k, r, pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(own, pa.bool_()), pa.array(np.full(len(h), words)), bytes_], names)
+def _exploded(docs: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
+    """h, k, r, first, n, size, kind, own for each span and chosen window, and for each run that a text has before. k: the document's
+    place in order; r: the row; first and n: words; size: words of the text. A text's own run (kind OWN) is one that begins
+    ``LEAST_RUN`` words or more after its first place; own: whether the text has the span before."""
+    names = ["h", "k", "r", "first", "n", "size", "kind", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         with np.errstate(over="ignore"):
-            for some in _batches(batches, 2):
-                x = Layout(some.column(2).to_pylist(), known)
-                before = np.searchsorted(x.firsts, x.starts)  # sentences before each text
+            for some in slices(batches, 2):
+                x = Layout(some.column(2).to_pylist())
+                k, r = (some.column(i).to_numpy() for i in (0, 1))
+
+                def rows(text: np.ndarray, h: np.ndarray, first: np.ndarray, n: np.ndarray, kind: int, own: np.ndarray) -> pa.RecordBatch:
+                    numbers = (pa.array(v, pa.int32()) for v in (first - x.begin[text], n, (x.upto - x.begin)[text], np.full(len(h), kind)))  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k[text]), pa.array(r[text]), *numbers, pa.array(own)], names)  # noqa: B023
+
                 a, b = x.spans(least_words, least_sentences)
-                text, wa, wb = x.text[x.firsts[a]], x.firsts[a], x.firsts[b]
-                h = x.hashes(wa, wb)
-                yield rows(some, text, h, x.hashes(wa, wb, 1), a - before[text], b - a, _firsts(text, h) < np.arange(len(h)), False)
+                text, h = x.text[a], x.runs.hashes(a, b)
+                yield rows(text, h, a, b - a, SPAN, _firsts(text, h) < np.arange(len(h)))
                 at = x.windows()
                 text, h = x.text[at], x.window_hashes(at)
-                around, first = x.around(at), _firsts(text, h)
-                yield rows(some, text, h, x.window_hashes(at, 1), at - x.starts[text], np.full(len(at), WINDOW), np.zeros(len(at), bool), True, around)
+                yield rows(text, h, at, np.full(len(at), WINDOW), PLACE, np.zeros(len(at), bool))
+                first = _firsts(text, h)
                 own = np.flatnonzero(at - at[first] >= LEAST_RUN)
-                left, right = _alike(around[own], around[first[own]])
+                left, right = _alike(x.around(at[own]), x.around(at[first[own]]))
                 long = left + WINDOW + right >= LEAST_RUN
                 own, left, right = own[long], left[long], right[long]
-                none = np.zeros(len(own), np.uint64)
-                yield rows(some, text[own], none, none, (at - x.starts[text])[own] - left, left + WINDOW + right, np.ones(len(own), bool), True)
+                yield rows(text[own], np.zeros(len(own), np.uint64), at[own] - left, left + WINDOW + right, OWN, np.ones(len(own), bool))
+
+    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, k long, r long, first int, n int, size int, kind int, own boolean")
 
-    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, g long, k long, r long, first int, n int, own boolean, words boolean, around binary")
+
+def _around(docs: DataFrame) -> DataFrame:
+    """h, k, r, first and around (words on both sides, see Layout) of each chosen window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for some in slices(batches, 2):
+                x = Layout(some.column(2).to_pylist())
+                at = x.windows()
+                text = x.text[at]
+                k, r = (pa.array(some.column(i).to_numpy()[text]) for i in (0, 1))
+                around, size = x.around(at), 8 * REACH
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * size).astype(np.int32).tobytes()), pa.py_buffer(around.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(x.window_hashes(at).view(np.int64)), k, r, pa.array(at - x.begin[text], pa.int32()), bytes_], ["h", "k", "r", "first", "around"])
+
+    return docs.select(*_keys(docs), F.col("text")).mapInArrow(run, "h long, k long, r long, first int, around binary")
+
+
+def _unexplained(size: pd.Series, spans: pd.Series, windows: pd.Series) -> pd.Series:
+    """The windows (struct h, first) from which words outside of ``spans`` (struct first, n) could be found."""
+    out = []
+    for n, some, places in zip(size, spans, windows, strict=True):
+        change = np.zeros(n + 1, np.int64)
+        for s in some:
+            change[s["first"]] += 1
+            change[s["first"] + s["n"]] -= 1
+        stays = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) == 0)])
+        out.append([w for w in places if stays[min(n, w["first"] + WINDOW + REACH)] > stays[max(0, w["first"] - REACH)]])
+    return pd.Series(out)
 
 
 def _run(first: pd.Series, around: pd.Series, other: pd.Series) -> pd.DataFrame:
@@ -249,17 +233,13 @@ def _keys(docs: DataFrame) -> tuple[Column, Column]:
     return k.alias("k"), F.xxhash64("doc_id", "text").alias("r")
 
 
-def without(text: str, places: list[dict], known: Words) -> tuple[str, int, int]:
-    """The text without ``places``, its sentences, and how many of them went. Parts of a sentence count as sentences."""
-    x = Layout([text], known)
-    n = len(x.words)
+def without(text: str, places: list[dict]) -> tuple[str, int, int]:
+    """The text without ``places`` (kind, first, n), its sentences, and how many of them went. Parts of a sentence count as sentences."""
+    x, data = Layout([text]), raw(text)
+    n = len(x.hashes)
     gone, fresh = np.zeros(n, bool), np.zeros(n, bool)
     for p in places:
-        a, b = p["first"], p["first"] + p["n"]
-        if p["words"]:
-            fresh[a:b] = True
-        else:
-            gone[x.firsts[a] : x.firsts[b]] = True
+        (gone if p["kind"] == SPAN else fresh)[p["first"] : p["first"] + p["n"]] = True
     fresh &= ~gone
     edges = np.flatnonzero(np.diff(fresh, prepend=False, append=False))
     for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -267,32 +247,59 @@ def without(text: str, places: list[dict], known: Words) -> tuple[str, int, int]
             fresh[a:b] = False
     gone |= fresh
     parts = np.union1d(x.firsts[:-1], np.flatnonzero(np.diff(gone)) + 1)
-    at = [0, *(m.start() for m in re.finditer(r"\S+", text))][2:]
-    at = [0, *at, len(text)]
+    at = Words([data]).starts if n else np.zeros(0, np.int64)  # in the text as it is: lower case may have other bytes
+    at = np.concatenate([[0], at[1:], [len(data)]])
     edges = np.flatnonzero(np.diff(~gone, prepend=False, append=False))
-    kept = "".join(text[at[a] : at[b]] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n else text
-    return kept, max(len(parts), 1), int(gone[parts].sum()) if n else 0
+    kept = b"".join(data[at[a] : at[b]] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n else data
+    return kept.decode("utf-8", "surrogatepass"), max(len(parts), 1), int(gone[parts].sum()) if n else 0
 
 
 def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-    known = Words()
     with np.errstate(over="ignore"):
-        rows = [without(t, some, known) if t and some is not None and len(some) else (t, 0, 0) for t, some in zip(text, places, strict=True)]
+        rows = [without(t, some) if t else (t, 0, 0) for t, some in zip(text, places, strict=True)]
     return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
 
 def _count(texts: pd.Series) -> pd.Series:
     """Sentences of each text."""
-    known, out = Words(), []
+    out = []
     with np.errstate(over="ignore"):
         for at in range(0, len(texts), 200):
             some = texts.iloc[at : at + 200].tolist()
-            x = Layout(some, known)
-            counts = np.diff(np.searchsorted(x.firsts, np.append(x.starts, len(x.words))))
+            x = Layout(some)
+            counts = np.diff(np.searchsorted(x.firsts[:-1], np.append(x.begin, len(x.hashes))))
             out.append(np.maximum(counts, [bool(t) for t in some]))
     return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64), dtype="int64")
 
 
+def _where_bits(rows: DataFrame, key: Column, among: DataFrame, column: str, each: int = 16) -> DataFrame:
+    """``rows`` whose ``key`` may be among the values of ``column``: a bit array of bounded size tells, with few wrong hits."""
+    size = bits_for(among.count(), each, 1 << 16)
+    marked = rows.select("*", key.alias("_key"), bit_array(among, column, size).scalar().alias("_bits"))
+    return marked.where(bit_set(F.col("_bits"), F.col("_key"), size)).drop("_key", "_bits")
+
+
+def _runs(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """r, kind, first, n of the runs of ``LEAST_RUN`` words or more that a document before also has, beyond what spans explain."""
+    later = again.where(F.col("later") & (F.col("kind") != OWN) | F.col("own"))
+    spans = F.collect_list(F.when(F.col("kind") != PLACE, F.struct("first", "n"))).alias("spans")
+    windows = F.collect_list(F.when(F.col("kind") == PLACE, F.struct("h", "first"))).alias("windows")
+    each = later.groupBy("r").agg(F.max("size").alias("size"), spans, windows).where(F.size("windows") > 0)
+    unexplained = F.pandas_udf(_unexplained, "array<struct<h long, first int>>")
+    asked = cut(each.select("r", F.explode(unexplained("size", "spans", "windows")).alias("x")).select("r", "x.h", "x.first"))
+    wanted = cut(asked.groupBy("h").agg(F.count("*").alias("asked")))
+    firsts = again.where((F.col("kind") == PLACE) & ~F.col("later")).join(wanted, "h").groupBy("h").agg(F.min(F.struct("r", "first")).alias("x"))
+    firsts = cut(firsts.select("h", "x.r", "x.first"))
+    place = F.xxhash64("r", "first")
+    places = asked.select("r", place.alias("at")).unionByName(firsts.select("r", place.alias("at")))
+    some = _where_bits(docs.select("doc_id", "text", _keys(docs)[1]), F.col("r"), cut(places.select("r").distinct()), "r")
+    around = cut(_where_bits(_around(some.select("doc_id", "text")), place, cut(places.select("at").distinct()), "at"))
+    other = around.join(firsts, ["h", "r", "first"]).select("h", F.col("around").alias("other")).dropDuplicates(["h"])
+    both = around.join(asked, ["h", "r", "first"], "left_semi").select("h", "r", "first", "around").join(other, "h")
+    run = F.pandas_udf(_run, "first int, n int")
+    return both.select("r", run("first", "around", "other").alias("x")).where("x.n > 0").select("r", F.lit(PLACE).alias("kind"), "x.first", "x.n")
+
+
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
     """Each row of ``docs`` (all columns, as struct ``row``) with what is left, in struct ``left``: text, n_sentences, n_removed.
 
@@ -305,22 +312,17 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_senten
     hashes = cut(_hashes(docs, least_words, least_sentences))
     known = hashes.select(F.explode("hashes").alias("h"), "k").groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"))
     known = cut(known.where("low < high").select("h", "low"))
-    size = bits_for(known.count(), 12, 1 << 16)
+    size = bits_for(known.count(), 16, 1 << 16)
     marked = hashes.select("r", "own", "hashes", bit_array(known, "h", size).scalar().alias("bits"))
     held = cut(marked.where(F.col("own") | let(F.col("bits"), lambda bits: F.exists("hashes", lambda h: bit_set(bits, h, size)))).select("r"))
-    few = bits_for(held.count(), 16, 1 << 16)
-    some = docs.select("doc_id", "text", _keys(docs)[1], bit_array(held, "r", few).scalar().alias("bits")).where(bit_set(F.col("bits"), F.col("r"), few)).select("doc_id", "text")
+    some = _where_bits(docs.select("doc_id", "text", _keys(docs)[1]), F.col("r"), held, "r").select("doc_id", "text")
     every = _exploded(some, least_words, least_sentences)
     maybe = every.select("*", bit_array(known, "h", size).scalar().alias("bits")).where(F.col("own") | bit_set(F.col("bits"), F.col("h"), size)).drop("bits")
-    again = maybe.join(known, "h", "left").where(F.col("own") | F.col("low").isNotNull())
-    again = cut(again.select("h", "g", "r", "first", "n", "own", "words", "around", F.coalesce(F.col("low") < F.col("k"), F.lit(False)).alias("later")))
-    firsts = again.where("NOT later AND h <> 0").groupBy("h").agg(F.min(F.struct("r", "first", "g", "around")).alias("x")).select("h", F.col("x.g").alias("g"), F.col("x.around").alias("other"))
-    found = again.where("later").join(firsts, ["h", "g"])
-    run = F.pandas_udf(_run, "first int, n int")
-    runs = found.where("around IS NOT NULL AND other IS NOT NULL").select("r", run("first", "around", "other").alias("x")).where("x.n > 0")
-    places = found.where("NOT words").select("r", "words", "first", "n").unionByName(again.where("own AND NOT (later AND words)").select("r", "words", "first", "n"))
-    places = places.unionByName(runs.select("r", F.lit(True).alias("words"), "x.first", "x.n"))
-    places = cut(places.groupBy("r").agg(F.collect_set(F.struct("words", "first", "n")).alias("places")))
+    again = maybe.join(known, "h", "left").select("h", "r", "first", "n", "size", "kind", "own", (F.col("low") < F.col("k")).alias("later"))
+    again = cut(again.where(F.col("own") | F.col("later") | (F.col("kind") == PLACE) & F.col("later").isNotNull()).withColumn("later", F.coalesce("later", F.lit(False))))
+    names = ["r", "kind", "first", "n"]
+    places = again.where((F.col("kind") != PLACE) & (F.col("later") | F.col("own"))).select(*names).unionByName(_runs(docs, again).select(*names))
+    places = cut(places.groupBy("r").agg(F.collect_set(F.struct("kind", "first", "n")).alias("places")))
     losers = bits_for(places.count(), 16, 1 << 16)
     rows = docs.select(F.struct("*").alias("row"), _keys(docs)[1], bit_array(places, "r", losers).scalar().alias("bits"))
     doubtful = bit_set(F.col("bits"), F.col("r"), losers)
