@@ -34,6 +34,11 @@ def same_bag(a: Column, b: Column) -> Column:
     return F.array_sort(a).eqNullSafe(F.array_sort(b))
 
 
+def joined_lists(a: Column, b: Column) -> Column:
+    """The distinct elements of two lists in order of their first place; null beside a list is nothing."""
+    return F.coalesce(F.array_union(a, b), F.array_distinct(a), F.array_distinct(b))
+
+
 def without(a: Column, b: Column) -> Column:
     """The elements of ``a`` that ``b`` lacks, repeats and order kept."""
     return F.filter(a, lambda x: ~F.array_contains(b, x))

@@ -34,10 +34,31 @@ def lines_at(lines: Column, numbers: Column) -> Column:
     return F.transform(numbers, lambda n: F.element_at(lines, n.cast("int")))
 
 
+def moved_blank(lines: Column, number: Column) -> Column:
+    """The first line from ``number`` on that isn't blank, -1 without one."""
+    after = F.filter(F.sequence(number, F.greatest(number, F.size(lines))), lambda i: stripped(F.get(lines, i - 1)) != "")
+    return F.coalesce(F.get(after, F.lit(0)), F.lit(-1))
+
+
+def offsets(text: Column, part: Column) -> Column:
+    """All places (from 0) where ``part`` stands in a text, overlapping ones too; none for an empty part."""
+    last = F.char_length(text) - F.char_length(part)
+    found = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.char_length(part)) == part)
+    return F.when((part == "") | (last < 0), F.array().cast("array<int>")).otherwise(found)
+
+
+def nth_replaced(text: Column, part: Column, new: Column, n: Column) -> Column:
+    """The n-th (from 0) place of ``part`` replaced; a text with fewer stays."""
+    at = F.get(offsets(text, part), n)
+    return F.when(at.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), at), new, F.substring(text, at + F.char_length(part) + 1, F.char_length(text))))
+
+
 def replaced_lines(lines: Column, first: Column, last: Column, new: Column) -> Column:
-    """Lines first to last replaced by ``new``; -1 stands for the last line."""
+    """Lines first to last replaced by ``new``. A first of -1 stands for the last line alone, whatever ``last`` is; a last
+    below the first is the first."""
     n = F.size(lines)
-    a, b = F.when(first == -1, n).otherwise(first), F.when(last == -1, n).otherwise(last)
+    a = F.when(first == -1, n).otherwise(first)
+    b = F.when(first == -1, n).otherwise(F.greatest(first, last))
     return F.concat(F.slice(lines, F.lit(1), a - 1), new, F.slice(lines, b + 1, F.greatest(F.lit(0), n - b)))
 
 
@@ -54,8 +75,9 @@ def patchable_source(path: Column, added: Column) -> Column:
 
 
 def script_source(path: Column) -> Column:
+    """A script (.js or .mjs in its path) that is neither minified nor a test, data or typed."""
     skip = F.array(*map(F.lit, ("min.js", "test", ".json", ".ts")))
-    return F.contains(path, F.lit(".js")) & ~F.exists(skip, lambda e: F.contains(path, e))
+    return (F.contains(path, F.lit(".js")) | F.contains(path, F.lit(".mjs"))) & ~F.exists(skip, lambda e: F.contains(path, e))
 
 
 def c_source(path: Column) -> Column:
@@ -73,8 +95,11 @@ def is_test_path(path: Column) -> Column:
 
 # --- addresses and ids ------------------------------------------------------------------------------------------------
 def commit_address(url: Column) -> Column:
-    """The address of a commit inside a pull request, as that of the commit itself."""
-    return F.regexp_replace(url, r"/pull/\d+/commits/", "/commit/")
+    """The address of a commit inside a pull request on the code host, as that of the commit itself, without what follows the hash.
+    Any other address stays as it is."""
+    pattern = r"^(https://github\.com/.+?/.+?)/pull/\d+/commits/([a-f0-9]+)"
+    repo, commit = (F.regexp_extract(url, pattern, i) for i in (1, 2))
+    return F.when(commit != "", F.concat(repo, F.lit("/commit/"), commit)).otherwise(url)
 
 
 def patch_id(url: Column) -> Column:
@@ -82,8 +107,20 @@ def patch_id(url: Column) -> Column:
 
 
 def without_fragment(url: Column) -> Column:
-    """Up to the first #. An address without one stays whole."""
-    return F.substring_index(url, "#", 1)
+    """Up to the last #. An address without one stays whole; one with an ellipsis, a comparison of commits, is null."""
+    cut = F.substring(url, F.lit(1), F.char_length(url) - F.char_length(F.substring_index(url, "#", -1)) - 1)
+    return F.when(F.contains(url, F.lit("...")), None).when(F.contains(url, F.lit("#")), cut).otherwise(url)
+
+
+def plain_commit_address(url: Column) -> Column:
+    """The part of an address that names a commit of a repository on the code host; null if it doesn't begin with one."""
+    return F.nullif(F.regexp_extract(url, r"^https://github\.com/[^/]+/[^/]+/commit/[0-9a-f]+", 0), F.lit(""))
+
+
+def repository_of_patch(url: Column) -> Column:
+    """A commit's address up to its last /commit; an address without one stays whole."""
+    rest = F.substring_index(url, "/commit", -1)
+    return F.when(F.contains(url, F.lit("/commit")), F.substring(url, F.lit(1), F.char_length(url) - F.char_length(rest) - 7)).otherwise(url)
 
 
 def owner_and_repo(url: Column) -> Column:
@@ -125,13 +162,28 @@ def rename_rows(text: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(F.substring(r, 1, 1).alias("status"), F.element_at(F.split(r, "\t"), -1).alias("path")))
 
 
+def rename_history(text: Column) -> Column:
+    """Renames, copies and additions of a log of full ids and name-status rows, in order, as structs (commit_id, path): the first
+    such row after each id, with its last path."""
+    is_commit = lambda line: line.rlike("^[0-9a-f]{40}$")
+
+    def step(a: Column, line: Column) -> Column:
+        hit = a["at"].isNotNull() & line.rlike("^[RCA]")
+        row = F.struct(a["at"].alias("commit_id"), F.element_at(F.split(line, "\t"), -1).alias("path"))
+        at = F.when(is_commit(line), line).when(~hit, a["at"])
+        return F.struct(at.alias("at"), F.when(hit & ~is_commit(line), F.concat(a["rows"], F.array(row))).otherwise(a["rows"]).alias("rows"))
+
+    return F.aggregate(F.split(text, "\n"), F.struct(F.lit(None).cast("string").alias("at"), F.array().cast("array<struct<commit_id:string,path:string>>").alias("rows")), step)["rows"]
+
+
 def clean_tag(tag: Column) -> Column:
     """A version tag without the letters v around it, cut at the first hyphen."""
     return F.split_part(F.regexp_replace(tag, "^v+|v+$", ""), F.lit("-"), F.lit(1))
 
 
 # --- statuses ---------------------------------------------------------------------------------------------------------
-SYNTAX_MARKS = ["is not a function", "SyntaxError", "Unexpected token", "is not defined", "Cannot find module"]
+#: What a test run says of broken code. Fixed values.
+SYNTAX_MARKS = ["Jest failed to parse a file", "not defined", "is not a function", "is not a constructor"]
 
 
 def run_status(stderr: Column) -> Column:
@@ -149,6 +201,11 @@ def gate_status(exists: Column, lines: Column, most: int = 500) -> Column:
     return F.when(~F.coalesce(exists, F.lit(False)), "False#3").when(lines > most, "False#4")
 
 
+def prompt_gate(prompt: Column, most: int = 25_000) -> Column:
+    """A prompt that is longer than ``most`` gets no answer: an empty text in its place."""
+    return F.when(F.char_length(prompt) > most, "").otherwise(prompt)
+
+
 def locating_method(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("tracking")), "tracking").when(F.contains(name, F.lit("gitlog")), "gitlog").when(F.contains(name, F.lit("similarity")), "similarity").when(F.contains(name, F.lit("file")), "file")
 
@@ -208,7 +265,8 @@ def first_weakness(doc: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.format_string("%.2f%%", F.try_divide(part * 100.0, whole))
+    """With two digits, ties to the even one."""
+    return F.format_string("%.2f%%", F.bround(F.try_divide(part * 100.0, whole).cast("double"), 2))
 
 
 def table_cell(part: Column, whole: Column) -> Column:

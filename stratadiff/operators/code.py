@@ -179,14 +179,35 @@ def names_in_ranges(ranges: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def matched_functions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Each old function with the new one of the same name, else with that of the least edit distance over both lengths."""
-    a = old.select(*keys, F.col("name").alias("old_name"), F.col("body").alias("old_body"))
-    b = new.select(*keys, F.col("name").alias("new_name"), F.col("body").alias("new_body"))
-    apart = F.when(F.col("old_name") == F.col("new_name"), F.lit(-1.0)).otherwise(F.try_divide(F.levenshtein("old_body", "new_body").cast("double"), F.char_length("old_body") + F.char_length("new_body")))
-    best = a.join(b, keys).groupBy(*keys, "old_name", "old_body").agg(F.min(F.struct(apart.alias("distance"), F.col("new_name"), F.col("new_body"))).alias("x"))
-    return best.select(*keys, "old_name", "old_body", "x.new_name", "x.new_body", F.greatest("x.distance", F.lit(0.0)).alias("distance"))
+    """Each old function with the new one of the same name, else with that of the least edit distance over both lengths.
+
+    Functions without a name match nothing. Names are joined first; only old functions whose name is gone are compared with all
+    new ones of their key.
+    """
+    a = old.where("name <> ''").select(*keys, F.col("name").alias("old_name"), F.col("body").alias("old_body"))
+    b = new.where("name <> ''").select(*keys, F.col("name").alias("new_name"), F.col("body").alias("new_body"))
+    first = b.groupBy(*keys, F.col("new_name").alias("old_name")).agg(F.min("new_body").alias("new_body"))
+    same = a.join(first, [*keys, "old_name"]).select(*keys, "old_name", "old_body", F.col("old_name").alias("new_name"), "new_body", F.lit(0.0).alias("distance"))
+    apart = F.try_divide(F.levenshtein("old_body", "new_body").cast("double"), F.char_length("old_body") + F.char_length("new_body"))
+    rest = a.join(first.select(*keys, "old_name"), [*keys, "old_name"], "left_anti")
+    best = rest.join(b, keys).groupBy(*keys, "old_name", "old_body").agg(F.min(F.struct(apart.alias("distance"), F.col("new_name"), F.col("new_body"))).alias("x"))
+    return same.unionByName(best.select(*keys, "old_name", "old_body", "x.new_name", "x.new_body", "x.distance"))
 
 
 def signature_changes(pairs: DataFrame) -> DataFrame:
-    """Which of name, params and ret differ between the old_ and new_ columns; a missing side is a change."""
-    return pairs.select("*", *((~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) | F.col(f"new_{c}").isNull()).alias(f"{c}_changed") for c in ("name", "params", "ret")))
+    """Which of name, params and ret differ between the old_ and new_ columns. Without an old function all count as changed; without
+    a new one (the change is outside all functions) none does."""
+    gone, fresh = F.col("new_name").isNull(), F.col("old_name").isNull()
+    differs = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+    return pairs.select("*", *(F.when(gone, False).when(fresh, True).otherwise(differs(c)).alias(f"{c}_changed") for c in ("name", "params", "ret")))
+
+
+def statements_around(places: DataFrame, keys: list[str], text: str, line: str = "line_no") -> DataFrame:
+    """first and last line of the smallest statement, declaration or comment around a line, for rows with a text and a line number."""
+    kinds = ", ".join(f"{k} {places.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(*key, int(n), *statement_around(code or "", int(n))) for *key, code, n in batch[[*keys, text, line]].itertuples(index=False)], columns=[*keys, line, "first", "last"])
+
+    return places.select(*keys, text, line).mapInPandas(run, f"{kinds}, {line} int, first int, last int")

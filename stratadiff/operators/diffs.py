@@ -77,6 +77,46 @@ def diff_lines(patches: DataFrame, key: str = "case_id", text: str = "text") ->
     return patches.select(key, text).mapInPandas(run, f"{key} {kind}, {LINES}")
 
 
+def split_hunks(text: str | None) -> Iterator[tuple[str, bool, str]]:
+    """(path, is_new, text) of each hunk, the text with the file's headers before it as they stand in the patch."""
+    head: list[str] = []
+    body: list[str] = []
+    lines, i, path, fresh = (text or "").split("\n"), 0, "", False
+    while i < len(lines):
+        line = lines[i]
+        i += 1
+        if m := _HUNK.match(line):
+            left, right, body = int(m[2] or 1), int(m[4] or 1), [line]
+            while i < len(lines) and (left > 0 or right > 0 or lines[i].startswith("\\")):
+                kind = lines[i][:1] or " "
+                if kind not in " +-\\":
+                    break
+                left, right = left - (kind in " -"), right - (kind in " +")
+                body.append(lines[i])
+                i += 1
+            yield path, fresh, "\n".join([*head, *body])
+            continue
+        if line.startswith("diff --git") or (line.startswith("--- ") and body):
+            head, body = [], []
+            fresh = False
+        head.append(line)
+        fresh = fresh or line.startswith("new file mode") or line == "--- /dev/null"
+        if line.startswith("+++ "):
+            path = re.sub(r"^[ab]/", "", line[4:].split("\t")[0].strip())
+
+
+def raw_hunks(patches: DataFrame, key: str = "case_id", text: str = "text") -> DataFrame:
+    """key, hunk_idx, path, is_new, text: each hunk of a patch as a patch of its own, headers and all."""
+    kind = patches.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, *h) for k, t in zip(batch[key], batch[text], strict=True) for i, h in enumerate(split_hunks(t))]
+            yield pd.DataFrame(rows, columns=[key, "hunk_idx", "path", "is_new", "text"])
+
+    return patches.select(key, text).mapInPandas(run, f"{key} {kind}, hunk_idx int, path string, is_new boolean, text string")
+
+
 def hunks(lines: DataFrame, key: str = "case_id") -> DataFrame:
     """A row for each hunk, with its removed and added line numbers and counts."""
     return lines.groupBy(key, "file_idx", "path", "is_new", "is_deleted", "hunk_idx", "src_start", "src_len", "tgt_start", "tgt_len", "section").agg(
@@ -118,12 +158,12 @@ def chunks(lines: DataFrame, key: str = "case_id") -> DataFrame:
 
 def anchored(chunk: DataFrame, files: DataFrame, key: str = "case_id") -> DataFrame:
     """Chunks with additions anchored at the next line of the old file (key, path, line_no, value) that isn't blank; at its end: -1."""
-    full = files.where(~F.col("value").rlike(r"^\s*$")).select(F.col(key).alias("k"), F.col("path").alias("p"), "line_no")
-    adds = chunk.where("kind = 'add'")
-    near = adds.join(full, (adds[key] == full["k"]) & (adds["path"] == full["p"]) & (full["line_no"] >= adds["first"]), "left")
-    found = near.groupBy(key, "file_idx", "hunk_idx", "chunk_idx").agg(F.coalesce(F.min("line_no"), F.lit(-1)).cast("int").alias("anchor"))
-    both = chunk.join(found, [key, "file_idx", "hunk_idx", "chunk_idx"], "left")
-    return both.withColumn("first", F.coalesce("anchor", "first")).withColumn("last", F.coalesce("anchor", "last")).drop("anchor")
+    from .lines import next_full
+
+    adds = chunk.where("kind = 'add'").select(key, "path", F.col("first").alias("line_no")).distinct()
+    found = next_full(adds, files, [key, "path"]).select(key, "path", F.lit("add").alias("kind"), F.col("line_no").alias("first"), F.col("full_no").alias("anchor"))
+    both = chunk.join(found, [key, "path", "kind", "first"], "left")
+    return both.select(*(F.coalesce("anchor", c).alias(c) if c in ("first", "last") else c for c in chunk.columns))
 
 
 def transport(numbers: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:

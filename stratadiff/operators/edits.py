@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from stratadiff.functions import text as T
 
 LOCATE = "The following patch fixes a vulnerability:\n{patch}\nFind the lines of the target version that it applies to:\n{context}\n"
+LOCATE_IN = LOCATE + "The lines before and after them are:\n{around}\n"
+PORT_IN = "The patch below fixes a vulnerability:\n{patch}\nThe code it changes stands in this context:\n{context}\nApply the same fix to this code of an older version:\n{code}\nAnswer with the changed code alone.\n"
 PORT = "The patch below fixes a vulnerability:\n{patch}\nApply the same fix to this code of an older version:\n{code}\nAnswer with the changed code alone.\n"
 
 
@@ -24,9 +26,33 @@ def rendered(template: str, **columns: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
+def whole_file(old: Column, new: Column) -> Column:
+    """A file's text replaced by a new one; without one it stays."""
+    return F.coalesce(new, old)
+
+
 def porting_prompt(chunk: Column, code: Column) -> Column:
     """The prompt for a chunk; where it only adds, the code begins with a place to add at."""
-    return rendered(PORT, patch=chunk, code=F.when(T.is_pure_addition(chunk), F.concat(F.lit("<add here>\n"), code)).otherwise(code))
+    return rendered(PORT, patch=chunk, code=_place(chunk, code))
+
+
+def _place(chunk: Column, code: Column) -> Column:
+    return F.when(T.is_pure_addition(chunk), F.concat(F.lit("<add here>\n"), code)).otherwise(code)
+
+
+def porting_prompt_in(chunk: Column, code: Column, context: Column) -> Column:
+    """As ``porting_prompt``, with the code around; without a context that differs from the code, the plain one."""
+    plain = porting_prompt(chunk, code)
+    return F.when(F.coalesce(context, F.lit("")).isin("", code), plain).otherwise(rendered(PORT_IN, patch=chunk, context=context, code=_place(chunk, code)))
+
+
+#: Names of models that choose the context themselves, and the label each stands for. Fixed values.
+MODEL_LABELS = {"deepseek-api-file": -1, "deepseek-api-function": -2, "deepseek-api-reducedfunction": -3, "deepseek-api-line": 1}
+
+
+def label_of(model: Column, label: Column) -> Column:
+    """The label of a prompt's context: that of its model's name, else its own."""
+    return F.coalesce(*(F.when(model == name, F.lit(n)) for name, n in MODEL_LABELS.items()), label)
 
 
 def context_of(label: Column, file: Column, lines: Column, function: Column, sliced: Column) -> Column:
@@ -71,17 +97,21 @@ def repaired(numbers: list[int], lines: list[str]) -> list[int]:
     return out
 
 
-def absorbed(prompts: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(prompt, context) pairs, longest context first, each taken up by one whose context contains its own."""
-    out: list[list[str]] = []
-    for prompt, context in sorted(prompts, key=lambda p: -len(p[1])):
-        for kept in out:
-            if context in kept[1]:
-                kept[0] += "\n" + prompt
-                break
-        else:
-            out.append([prompt, context])
-    return [(p, c) for p, c in out]
+def absorbed(prompts: list[tuple[str, str]]) -> list[tuple[list[str], str]]:
+    """(hunk, context) pairs as (hunks, context), longest context first, input order for equal ones.
+
+    A pair goes into every earlier one whose context contains its own, or is contained in it and then grows to it; an empty context
+    contains nothing and is contained in nothing. A hunk is listed once.
+    """
+    out: list[tuple[list[str], str]] = []
+    for hunk, context in sorted(prompts, key=lambda p: -len(p[1])):
+        holds = [i for i, (_, c) in enumerate(out) if c and context and (context in c or c in context)]
+        for i in holds:
+            hunks, c = out[i]
+            out[i] = (hunks if hunk in hunks else [*hunks, hunk], c if context in c else context)
+        if not holds:
+            out.append(([hunk], context))
+    return out
 
 
 def nth_replaced(text: str, part: str, new: str, n: int) -> str:
@@ -122,11 +152,13 @@ def repaired_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merged_prompts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows: keys, ord, prompt, context → the hunks and the context of each prompt that is left, see ``absorbed``."""
+
     def work(group: pd.DataFrame) -> list[tuple]:
         g = group.sort_values("ord")
         return absorbed(list(zip(g["prompt"], g["context"], strict=True)))
 
-    return _grouped(rows, keys, "prompt string, context string", work)
+    return _grouped(rows, keys, "hunks array<string>, context string", work)
 
 
 def report(rows: DataFrame, key: str, order: str, parts: list[str], line: str = "-" * 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,14 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir where there is one, else kept by Spark."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """The rows, written once to the shared folder of spark.checkpoint.dir, so a lost executor repeats no rounds. On one machine, where
+    the session names no folder, a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stratadiff-checkpoints-"))
+    return df.checkpoint()
 
 
 def closure(edges: DataFrame, child: str, parent: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -26,13 +33,112 @@ def closure(edges: DataFrame, child: str, parent: str, keys: list[str] = []) ->
             return step
 
 
+def chains(edges: DataFrame, child: str, parent: str, keys: list[str] = []) -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """A history with its unbranched stretches as one: each commit's chain (keys, commit_id, head, dist: steps from the chain's oldest
+    commit), and the links of chains (keys, head, parent_head, parent_dist), one for each parent of an oldest commit.
+
+    A commit continues its parent's chain if it has no other parent and the parent no other child. Chains are followed by
+    jumps that double, so a linear history of n commits takes log n rounds.
+    """
+    every = _cut(edges.select(*keys, F.col(child).alias("commit_id"), F.col(parent).alias("parent")).distinct())
+    known = every.where("parent IS NOT NULL")
+    nodes = every.select(*keys, "commit_id").unionByName(known.select(*keys, F.col("parent").alias("commit_id"))).distinct()
+    only = known.groupBy(*keys, "commit_id").agg(F.count("*").alias("parents"), F.min("parent").alias("parent")).where("parents = 1")
+    heirs = known.groupBy(*keys, "parent").agg(F.count("*").alias("children")).where("children = 1").select(*keys, "parent")
+    inner = only.join(heirs, [*keys, "parent"], "left_semi").select(*keys, "commit_id", F.col("parent").alias("head"), F.lit(1).cast("long").alias("dist"))
+    jumps = _cut(nodes.join(inner, [*keys, "commit_id"], "left").select(*keys, "commit_id", F.coalesce("head", "commit_id").alias("head"), F.coalesce("dist", F.lit(0)).alias("dist")))
+    for _ in range(64):
+        on = jumps.select(*keys, F.col("commit_id").alias("head"), F.col("head").alias("far"), F.col("dist").alias("more"))
+        jumped = _cut(jumps.join(on, [*keys, "head"]).select(*keys, "commit_id", F.col("far").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), "more"))
+        jumps = jumped.drop("more")
+        if jumped.where("more > 0").isEmpty():
+            break
+    else:
+        raise ValueError("the history has a cycle")
+    tops = known.join(jumps.where("dist = 0").select(*keys, "commit_id"), [*keys, "commit_id"], "left_semi")
+    links = tops.join(jumps.select(*keys, F.col("commit_id").alias("parent"), F.col("head").alias("parent_head"), F.col("dist").alias("parent_dist")), [*keys, "parent"])
+    return jumps, _cut(links.select(*keys, F.col("commit_id").alias("head"), "parent_head", "parent_dist"))
+
+
+def depths(edges: DataFrame, child: str, parent: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, commit_id, depth: the length of the longest way back to a commit without a parent. Chains whose parents are all known are
+    peeled in rounds, as many as there are branchings on one way."""
+    members, links = chains(edges, child, parent, keys)
+    heads = members.where("dist = 0").select(*keys, "head")
+    known = _cut(heads.join(links, [*keys, "head"], "left_anti").withColumn("depth", F.lit(0).cast("long")))
+    left = _cut(links)
+    while not left.isEmpty():
+        above = left.join(known.select(*keys, F.col("head").alias("parent_head"), F.col("depth").alias("above")), [*keys, "parent_head"], "left")
+        deep = above.groupBy(*keys, "head").agg(F.max(F.col("above") + F.col("parent_dist") + 1).alias("depth"), F.bool_and(F.col("above").isNotNull()).alias("ready"))
+        fresh = _cut(deep.where("ready").select(*keys, "head", "depth"))
+        if fresh.isEmpty():
+            raise ValueError("the history has a cycle")
+        known, left = _cut(known.unionByName(fresh)), _cut(left.join(fresh, [*keys, "head"], "left_anti"))
+    return members.join(known, [*keys, "head"]).select(*keys, "commit_id", (F.col("depth") + F.col("dist")).alias("depth"))
+
+
 def ranks(edges: DataFrame, child: str, parent: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Topological rank of each commit: how many ancestors it has; ties by id. Ancestors always rank lower."""
-    every = edges.select(*keys, F.col(child).alias("commit_id")).distinct()
-    n = closure(edges, child, parent, keys).groupBy(*keys, F.col("child").alias("commit_id")).agg(F.count("*").alias("ancestors"))
-    rows = every.join(n, [*keys, "commit_id"], "left").na.fill(0, ["ancestors"])
-    order = [F.col("ancestors"), F.col("commit_id")]
-    return rows.withColumn("rank", F.row_number().over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(*order)))
+    """Topological rank of each commit (from 1): by depth, ties by id. Ancestors always rank lower.
+
+    Ranks are numbered in two steps, over counts of depths and within a depth, so no task sorts a whole history.
+    """
+    rows = _cut(depths(edges, child, parent, keys))
+    sizes = rows.groupBy(*keys, "depth").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("depth").rowsBetween(W.unboundedPreceding, 0))
+    starts = sizes.select(*keys, "depth", (upto - F.col("n")).alias("before"))
+    within = F.row_number().over(W.partitionBy(*keys, "depth").orderBy("commit_id"))
+    return rows.withColumn("k", within).join(starts, [*keys, "depth"]).select(*keys, "commit_id", "depth", (F.col("before") + F.col("k")).alias("rank"))
+
+
+def reached(asked: DataFrame, members: DataFrame, links: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, commit_id, head, upto: from each asked commit the chains (see ``chains``) it comes from, itself included, each up to the
+    distance ``upto``. One row for each chain, not for each ancestor."""
+    seen = _cut(asked.select(*keys, "commit_id").distinct().join(members, [*keys, "commit_id"]).select(*keys, "commit_id", "head", F.col("dist").alias("upto")))
+    edge = seen
+    while True:
+        back = edge.select(*keys, "commit_id", "head").join(links, [*keys, "head"]).select(*keys, "commit_id", F.col("parent_head").alias("head"), F.col("parent_dist").alias("upto"))
+        found = back.groupBy(*keys, "commit_id", "head").agg(F.max("upto").alias("upto"))
+        before = seen.select(*keys, "commit_id", "head", F.col("upto").alias("was"))
+        edge = _cut(found.join(before, [*keys, "commit_id", "head"], "left").where("was IS NULL OR upto > was"))
+        if edge.isEmpty():
+            return seen
+        seen = _cut(seen.unionByName(edge.select(*keys, "commit_id", "head", "upto")).groupBy(*keys, "commit_id", "head").agg(F.max("upto").alias("upto")))
+        edge = edge.where("was IS NULL").select(*keys, "commit_id", "head")
+
+
+def ancestry(pairs: DataFrame, edges: DataFrame, a: str, b: str, keys: list[str] = [], child: str = "commit_id", parent: str = "parent_id") -> DataFrame:  # noqa: B006
+    """``pairs`` with over (a is b or an ancestor of b) and under (b is a or an ancestor of a), without the closure of the history: only asked commits are followed."""
+    members, links = chains(edges, child, parent, keys)
+    ends = pairs.select(*keys, F.col(a).alias("commit_id")).unionByName(pairs.select(*keys, F.col(b).alias("commit_id"))).distinct()
+    from_ = reached(ends, members, links, keys)
+
+    def holds(rows: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        at = members.select(*keys, F.col("commit_id").alias(low), "head", "dist")
+        hit = rows.select(*keys, a, b).distinct().join(at, [*keys, low]).join(from_.withColumnRenamed("commit_id", high), [*keys, high, "head"]).where("dist <= upto")
+        return rows.join(hit.select(*keys, a, b, F.lit(True).alias(name)).distinct(), [*keys, a, b], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    return holds(holds(pairs, a, b, "over"), b, a, "under")
+
+
+def commits_between(pairs: DataFrame, edges: DataFrame, low: str, high: str, keys: list[str] = [], child: str = "commit_id", parent: str = "parent_id") -> DataFrame:  # noqa: B006
+    """As ``between``, without the closure: of each chain that ``high`` reaches, the commits beyond what ``low`` reaches of it."""
+    members, links = chains(edges, child, parent, keys)
+    ends = pairs.select(*keys, F.col(low).alias("commit_id")).unionByName(pairs.select(*keys, F.col(high).alias("commit_id"))).distinct()
+    from_ = reached(ends, members, links, keys)
+    side = lambda end, name: pairs.select(*keys, low, high).distinct().join(from_.select(*keys, F.col("commit_id").alias(end), "head", F.col("upto").alias(name)), [*keys, end])
+    both = side(high, "to").join(side(low, "from_").select(*keys, low, high, "head", "from_"), [*keys, low, high, "head"], "left")
+    return both.join(members, [*keys, "head"]).where((F.col("dist") <= F.col("to")) & (F.col("dist") > F.coalesce("from_", F.lit(-1)))).select(*keys, low, high, "commit_id")
+
+
+def files_of(versions: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct paths of each asked commit (keys, commit_id) in order, as an array; a commit without files has an empty one."""
+    found = versions.join(asked.select(*keys, "commit_id").distinct(), [*keys, "commit_id"], "left_semi").groupBy(*keys, "commit_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    return asked.select(*keys, "commit_id").distinct().join(found, [*keys, "commit_id"], "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+
+
+def file_at(versions: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The text of each asked file (keys, commit_id, path); empty where the commit has none."""
+    return asked.join(versions.select(*keys, "commit_id", "path", "text"), [*keys, "commit_id", "path"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def earlier(pairs: DataFrame, ancestors: DataFrame, a: str, b: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -58,7 +164,8 @@ def first_parents(edges: DataFrame) -> DataFrame:
 
 def between(ancestors: DataFrame, pairs: DataFrame, low: str, high: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Commits reachable from ``high`` but not from ``low`` (themselves included in what is reachable), for each pair."""
-    reach = lambda end: pairs.join(ancestors, [*[pairs[k] == ancestors[k] for k in keys], pairs[end] == ancestors["child"]]).select(*[pairs[k] for k in keys], low, high, F.col("ancestor").alias("commit_id")).unionByName(pairs.select(*keys, low, high, F.col(end).alias("commit_id")))
+    asked = pairs.select(*keys, low, high)
+    reach = lambda end: asked.join(ancestors.select(*keys, F.col("child").alias(end), F.col("ancestor").alias("commit_id")), [*keys, end]).select(*keys, low, high, "commit_id").unionByName(asked.select(*keys, low, high, F.col(end).alias("commit_id")))
     return reach(high).join(reach(low), [*keys, low, high, "commit_id"], "left_anti").distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratadiff.functions import sets
 
-#: Buckets of counts (label, least, greatest); None is without end.
+#: Buckets of counts (label, least, greatest); None is without end. Fixed values.
 BUCKETS = [("1-2", 1, 2), ("3-4", 3, 4), ("5-6", 5, 6), ("7-8", 7, 8), ("9-10", 9, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("51-100", 51, 100), (">100", 101, None)]
 
 
@@ -58,6 +58,58 @@ def conditional_shares(part: DataFrame, whole: DataFrame, by: list[str], digits:
     return b.join(a, by, "left").na.fill(0, ["n"]).withColumn("share", F.round(F.try_divide(F.col("n").cast("double"), F.col("of")), digits))
 
 
+def fixed_shares(rows: DataFrame, by: str, values: list, good: Column, of: dict | int, digits: int = 6) -> DataFrame:
+    """Counts of good rows for each of ``values``, 0 where there is none, over fixed denominators: one for all, or one for each value."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(v, int(of[v] if isinstance(of, dict) else of), i) for i, v in enumerate(values)], f"{by} {rows.schema[by].dataType.simpleString()}, of long, ord int")
+    counted = rows.groupBy(by).agg(F.count_if(good).alias("n"))
+    return F.broadcast(names).join(counted, by, "left").na.fill(0, ["n"]).withColumn("share", F.round(F.try_divide(F.col("n").cast("double"), F.col("of")), digits)).select("ord", by, "n", "of", "share")
+
+
+def mean_of(numbers: DataFrame, column: str) -> DataFrame:
+    """One row: the mean of a column; null for no row."""
+    return numbers.agg(F.avg(column).alias("mean"), F.count(column).alias("n"))
+
+
+def distinct_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Each line once, in no order."""
+    return lines.select(value).distinct()
+
+
+def new_repositories(addresses: DataFrame, there: DataFrame, column: str = "url") -> DataFrame:
+    """owner, repo and address of each repository that addresses name, once, but for those in ``there`` (owner, repo)."""
+    parts = F.split(column, "/")
+    named = addresses.where(F.size(parts) >= 5).select(F.get(parts, 3).alias("owner"), F.get(parts, 4).alias("repo"), F.array_join(F.slice(parts, 1, 5), "/").alias("address"))
+    return named.distinct().join(there.select("owner", "repo").distinct(), ["owner", "repo"], "left_anti")
+
+
+def counted(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def true_then_false(rows: DataFrame, flag: str, key: str) -> DataFrame:
+    """Rows with their place (from 1) when the true ones come first, each part in order of ``key``. Places are numbered without one task
+    for all rows: counts of key ranges first, then within each range."""
+    ranged = rows.repartitionByRange(F.desc(flag), F.asc(key)).withColumn("__part", F.spark_partition_id())
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n"))
+    placed = ranged.withColumn("__k", F.row_number().over(W.partitionBy("__part").orderBy(F.desc(flag), F.asc(key))))
+    return placed.join(starts, "__part").withColumn("place", F.col("__before") + F.col("__k")).drop("__part", "__n", "__before", "__k")
+
+
+def first_long_history(history: DataFrame, keys: list[str], order: str, more_than: int = 2) -> DataFrame:
+    """Of each key the first file in ``order`` whose history (array commits) has more commits than that."""
+    return first_of(history.where(F.size("commits") > more_than), keys, [F.asc(order)])
+
+
+def context_with_status(contexts: DataFrame, statuses: DataFrame, keys: list[str]) -> DataFrame:
+    """Contexts (keys, model, name) with the status of the first result (keys, ord, part_of_model, part_of_name, status) whose two
+    parts are in them; null without one."""
+    joined = contexts.join(statuses, keys, "left")
+    hit = F.contains("model", F.col("part_of_model")) & F.contains("name", F.col("part_of_name"))
+    return joined.groupBy(*keys, "model", "name").agg(F.min_by(F.when(hit, F.col("status")), F.when(hit, F.col("ord"))).alias("status"))
+
+
 def repeated(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

@@ -6,6 +6,7 @@ import difflib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,8 +46,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def changed_share(added: Column, removed: Column, lines_a: Column, lines_b: Column) -> Column:
-    """One minus changed lines over all lines of two versions, lines kept counted once."""
-    return 1 - F.try_divide((added + removed).cast("double"), lines_a + lines_b + lines_a - removed)
+    """One minus changed lines over all lines of two versions, lines kept counted once; 1 for binary files, whose counts are null."""
+    binary = added.isNull() | removed.isNull()
+    return F.when(binary, 1.0).otherwise(1 - F.try_divide((added + removed).cast("double"), lines_a + lines_b + lines_a - removed))
 
 
 # --- in Python, by Arrow batches ----------------------------------------------------------------------------------------
@@ -144,20 +146,31 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 # --- joins --------------------------------------------------------------------------------------------------------------
-def edit_join(left: DataFrame, right: DataFrame, keys: list[str], text: str, least: float) -> DataFrame:
+def edit_join(left: DataFrame, right: DataFrame, keys: list[str], text: str, least: float, pairs: Column | None = None) -> DataFrame:
     """Pairs within equal keys whose edit similarity is above ``least``: columns of both sides with l_ and r_, and ``similarity``.
 
-    Lengths are compared first: a distance is at least the difference of lengths, so unlike lengths cost nothing.
+    ``pairs``: a condition on l_ and r_ columns, e.g. an order, so that each pair of one table comes once. Lengths are compared first:
+    a distance is at least the difference of lengths, so unlike lengths cost nothing.
     """
     a = left.select([F.col(c).alias(f"l_{c}") for c in left.columns])
     b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
-    la, lb = F.char_length(f"l_{text}"), F.char_length(f"r_{text}")
-    near = (F.abs(la - lb) <= (1 - least) * F.greatest(la, lb))
-    # A distance above the bound is -1, found out early.
-    bound = F.floor((1 - least) * F.greatest(la, lb)).cast("int")
+    longer = F.greatest(F.char_length(f"l_{text}"), F.char_length(f"r_{text}"))
+    near = F.abs(F.char_length(f"l_{text}") - F.char_length(f"r_{text}")) <= (1 - least) * longer
     on = [a[f"l_{k}"].eqNullSafe(b[f"r_{k}"]) for k in keys]
-    joined = a.join(b, [*on, near]) if keys else a.join(b, near)
-    return joined.withColumn("similarity", edit_similarity(F.col(f"l_{text}"), F.col(f"r_{text}"))).where((F.col("similarity") > least) & (bound >= 0))
+    joined = a.join(b, [*on, near, *([pairs] if pairs is not None else [])])
+    # The distance stops at its bound and is -1 then.
+    distance = _bounded(F.col(f"l_{text}"), F.col(f"r_{text}"), least)
+    rated = joined.withColumn("similarity", F.when(longer == 0, 1.0).when(distance >= 0, 1 - distance / F.nullif(longer, F.lit(0))))
+    return rated.where(F.col("similarity") > least)
+
+
+def _bounded(a: Column, b: Column, least: float) -> Column:
+    """The edit distance, -1 for one that no similarity above ``least`` allows. A threshold is a constant, so there is one for each power of two of lengths."""
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    out = F.levenshtein(a, b)
+    for bits in range(16, -1, -1):
+        out = F.when(longer < (1 << bits), F.levenshtein(a, b, math.ceil((1 - least) * (1 << bits)))).otherwise(out)
+    return out
 
 
 def ratio_join(left: DataFrame, right: DataFrame, keys: list[str], text: str, least: float, strict: bool = True) -> DataFrame:
@@ -190,6 +203,24 @@ def moving_match(probes: pd.DataFrame, lines: list[str], least: float = 0.0) ->
     return out
 
 
+def moving_matches(probes: DataFrame, lines: DataFrame, keys: list[str], least: float = 0.0, shortest: int = 0) -> DataFrame:
+    """moving_match for each key: probes (keys, ord, value) → ord and line_no (from 1; -1 without a match) among lines (keys, line_no,
+    value). Probes of fewer characters than ``shortest``, stripped, are left out. A key's texts are one group, as the search is in order."""
+    kinds = ", ".join(f"{k} {probes.schema[k].dataType.simpleString()}" for k in keys)
+    asked = probes.where(F.char_length(F.trim("value")) >= shortest).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("p"))
+    known = lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("l"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *key, p, found in batch[[*keys, "p", "l"]].itertuples(index=False):
+                at = moving_match([x["value"] for x in p], list(found) if found is not None else [], least)
+                rows += [(*key, x["ord"], i + 1 if i >= 0 else -1) for x, i in zip(p, at, strict=True)]
+            yield pd.DataFrame(rows, columns=[*keys, "ord", "line_no"])
+
+    return asked.join(known, keys, "left").select(*keys, "p", "l").mapInPandas(run, f"{kinds}, ord {probes.schema['ord'].dataType.simpleString()}, line_no int")
+
+
 def hunk_sets_match(pairs: DataFrame, keys: list[str], loose: float = 0.5, exact: float = 0.96, gap: int = 3) -> DataFrame:
     """Whether two sets of hunks are one change. pairs: keys, a_hunk, b_hunk, similarity, message (whether messages match).
 

@@ -5,8 +5,6 @@ Every query reads whole tables. Arrays come out as joined strings, doubles round
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,22 +12,10 @@ from pyspark.sql import functions as F
 from stratadiff.functions import sets
 from stratadiff.functions import text as T
 from stratadiff.operators import diffs, edits, graphs, results, similarity
+from stratadiff.plans import diff_queries, graph_queries, io_queries, result_queries, text_queries  # noqa: F401  they register themselves
+from stratadiff.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from stratadiff.sources.readers import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- set relations -----------------------------------------------------------------------------------------------------
 def _order_sets(spark: SparkSession, d: str) -> DataFrame:
     """Line numbers of each order, and of the order after it, by key of order modulo 3 as a tool."""

@@ -27,12 +27,49 @@ def localized(targets: DataFrame, chain: DataFrame, lines: DataFrame, keys: list
 
 
 def mapped_lines(exact: DataFrame, semantic: DataFrame, renamed: DataFrame, anchored: DataFrame, keys: list[str]) -> DataFrame:
-    """One place for each line (keys, line_no, new_no in each table): carried over, else by meaning, else renamed, else the anchor of what was added."""
+    """One place for each line (keys, line_no, new_no in each table): carried over, else by meaning, else renamed, else the anchor of what was added.
+
+    What is by meaning is best restricted with ``of_same_function`` before.
+    """
     tagged = [t.select(*keys, "line_no", "new_no", F.lit(i).alias("by")) for i, t in enumerate((exact, semantic, renamed, anchored))]
     every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3]).where("new_no IS NOT NULL")
     return results.first_of(every, [*keys, "line_no"], [F.asc("by"), F.asc("new_no")]).drop("by")
 
 
+def of_same_function(pairs: DataFrame, old_functions: DataFrame, new_functions: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of lines (keys, line_no, new_no) that lie in functions of one name on both sides, or outside of all on both."""
+    old = results.innermost(pairs.select(*keys, "line_no").distinct(), old_functions, keys, "line_no", open_start=True, default="")
+    new = results.innermost(pairs.select(*keys, "new_no").distinct(), new_functions, keys, "new_no", open_start=True, default="").withColumnRenamed("name", "new_name")
+    return pairs.join(old, [*keys, "line_no"]).join(new, [*keys, "new_no"]).where("name = new_name").drop("name", "new_name")
+
+
+def walked_history(start: DataFrame, blame: DataFrame, lines: DataFrame, mapped: DataFrame, edges: DataFrame, keys: list[str], newest_known: DataFrame | None = None) -> DataFrame:
+    """Lines followed back through history: keys, commit_id, line_no of each commit that changed what the lines hold, and depth.
+
+    start: keys, commit_id, line_no. blame: keys, commit_id, line_no, origin_commit. lines: diff lines of keys, commit_id and
+    origin_commit, which carry a line over to the commit it comes from. mapped: keys, commit_id, line_no, new_no: where a changed
+    line stood in the first parent (see ``mapped_lines``). A line's walk ends where blame has no commit or the line's own one, where
+    the line is new, and at commits of ``newest_known`` (keys, commit_id), which are older than what is asked for. Each commit and line is
+    followed once, so walks end.
+    """
+    parents = graphs.first_parents(edges).select(*keys, F.col("commit_id"), "parent_id")
+    pairs = [*keys, "commit_id", "origin_commit"]
+    edge = graphs._cut(start.select(*keys, "commit_id", "line_no").distinct())
+    followed, found, depth = edge, None, 0
+    while not edge.isEmpty():
+        named = edge.join(blame, [*keys, "commit_id", "line_no"]).where("origin_commit <> commit_id")
+        if newest_known is not None:
+            named = named.join(newest_known.select(*keys, F.col("commit_id").alias("origin_commit")), [*keys, "origin_commit"], "left_anti")
+        moved = diffs.transport(named.withColumn("ord", F.lit(0)), lines, pairs)
+        at = moved.select(*keys, F.col("origin_commit").alias("commit_id"), F.col("new_no").alias("line_no"), F.lit(depth).alias("depth")).distinct()
+        found = graphs._cut(at if found is None else found.unionByName(at.join(found, [*keys, "commit_id", "line_no"], "left_anti")))
+        before = at.join(mapped, [*keys, "commit_id", "line_no"]).where("new_no > 0").join(parents, [*keys, "commit_id"])
+        edge = graphs._cut(before.select(*keys, F.col("parent_id").alias("commit_id"), F.col("new_no").alias("line_no")).distinct().join(followed, [*keys, "commit_id", "line_no"], "left_anti"))
+        followed = graphs._cut(followed.unionByName(edge))
+        depth += 1
+    return found if found is not None else edge.withColumn("depth", F.lit(0))
+
+
 def contiguous(found: DataFrame, lines: str = "lines") -> DataFrame:
     """Lines filled up to one range."""
     return found.withColumn(lines, sets.filled_range(F.col(lines)))
@@ -58,10 +95,10 @@ def unapplied(files: DataFrame, applied: DataFrame, keys: list[str]) -> DataFram
     return files.join(fine, [*keys, "path"], "left_anti")
 
 
-def port_results(answers: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+def port_results(answers: DataFrame, runs: DataFrame, keys: list[str], most: int = 500) -> DataFrame:
     """A status for each answer (keys, text): that of its run, or of its size where it has none."""
     joined = answers.join(runs, keys, "left")
-    gate = T.gate_status(F.col("text").isNotNull(), F.size(T.lines_of(F.col("text"))))
+    gate = T.gate_status(F.col("text").isNotNull(), F.size(T.lines_of(F.col("text"))), most)
     return joined.select(*keys, F.coalesce(gate, T.run_status(F.col("stderr")), F.lit("Check")).alias("status"))
 
 

@@ -108,10 +108,11 @@ def keyed_object(spark: SparkSession, path: str, value: str = "struct<repo:strin
     return _whole(spark, path).select(F.explode(F.from_json("text", f"map<string,{value}>")).alias("cve", "v")).select("cve", "v.*")
 
 
-def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Result rows in JSON; an empty table where there is no file yet."""
+def results(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Result rows in JSON, one array a file or, with ``lines``, one row a line (as the sinks append them); an empty table where
+    there is no file yet."""
     try:
-        return spark.read.schema(schema).json(path, multiLine=True)
+        return spark.read.schema(schema).json(path, multiLine=not lines)
     except Exception as missing:  # the path may not exist before the first run
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -130,3 +131,24 @@ def numbers(spark: SparkSession, path: str) -> DataFrame:
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder: path, name, size, and when each changed; contents are not read."""
     return spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+
+
+def read_through(spark: SparkSession, path: str, made) -> DataFrame:
+    """The table at ``path``; where there is none yet, that of ``made`` (a function without arguments), written there first."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    made().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def hunk_contents(asked: DataFrame, known: DataFrame, case: str, hunk: str, values: list[str]) -> DataFrame:
+    """``asked`` with the values of the entry for its case and hunk; null without one. Entries have ids `case#<word>-hunk`; hunk
+    numbers may have several digits, and of several entries one is taken: that of the least id."""
+    parts = F.split("id", "#")
+    entries = known.select(F.get(parts, 0).alias("__case"), F.regexp_extract(F.get(parts, 1), r"-(\d+)$", 1).try_cast("long").alias("__hunk"), "id", *values)
+    one = entries.where("__hunk IS NOT NULL").groupBy("__case", "__hunk").agg(F.min(F.struct("id", *values)).alias("__x"))
+    found = asked.join(one, (asked[case] == one["__case"]) & (asked[hunk].cast("long") == one["__hunk"]), "left")
+    return found.select(*asked.columns, *(F.col(f"__x.{v}").alias(v) for v in values))

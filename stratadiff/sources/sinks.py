@@ -24,11 +24,18 @@ def write_prompts(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("version", "model").json(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
-    """Old rows with new ones in the place of those with equal keys, as a new table at ``path`` (another than the old one's)."""
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Old rows with new ones in the place of those with equal keys. Of several new rows of a key the last in ``order`` counts
+    (of all columns, where none is given)."""
     both = old.withColumn("__age", F.lit(0)).unionByName(new.withColumn("__age", F.lit(1)), allowMissingColumns=True)
-    last = both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__age")))).where("__n = 1")
-    last.drop("__n", "__age").write.mode("overwrite").parquet(path)
+    names = order or sorted(c for c in both.columns if c not in (*keys, "__age"))
+    last = both.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__age"), *(F.desc(c) for c in names))))
+    return last.where("__n = 1").drop("__n", "__age")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], path: str, order: list[str] | None = None) -> None:
+    """``upserted`` as a new table at ``path`` (another than the old one's)."""
+    upserted(old, new, keys, order).write.mode("overwrite").parquet(path)
 
 
 def copy_matching(spark, source: str, target: str, names: str) -> None:

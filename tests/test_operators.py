@@ -170,7 +170,8 @@ def test_code(spark):
 def test_edits(spark):
     assert edits.offsets("aaa", "aa") == [0, 1] and edits.nth_replaced("a a a", "a", "b", 1) == "a b a" and edits.replaced_nearest("x\ny\nx\n", "x", "z", 3) == "x\ny\nz\n"
     assert edits.repaired([-1, 5, -1], ["a", "", "b", "", "c", "", "d"]) == [3, 5, 7]
-    assert edits.absorbed([("p1", "b"), ("p2", "a b c"), ("p3", "x")]) == [("p2\np1", "a b c"), ("p3", "x")]
+    assert edits.absorbed([("p1", "b"), ("p2", "a b c"), ("p3", "x")]) == [(["p2", "p1"], "a b c"), (["p3"], "x")]
+    assert edits.absorbed([("p1", ""), ("p2", ""), ("p1", "a"), ("p1", "ab"), ("p4", "b")]) == [(["p1", "p4"], "ab"), (["p1"], ""), (["p2"], "")]
     rows = spark.createDataFrame([("k", "x\ny\nx", "x", "z", 3, 0), ("k", "x\ny\nx", "y", "w", 2, 1)], "k string, text string, old string, new string, line int, ord int")
     assert edits.applied_edits(rows, ["k"]).first().text == "x\nw\nz"
     p = spark.range(1).select(edits.porting_prompt(F.lit("+a"), F.lit("code")), edits.rendered("{a}-{b}", a=F.lit("1"), b=F.lit(None))).first()
