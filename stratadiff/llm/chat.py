@@ -76,7 +76,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
     rows: conv_id, turn, role, text; other columns are not read. Turns come by turn number, those without first; equal
     numbers by role and text; repeated rows stay. A null text or role is empty; a null conv_id is a conversation of its own.
-    A conversation is one row, so the memory for it grows with the longest conversation.
+    A conversation is one row, so the memory for it grows with the longest conversation. An empty table gives no row.
     """
     order = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.select("conv_id", order.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))

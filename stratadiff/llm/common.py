@@ -22,16 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder of spark.checkpoint.dir; later jobs read them instead of the plan.
-
-    A folder is only chosen here where the session names none, as in tests on one machine.
-    """
+    """The rows, written once to the shared folder of spark.checkpoint.dir; later jobs read them instead of the plan."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "stratadiff-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only on one machine, where the session names none, a temporary one; a cluster without one fails."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or os.path.join(tempfile.gettempdir(), "stratadiff-checkpoints")
+
+
 def release(df: DataFrame) -> None:
     """Lets Spark drop the files of shuffles and checkpoints that nothing refers to any more: its cleaner acts when the driver
     collects garbage, and Python's references go first."""

@@ -122,6 +122,8 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str, int]] = NOTICES
     n_base counts places of the exact phrases, first_word and last_word are their least and greatest first word (else null).
     labels adds those of notices found with few edits; spans gives each such place. score: 1 for an exact phrase, else
     one minus the least share of edited characters, 0 without a find. Null and empty texts have no words and no label.
+    Repeated rows each have a row; ties of labels do not arise, as they are sets; an empty table gives no row. Texts are searched whole:
+    memory of a task grows with the longest alone.
     """
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 

@@ -10,6 +10,7 @@ whose lengths are powers of two, so nothing is padded. No shuffle takes place, a
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -37,20 +38,31 @@ def cost(length: int) -> float:
 class WordTokens:
     """The ids of texts, from the ids of parts, each encoded once and kept.
 
-    The tokenizer lowers case, drops white space, and never joins letters with what is no letter. So a text's ids are
-    those of its parts between blanks and line feeds in order, also with a blank put before marks that end a part
-    after a letter or digit (apostrophes stay), and, where all characters are of Latin-1, with case lowered before.
+    A tokenizer of word pieces lowers case, drops white space, and never joins letters with what is no letter (``RULES``). So a
+    text's ids are those of its parts between blanks and line feeds in order, also with a blank put before marks that end a part
+    after a letter or digit (apostrophes stay), and, where all characters are of Latin-1, with case lowered before. Texts that
+    hold one of the tokenizer's special strings are encoded whole, as are all texts by a tokenizer of other rules.
     """
 
+    #: The normalizer and splitter that parts rely on. Fixed values.
+    RULES = (
+        [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    )
+
     #: A word that is one id, and is in no other word's ids: new parts are encoded together with it in between.
     BETWEEN = "\U0001f602"
     _MARKS = re.compile(r"(?<=[0-9a-z\xdf-\xf6\xf8-\xff])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_are_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_are_text
+        told = json.loads(self.tokenizer.to_str())
+        self.specials = [] if specials_are_text else [t["content"] for t in told["added_tokens"]]
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.whole = ((told.get("normalizer") or {}).get("normalizers"), split[0].get("pattern")) != self.RULES
         self.known: dict[str, bytes] = {"": b""}
         self.between = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
 
@@ -74,7 +86,10 @@ class WordTokens:
             self.known.update((p, raw[4 * a + 4 : 4 * b]) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.parts(t) for t in texts]
+        alone = {i for i, t in enumerate(texts) if self.whole or any(s in t for s in self.specials)}
+        direct = self.tokenizer.encode_batch_fast([texts[i] for i in sorted(alone)], add_special_tokens=False)
+        found = {i: np.array(e.ids, "<u4") for i, e in zip(sorted(alone), direct, strict=True)}
+        parts = [[] if i in alone else self.parts(t) for i, t in enumerate(texts)]
         known = self.known
         new = list({p for some in parts for p in some if p not in known})
         if len(known) + len(new) > KEPT_WORDS:
@@ -82,7 +97,7 @@ class WordTokens:
             new = list({p for some in parts for p in some})
         if new:
             self.learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, some)), "<u4") for some in parts]
+        return [found[i] if i in alone else np.frombuffer(b"".join(map(known.__getitem__, some)), "<u4") for i, some in enumerate(parts)]
 
 
 def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -135,13 +150,13 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     return pieces
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, specials_are_text: bool) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    words, part, at, held = WordTokens(path), TaskContext.get().partitionId(), 0, 0
+    words, part, at, held = WordTokens(path, specials_are_text), TaskContext.get().partitionId(), 0, 0
     ids: list[np.ndarray] = []
     docs: list[int | None] = []
     end = np.array([END], "<u4")
@@ -169,14 +184,16 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) ->
         yield flush()
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, specials_are_text: bool = False) -> DataFrame:
     """A row for each piece of a row of ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows are packed as they come, repeated rows each on their own; a null
-    doc_id stays null. ``path`` is the tokenizer's file on every executor (None: that of the installed package). An empty table gives no pieces. Only doc_id and text are read, other columns may have any names.
+    doc_id stays null. ``path`` is the tokenizer's file on every executor (None: that of the installed package). Its special
+    strings in a text get their own ids, as the tokenizer gives them, or with ``specials_are_text`` those of ordinary text. An empty table gives no pieces. Only doc_id and text are read, other columns may have any names.
+    Ties go as in ``assign``. Memory of a task grows with the longest text alone.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(lambda batches: _pack(batches, path, capacity), ", ".join(f"{n} long" for n in NAMES))
+    return rows.mapInArrow(lambda batches: _pack(batches, path, capacity, specials_are_text), ", ".join(f"{n} long" for n in NAMES))
 
 
 def op2_cost_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:

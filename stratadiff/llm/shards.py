@@ -60,7 +60,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     """doc_id, size, text_crc32, shard and slot for each row of ``docs`` (doc_id, text; other columns are not read).
 
     size: bytes of the text in UTF-8 plus 1; a null text is an empty one. Rows in shards differ by one at most in number;
-    slots count from 0 in each shard. Ties go by doc_id, those without first; repeated rows each have a slot.
+    slots count from 0 in each shard. Ties go by doc_id, those without first; repeated rows each have a slot; an empty table gives no row. Of a text only its
+    size and hashes are kept, however long it is.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int")

@@ -294,7 +294,7 @@ def _runs(docs: DataFrame, again: DataFrame) -> DataFrame:
     places = asked.select("r", place.alias("at")).unionByName(firsts.select("r", place.alias("at")))
     some = _where_bits(docs.select("doc_id", "text", _keys(docs)[1]), F.col("r"), cut(places.select("r").distinct()), "r")
     around = cut(_where_bits(_around(some.select("doc_id", "text")), place, cut(places.select("at").distinct()), "at"))
-    other = around.join(firsts, ["h", "r", "first"]).select("h", F.col("around").alias("other")).dropDuplicates(["h"])
+    other = cut(around.join(firsts, ["h", "r", "first"]).select("h", F.col("around").alias("other")).dropDuplicates(["h"]))
     both = around.join(asked, ["h", "r", "first"], "left_semi").select("h", "r", "first", "around").join(other, "h")
     run = F.pandas_udf(_run, "first int, n int")
     return both.select("r", run("first", "around", "other").alias("x")).where("x.n > 0").select("r", F.lit(PLACE).alias("kind"), "x.first", "x.n")
