@@ -183,6 +183,23 @@ def ratio_join(left: DataFrame, right: DataFrame, keys: list[str], text: str, le
     return rated.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
 
 
+def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 64, digits: int = 6) -> DataFrame:
+    """q, key, s: for each query vector the ``k`` rows of greatest cosine, ties by key, itself left out.
+
+    Queries are gathered in blocks of ``block`` by key, and each row meets each block once; what a task keeps for a query is cut to
+    k rows before the shuffle. Vectors of length 0 are like nothing and come last.
+    """
+    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    ranked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), unit(vector).alias("size"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
+    many = max(1, -(-queries.count() // block))
+    blocks = ranked.groupBy(F.pmod("h", F.lit(many)).alias("block")).agg(F.collect_list(F.struct("q", "v", "size")).alias("asked"))
+    each = rows.select(key, F.col(vector).alias("w"), unit(vector).alias("own")).crossJoin(blocks).select(key, "w", "own", F.explode("asked").alias("x"))
+    dot = F.aggregate(F.zip_with("x.v", "w", lambda p, r: p.cast("double") * r), F.lit(0.0), lambda s, x: s + x)
+    rated = each.where(F.col("x.q") != F.col(key)).select(F.col("x.q").alias("q"), key, F.round(F.try_divide(dot, F.col("x.size") * F.col("own")), digits).alias("s"))
+    w = W.partitionBy("q").orderBy(F.desc_nulls_last("s"), key)
+    return rated.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
+
+
 def best_match(pairs: DataFrame, keys: list[str], score: str, order: list[str]) -> DataFrame:
     """Of each key the pair of greatest score, the first of equal ones in ``order``."""
     w = W.partitionBy(*keys).orderBy(F.desc(score), *order)

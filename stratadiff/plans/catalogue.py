@@ -281,7 +281,7 @@ def checked_lookup(spark, d):
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) > 0.8""")
 def levenshtein_join(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name")
-    out = similarity.edit_join(p, p, ["p_brand", "p_size"], "p_name", 0.8).where("l_p_partkey < r_p_partkey")
+    out = similarity.edit_join(p, p, ["p_brand", "p_size"], "p_name", 0.8, F.col("l_p_partkey") < F.col("r_p_partkey"))
     return out.select(F.col("l_p_partkey").alias("l_partkey"), F.col("r_p_partkey").alias("r_partkey"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -296,13 +296,12 @@ def token_jaccard(spark, d):
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(similarity.token_jaccard(F.col("text"), F.col("next")), 6).alias("jaccard"))
 
 
-@query("""WITH q AS (SELECT label, min(vec_id) AS q FROM embeddings GROUP BY 1), p AS (SELECT q.q, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS s FROM q JOIN embeddings f ON f.vec_id = q.q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.q)
+@query("""WITH p AS (SELECT f.vec_id AS q, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS s FROM embeddings f JOIN embeddings e ON e.vec_id <> f.vec_id WHERE f.vec_id % 100 = 0)
 SELECT q, vec_id, s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS n FROM p) WHERE n <= 3""")
 def cosine_topk(spark, d):
+    """The three nearest vectors of every vector whose id is divisible by 100, among all."""
     e = table(spark, d, "embeddings")
-    first = results.first_of(e, ["label"], [F.asc("vec_id")]).select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    pairs = e.join(first, "label").where("vec_id <> q").select("q", "vec_id", F.round(similarity.cosine(F.col("embedding"), F.col("v")), 6).alias("s"))
-    return pairs.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("n <= 3").drop("n")
+    return similarity.nearest_vectors(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 3).select("q", "vec_id", "s")
 
 
 @query("SELECT l_orderkey, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1")
@@ -366,7 +365,7 @@ def bleu(spark, d):
     return _next_lines(spark, d).select("doc_id", "line", F.round(similarity.bleu(F.col("a"), F.col("b")), 6).alias("bleu"), F.round(similarity.code_bleu(F.col("a"), F.col("b")), 6).alias("code_bleu"))
 
 
-@query()
+@query("SELECT doc_id, len(string_split(text, chr(10))) // 3 AS changed, 1 AS hunks, len(string_split(text, chr(10))) // 3 AS chunks FROM documents")
 def diff_stats(spark, d):
     """Each document's lines against those of itself without every third: patches are made, parsed and counted."""
     docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))

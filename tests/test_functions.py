@@ -43,7 +43,7 @@ def test_lines(spark):
 def test_names(spark):
     assert one(spark, *(T.patchable_source(F.lit(p), F.lit(a)) for p, a in [("src/a.js", False), ("src/a.min.js", False), ("latest/a.js", False), ("a.ts", False), ("a.js", True), ("a.json", False)])) == (True, False, False, True, False, False)
     assert one(spark, T.candidate_file(F.lit("lib/a.js")), T.candidate_file(F.lit("dist/a.js")), T.script_source(F.lit("a.ts")), T.c_source(F.lit("x/a.c"))) == (True, False, False, True)
-    assert one(spark, T.commit_address(F.lit("https://h/o/r/pull/12/commits/abc")), T.patch_id(F.lit("https://h/o/r/commit/abc#diff-1")), T.without_fragment(F.lit("x")), T.owner_and_repo(F.lit("https://h/o/r/commit/abc"))) == ("https://h/o/r/commit/abc", "abc", "x", "o@r")
+    assert one(spark, T.commit_address(F.lit("https://github.com/o/r/pull/12/commits/abc#x")), T.patch_id(F.lit("https://h/o/r/commit/abc#diff-1")), T.without_fragment(F.lit("x")), T.owner_and_repo(F.lit("https://h/o/r/commit/abc"))) == ("https://github.com/o/r/commit/abc", "abc", "x", "o@r")
     assert one(spark, T.blame_commit(F.lit("^abc12 (x) 3")), T.log_commit(F.lit("x\ncommit abcdef1\n")), F.size(T.split_log(F.lit("commit abcdef1\na\ncommit abcdef2\nb"))), T.clean_tag(F.lit("v1.2.0-rc1"))) == ("abc12", "abcdef1", 2, "1.2.0")
     assert [tuple(r) for r in one(spark, T.rename_rows(F.lit("R100\ta\tb\nM\tc\nA\td")))[0]] == [("R", "b"), ("A", "d")]
     assert tuple(one(spark, T.case_name(F.lit("x/y/pkg_1.0.2")))[0]) == ("pkg", "1.0.2")
