@@ -4,7 +4,8 @@ Documents with equal texts are linked. Linked documents start in shards by hash,
 that fall into one of ``BLOCKS`` blocks of ids, so a text that a third of all rows have is ``BLOCKS`` cells and no
 task gathers it. In each round, a join of cells with the weights of their text in each shard tells every cell the shard
 where it would have most neighbours; it moves there if that cuts fewer links, as far as the shard's quota allows (moves
-go down in even rounds and up in odd ones, so two cells don't swap for ever). Documents without a link fill what is left.
+go down in even rounds and up in odd ones, so two cells don't swap for ever). A text that a quota has left in several shards then
+moves as a whole to one with room for it. Documents without a link fill what is left.
 
 Law ``rows``: counts differ by one at most. Places in a shard are numbered in two steps, over counts of small
 buckets and within a bucket, and what is beyond a quota goes to the free places in order.
@@ -53,9 +54,30 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         cells = cut(cells.join(moves, ["g", "crc", "block"], "left").select("g", "crc", "block", "weight", F.coalesce("to", "shard").alias("shard")))
         if best.isEmpty() and turn % 2:
             break
+    for turn in range(rounds):
+        before = cells
+        cells = _gathered(cells, quotas, turn)
+        if cells is before:
+            break
     return cells
 
 
+def _gathered(cells: DataFrame, quotas: list[int], turn: int) -> DataFrame:
+    """``cells`` with texts that are still in several shards moved as a whole to one with room for all of them, as far as quotas
+    allow: where a quota stops single cells, the whole text may fit elsewhere. The same frame if there is nothing to move."""
+    load = _per_shard(cells, len(quotas), F.sum("weight"))
+    slack = [max(0, q - n) for q, n in zip(quotas, load, strict=True)]
+    split = cells.groupBy("g", "crc").agg(F.sum("weight").alias("weight"), F.count_distinct("shard").alias("parts")).where("parts > 1")
+    roomy = F.filter(F.array(*(F.struct(F.lit(s).alias("to"), F.lit(n).cast("long").alias("slack")) for s, n in enumerate(slack))), lambda x: x["slack"] >= F.col("weight"))
+    chosen = F.get(roomy, F.pmod(F.xxhash64("g", F.lit(turn)), F.greatest(F.size(roomy), F.lit(1))).cast("int"))["to"]
+    wish = cut(split.select("g", "crc", "weight", chosen.alias("to"), F.pmod(F.xxhash64("g", "crc", F.lit(turn)), F.lit(BUCKETS)).alias("bucket")).where("to IS NOT NULL"))
+    run = wish.groupBy("to", "bucket").agg(F.sum("weight").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy("to").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
+    moves = cut(wish.join(run.where(F.col("upto") <= _pick(F.col("to"), slack)).select("to", "bucket"), ["to", "bucket"], "left_semi").select("g", "crc", "to"))
+    if moves.isEmpty():
+        return cells
+    return cut(cells.join(moves, ["g", "crc"], "left").select("g", "crc", "block", "weight", F.coalesce("to", "shard").alias("shard")))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for each row of ``docs`` (doc_id, text; other columns are not read).
 
