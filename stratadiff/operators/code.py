@@ -178,6 +178,12 @@ def names_in_ranges(ranges: DataFrame, keys: list[str], text: str) -> DataFrame:
     return ranges.select(*keys, text, "first", "last").mapInPandas(run, f"{kinds}, def array<string>, use array<string>")
 
 
+def function_by_name(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The first function (least start_line) of each asked name (keys, name) in another version: start_line, end_line, body; null without one."""
+    first = found.groupBy(*keys, "name").agg(F.min(F.struct("start_line", "end_line", "body")).alias("x"))
+    return asked.select(*keys, "name").distinct().join(first, [*keys, "name"], "left").select(*keys, "name", "x.start_line", "x.end_line", "x.body")
+
+
 def matched_functions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Each old function with the new one of the same name, else with that of the least edit distance over both lengths.
 

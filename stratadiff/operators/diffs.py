@@ -142,7 +142,7 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], inside: Column,
 def chunks(lines: DataFrame, key: str = "case_id") -> DataFrame:
     """The change chunks of each hunk: runs of added and removed lines, a context line between two.
 
-    kind is change, delete or add. first and last are the removed old lines; for an addition the old line that follows,
+    kind is change, delete or add; numbers are those of its removed lines. first and last are the removed old lines; for an addition the old line that follows,
     or the line after the hunk where none follows in it.
     """
     by = [key, "file_idx", "hunk_idx"]
@@ -151,9 +151,9 @@ def chunks(lines: DataFrame, key: str = "case_id") -> DataFrame:
     found = islands(lines.withColumn("next_no", F.coalesce(following, F.col("src_start") + F.col("src_len"))), by, ["pos"], F.col("line_type") != " ", "chunk_idx")
     removed, added = F.count_if(F.col("line_type") == "-"), F.count_if(F.col("line_type") == "+")
     texts = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("line_type") == kind, F.struct("pos", "value")))), lambda x: x["value"])
-    out = found.groupBy(*by, "path", "chunk_idx").agg(removed.alias("removed"), added.alias("added"), F.min("src_no").alias("first"), F.max("src_no").alias("last"), F.max("next_no").alias("next_no"), texts("-").alias("old_lines"), texts("+").alias("new_lines"))
+    out = found.groupBy(*by, "path", "chunk_idx").agg(removed.alias("removed"), added.alias("added"), F.min("src_no").alias("first"), F.max("src_no").alias("last"), F.max("next_no").alias("next_no"), F.array_sort(F.collect_list(F.when(F.col("line_type") == "-", F.col("src_no")))).alias("numbers"), texts("-").alias("old_lines"), texts("+").alias("new_lines"))
     kind = F.when((F.col("removed") > 0) & (F.col("added") > 0), "change").when(F.col("removed") > 0, "delete").otherwise("add")
-    return out.select(*by, "path", "chunk_idx", kind.alias("kind"), F.coalesce("first", "next_no").alias("first"), F.coalesce("last", "next_no").alias("last"), "old_lines", "new_lines")
+    return out.select(*by, "path", "chunk_idx", kind.alias("kind"), F.coalesce("first", "next_no").alias("first"), F.coalesce("last", "next_no").alias("last"), "numbers", "old_lines", "new_lines")
 
 
 def anchored(chunk: DataFrame, files: DataFrame, key: str = "case_id") -> DataFrame:

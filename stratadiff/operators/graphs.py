@@ -195,6 +195,13 @@ def by_rank(rows: DataFrame, rank: DataFrame, keys: list[str] = []) -> DataFrame
     return rows.join(rank.select(*keys, "commit_id", "rank"), [*keys, "commit_id"], "left").withColumn("place", F.coalesce("rank", F.lit((1 << 31) - 1))).drop("rank")
 
 
+def name_history(names: DataFrame, rank: DataFrame, keys: list[str]) -> DataFrame:
+    """The names (keys, commit_id, path) that a file had, from the oldest on, as an array; commits without a rank come last."""
+    placed = by_rank(names, rank, [k for k in keys if k in rank.columns])
+    ordered = F.array_sort(F.collect_list(F.struct("place", "commit_id", "path")))
+    return placed.groupBy(*keys).agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+
+
 def blamed(lines: DataFrame, blame: DataFrame, rank: DataFrame, keys: list[str], latest: bool = True) -> DataFrame:
     """The latest (else the oldest) of the commits that lines (keys, path, line_no) come from, by topological rank."""
     found = by_rank(lines.join(blame, [*keys, "path", "line_no"]).select(*keys, "path", F.col("origin_commit").alias("commit_id")), rank, [k for k in keys if k in rank.columns])

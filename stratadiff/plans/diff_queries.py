@@ -31,9 +31,9 @@ def hunk_source_range(spark, d):
 
 
 @query(f"""WITH {DIFFS} SELECT doc_id, hunk_idx, (row_number() OVER (PARTITION BY doc_id, h ORDER BY n) - 1)::BIGINT AS chunk_idx, CASE k WHEN 3 THEN 'delete' WHEN 5 THEN 'change' ELSE 'add' END AS kind,
-CASE k WHEN 7 THEN n + 1 ELSE n END AS first, CASE k WHEN 7 THEN n + 1 ELSE n END AS last FROM (SELECT *, h::INT AS hunk_idx FROM x WHERE k IN (3, 5, 7))""")
+CASE k WHEN 7 THEN n + 1 ELSE n END AS first, CASE k WHEN 7 THEN n + 1 ELSE n END AS last, CASE k WHEN 7 THEN '' ELSE n::VARCHAR END AS numbers FROM (SELECT *, h::INT AS hunk_idx FROM x WHERE k IN (3, 5, 7))""")
 def diff_chunks(spark, d):
-    return diffs.chunks(document_diffs(spark, d), "doc_id").select("doc_id", "hunk_idx", "chunk_idx", "kind", "first", "last")
+    return diffs.chunks(document_diffs(spark, d), "doc_id").select("doc_id", "hunk_idx", "chunk_idx", "kind", "first", "last", _joined("numbers").alias("numbers"))
 
 
 @query(f"""WITH {DIFFS}, a AS (SELECT x.doc_id, x.h, x.n, min(f.n) AS anchor FROM x LEFT JOIN l f ON f.doc_id = x.doc_id AND f.n > x.n AND {FULL.format("f.v")} WHERE k = 7 GROUP BY 1, 2, 3)

@@ -289,3 +289,26 @@ def moving_matches(spark, d):
     lines = p.select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line_no")).withColumn("value", F.repeat(F.lit("x"), F.col("line_no")))
     probes = p.select("p_partkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), F.repeat(F.lit("x"), F.col("n")).alias("value"))
     return similarity.moving_matches(probes, lines, ["p_partkey"])
+
+
+@query("SELECT p_partkey, least(p_size, 7)::VARCHAR AS lines FROM part WHERE p_size >= 3")
+def localized_by_likeness(spark, d):
+    n = F.least(F.col("p_size"), F.lit(7)).cast("int")
+    p = table(spark, d, "part").select("p_partkey", n.alias("n"))
+    lines = p.select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line_no")).withColumn("value", F.repeat(F.lit("x"), F.col("line_no")))
+    source = p.select("p_partkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), F.repeat(F.lit("x"), F.col("n")).alias("value"))
+    return studies.localized_by_likeness(source, lines, ["p_partkey"]).select("p_partkey", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id % 100, event_type) AS paths FROM (SELECT DISTINCT user_id, event_id % 100 AS event_id, event_type FROM events) GROUP BY 1")
+def name_history(spark, d):
+    names = table(spark, d, "events").select("user_id", F.format_string("c%03d", F.col("event_id") % 100 + 1).alias("commit_id"), F.col("event_type").alias("path")).distinct()
+    found = graphs.name_history(names, graphs.ranks(_chain(spark), "commit_id", "parent_id"), ["user_id"])
+    return found.select("user_id", F.array_join("paths", ",").alias("paths"))
+
+
+@query("SELECT p_partkey, 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS start_line, CASE WHEN p_partkey % 2 = 0 THEN 4 END AS end_line FROM part")
+def function_by_name(spark, d):
+    s = _scripts(spark, d)
+    found = code.functions(s.where("p_partkey % 2 = 0"), ["p_partkey"], "js")
+    return code.function_by_name(s.select("p_partkey", F.format_string("f%d", "p_partkey").alias("name")), found, ["p_partkey"]).select("p_partkey", "name", "start_line", "end_line")

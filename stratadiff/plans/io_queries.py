@@ -58,6 +58,14 @@ def read_whole_texts(spark, d):
     return readers.whole_texts(spark, f"{path}/*/*.txt").select(_case().alias("case_id"), F.md5("text").alias("text"))
 
 
+@query("SELECT n_nationkey::VARCHAR AS case_id, 3 AS lines, 0 AS missing FROM nation")
+def read_line_counts(spark, d):
+    n = table(spark, d, "nation")
+    path = _written(spark, n, "counts", F.concat("n_name", F.lit("\n\n"), "n_name"), F.col("n_nationkey"))
+    none = readers.case_metadata(spark, f"{path}/none/*.txt", missing_ok=True).agg(F.count("*")).scalar()
+    return readers.line_counts(spark, f"{path}/*/*.txt").select(_case().alias("case_id"), "lines", none.alias("missing"))
+
+
 _VERSIONS = "SELECT n_regionkey::VARCHAR AS case_id, 'c' || n_nationkey AS commit_id, n_name[1] || '.' || n_nationkey AS version, n_nationkey AS k FROM nation"
 
 
@@ -157,7 +165,7 @@ def read_listing(spark, d):
     return readers.listing(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", r"case=(\d+)", 1).alias("case_id"), "size")
 
 
-@query("SELECT 'v' || (p_size % 3) AS version, 'm' || (p_partkey % 2) AS model, count(*) AS n, sum(p_partkey) AS keys FROM part GROUP BY 1, 2")
+@query("SELECT 'v' || (p_size % 3) AS version, 'm' || (p_partkey % 2) AS model, count(*) AS n, sum(p_partkey)::BIGINT AS keys FROM part GROUP BY 1, 2")
 def write_prompts(spark, d):
     path = _folder(spark, "prompts")
     sinks.write_prompts(table(spark, d, "part").select(F.format_string("v%d", F.col("p_size") % 3).alias("version"), F.format_string("m%d", F.col("p_partkey") % 2).alias("model"), "p_partkey"), path)

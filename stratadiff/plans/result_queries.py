@@ -117,6 +117,14 @@ def effectiveness_by_type(spark, d):
     return studies.effectiveness(runs, types).select("type", "total", "fixed", "broken", "open", "fixed_share")
 
 
+@query("SELECT 'cwe' || (o_custkey % 5) AS cwe, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS fixed, round(count(*) FILTER (WHERE o_orderstatus = 'O')::DOUBLE / count(*), 6) AS open_share FROM orders GROUP BY 1")
+def effectiveness_by_weakness(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "True").when(F.col("o_orderstatus") == "O", "False#0").otherwise("False#1")
+    runs = table(spark, d, "orders").select(F.col("o_custkey").alias("pkg"), status.alias("status"))
+    types = table(spark, d, "customer").select(F.col("c_custkey").alias("pkg"), F.concat(F.lit("cwe"), (F.col("c_custkey") % 5).cast("string")).alias("cwe"))
+    return studies.effectiveness(runs, types, "cwe").select("cwe", "total", "fixed", "open_share")
+
+
 @query("SELECT p_brand, count(*) FILTER (WHERE p_size % 4 IN (0, 1)) AS files FROM part GROUP BY 1")
 def touched_files(spark, d):
     path = F.concat(F.lit("src/"), (F.col("p_partkey")).cast("string"), F.element_at(F.array(*map(F.lit, (".js", ".mjs", ".ts", ".test.js"))), (F.col("p_size") % 4 + 1).cast("int")))

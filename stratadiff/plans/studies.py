@@ -70,6 +70,13 @@ def walked_history(start: DataFrame, blame: DataFrame, lines: DataFrame, mapped:
     return found if found is not None else edge.withColumn("depth", F.lit(0))
 
 
+def localized_by_likeness(source: DataFrame, target: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
+    """Where the lines of a change stand in another version, by likeness alone: keys and lines (sorted, distinct) of the target's lines most
+    like them, searched in order. source: keys, ord, value. target: keys, line_no, value. Lines of fewer than three characters don't count."""
+    found = similarity.moving_matches(source, target, keys, least, shortest=3)
+    return found.where("line_no > 0").groupBy(*keys).agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+
+
 def contiguous(found: DataFrame, lines: str = "lines") -> DataFrame:
     """Lines filled up to one range."""
     return found.withColumn(lines, sets.filled_range(F.col(lines)))
@@ -102,10 +109,10 @@ def port_results(answers: DataFrame, runs: DataFrame, keys: list[str], most: int
     return joined.select(*keys, F.coalesce(gate, T.run_status(F.col("stderr")), F.lit("Check")).alias("status"))
 
 
-def effectiveness(statuses: DataFrame, types: DataFrame) -> DataFrame:
-    """Shares of fixed, broken and open cases by porting type. Every package must have a type."""
+def effectiveness(statuses: DataFrame, types: DataFrame, by: str = "type") -> DataFrame:
+    """Shares of fixed, broken and open cases by porting type, or by another column of ``types`` (the weakness). Every package must be there."""
     typed = results.looked_up(statuses, types, "pkg")
-    counts = typed.groupBy("type").agg(F.count("*").alias("total"), F.sum(T.status_bit(F.col("status"))).alias("fixed"), F.count_if(F.col("status") == "False#1").alias("broken"), F.count_if(F.col("status") == "False#0").alias("open"))
+    counts = typed.groupBy(by).agg(F.count("*").alias("total"), F.sum(T.status_bit(F.col("status"))).alias("fixed"), F.count_if(F.col("status") == "False#1").alias("broken"), F.count_if(F.col("status") == "False#0").alias("open"))
     share = lambda c: F.round(F.try_divide(F.col(c).cast("double"), F.col("total")), 6).alias(f"{c}_share")
     return counts.select("*", share("fixed"), share("broken"), share("open"))
 

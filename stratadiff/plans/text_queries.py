@@ -84,11 +84,11 @@ def location_rows(spark, d):
     return table(spark, d, "part").where("p_size > 3").select("p_partkey", at["id"].alias("id"), F.array_join(F.transform(at["lines"], lambda x: x.cast("string")), ",").alias("lines"))
 
 
-@query("SELECT p_partkey, to_timestamp(1700000000 + p_size) AT TIME ZONE 'UTC' AS t, 'CWE-' || p_size AS cwe, printf('%.2f%%', p_size * 100.0 / 64) AS share FROM part")
+@query("SELECT p_partkey, strftime(make_timestamp((1700000000 + p_size)::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S') AS t, 'CWE-' || p_size AS cwe, printf('%.2f%%', p_size * 100.0 / 64) AS share FROM part")
 def times_and_shares(spark, d):
     size = F.col("p_size").cast("string")
     doc = F.concat(F.lit('{"vulnerabilities": [{"cve": {"weaknesses": [{"description": [{"value": "CWE-'), size, F.lit('"}]}]}}]}'))
-    return table(spark, d, "part").select("p_partkey", T.epoch_time(F.col("p_size") + 1700000000).cast("timestamp_ntz").alias("t"), T.first_weakness(doc).alias("cwe"), T.percent(F.col("p_size"), F.lit(64)).alias("share"))
+    return table(spark, d, "part").select("p_partkey", F.date_format(F.to_utc_timestamp(T.epoch_time(F.col("p_size") + 1700000000), F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("t"), T.first_weakness(doc).alias("cwe"), T.percent(F.col("p_size"), F.lit(64)).alias("share"))
 
 
 @query("SELECT p_partkey, 'a:1,x:' || p_size || ',b:2,c:3' AS dependencies, 'Unknown' AS license FROM part")

@@ -16,8 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+def _whole(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """file and text of each file. ``missing_ok``: a path that isn't there is an empty table, and files that go meanwhile are left out."""
+    try:
+        read = spark.read.option("ignoreMissingFiles", missing_ok).text(path, wholetext=True)
+    except Exception as missing:
+        if not missing_ok or "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], "file string, text string")
+    return read.select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
 def _case(depth: int = 2):
@@ -30,9 +37,9 @@ def case_paths(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", T.case_name(F.col("path"))["name"].alias("name"), T.case_name(F.col("path"))["version"].alias("version"))
 
 
-def case_metadata(spark: SparkSession, path: str) -> DataFrame:
+def case_metadata(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
     """Descriptions in JSON, one a file: case_id and the columns of META; a broken one gives nulls."""
-    return _whole(spark, path).select(_case(), F.from_json("text", META).alias("m")).select("case_id", "m.*")
+    return _whole(spark, path, missing_ok).select(_case(), F.from_json("text", META).alias("m")).select("case_id", "m.*")
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -45,6 +52,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """case_id, file and lines of each file, blank ones too; a final line feed ends the last line. Files without a line have no row."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"))
+    return rows.groupBy("file").agg(F.count("*").alias("lines")).select(_case(), F.element_at(F.split("file", "/"), -1).alias("file"), "lines")
+
+
 def version_map(spark: SparkSession, path: str) -> DataFrame:
     """Lines `commit version` in order: case_id, ord, commit_id, version."""
     parts = F.split(F.trim("line"), r"\s+")
