@@ -280,24 +280,24 @@ def _where_bits(rows: DataFrame, key: Column, among: DataFrame, column: str, eac
 
 
 def _runs(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """r, kind, first, n of the runs of ``LEAST_RUN`` words or more that a document before also has, beyond what spans explain."""
+    """k, r, kind, first, n of the runs of ``LEAST_RUN`` words or more that a document before also has, beyond what spans explain."""
     later = again.where(F.col("later") & (F.col("kind") != OWN) | F.col("own"))
     spans = F.collect_list(F.when(F.col("kind") != PLACE, F.struct("first", "n"))).alias("spans")
     windows = F.collect_list(F.when(F.col("kind") == PLACE, F.struct("h", "first"))).alias("windows")
-    each = later.groupBy("r").agg(F.max("size").alias("size"), spans, windows).where(F.size("windows") > 0)
+    each = later.groupBy("k", "r").agg(F.max("size").alias("size"), spans, windows).where(F.size("windows") > 0)
     unexplained = F.pandas_udf(_unexplained, "array<struct<h long, first int>>")
-    asked = cut(each.select("r", F.explode(unexplained("size", "spans", "windows")).alias("x")).select("r", "x.h", "x.first"))
+    asked = cut(each.select("k", "r", F.explode(unexplained("size", "spans", "windows")).alias("x")).select("k", "r", "x.h", "x.first"))
     wanted = cut(asked.groupBy("h").agg(F.count("*").alias("asked")))
-    firsts = again.where((F.col("kind") == PLACE) & ~F.col("later")).join(wanted, "h").groupBy("h").agg(F.min(F.struct("r", "first")).alias("x"))
-    firsts = cut(firsts.select("h", "x.r", "x.first"))
-    place = F.xxhash64("r", "first")
+    firsts = again.where((F.col("kind") == PLACE) & ~F.col("later")).join(wanted, "h").groupBy("h").agg(F.min(F.struct("k", "r", "first")).alias("x"))
+    firsts = cut(firsts.select("h", "x.k", "x.r", "x.first"))
+    place = F.xxhash64("k", "r", "first")
     places = asked.select("r", place.alias("at")).unionByName(firsts.select("r", place.alias("at")))
     some = _where_bits(docs.select("doc_id", "text", _keys(docs)[1]), F.col("r"), cut(places.select("r").distinct()), "r")
     around = cut(_where_bits(_around(some.select("doc_id", "text")), place, cut(places.select("at").distinct()), "at"))
-    other = cut(around.join(firsts, ["h", "r", "first"]).select("h", F.col("around").alias("other")).dropDuplicates(["h"]))
-    both = around.join(asked, ["h", "r", "first"], "left_semi").select("h", "r", "first", "around").join(other, "h")
+    other = cut(around.join(firsts, ["h", "k", "r", "first"]).select("h", F.col("around").alias("other")).dropDuplicates(["h"]))
+    both = around.join(asked, ["h", "k", "r", "first"], "left_semi").select("h", "k", "r", "first", "around").join(other, "h")
     run = F.pandas_udf(_run, "first int, n int")
-    return both.select("r", run("first", "around", "other").alias("x")).where("x.n > 0").select("r", F.lit(PLACE).alias("kind"), "x.first", "x.n")
+    return both.select("k", "r", run("first", "around", "other").alias("x")).where("x.n > 0").select("k", "r", F.lit(PLACE).alias("kind"), "x.first", "x.n")
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
@@ -318,17 +318,17 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_senten
     some = _where_bits(docs.select("doc_id", "text", _keys(docs)[1]), F.col("r"), held, "r").select("doc_id", "text")
     every = _exploded(some, least_words, least_sentences)
     maybe = every.select("*", bit_array(known, "h", size).scalar().alias("bits")).where(F.col("own") | bit_set(F.col("bits"), F.col("h"), size)).drop("bits")
-    again = maybe.join(known, "h", "left").select("h", "r", "first", "n", "size", "kind", "own", (F.col("low") < F.col("k")).alias("later"))
+    again = maybe.join(known, "h", "left").select("h", "k", "r", "first", "n", "size", "kind", "own", (F.col("low") < F.col("k")).alias("later"))
     again = cut(again.where(F.col("own") | F.col("later") | (F.col("kind") == PLACE) & F.col("later").isNotNull()).withColumn("later", F.coalesce("later", F.lit(False))))
-    names = ["r", "kind", "first", "n"]
+    names = ["k", "r", "kind", "first", "n"]  # k and r together tell rows apart
     places = again.where((F.col("kind") != PLACE) & (F.col("later") | F.col("own"))).select(*names).unionByName(_runs(docs, again).select(*names))
-    places = cut(places.groupBy("r").agg(F.collect_set(F.struct("kind", "first", "n")).alias("places")))
+    places = cut(places.groupBy("k", "r").agg(F.collect_set(F.struct("kind", "first", "n")).alias("places")))
     losers = bits_for(places.count(), 16, 1 << 16)
-    rows = docs.select(F.struct("*").alias("row"), _keys(docs)[1], bit_array(places, "r", losers).scalar().alias("bits"))
+    rows = docs.select(F.struct("*").alias("row"), *_keys(docs), bit_array(places, "r", losers).scalar().alias("bits"))
     doubtful = bit_set(F.col("bits"), F.col("r"), losers)
     count, cleaned = F.pandas_udf(_count, "long"), F.pandas_udf(_without, "text string, n_sentences long, n_removed long")
     whole = lambda text: F.struct(text.alias("text"), count(text).alias("n_sentences"), F.lit(0).cast("long").alias("n_removed"))
-    tried = rows.where(doubtful).select("row", "r").join(places, "r", "left")
+    tried = rows.where(doubtful).select("row", "k", "r").join(places, ["k", "r"], "left")
     stay = rows.where(~doubtful).select("row").unionByName(tried.where("places IS NULL").select("row")).select("row", whole(F.col("row.text")).alias("left"))
     return stay.unionByName(tried.where("places IS NOT NULL").select("row", cleaned("row.text", "places").alias("left")))
 
