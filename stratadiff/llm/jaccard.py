@@ -8,8 +8,8 @@
 3. Groups: each node is compared with one leader, the node with fewest tokens of its own among those that share its
    prefix tokens; nodes joined by verified links are a group, so near copies are partitioned with one comparison for
    each node and not one for each pair. Links inside a group need no more search: its nodes are one component already.
-4. Token-group matrix: a row for each token and group holds the union of the members' sets, with the least and greatest
-   size of the members that have the token. A node nominates the foreign groups that share a prefix token; the overlap of its
+4. Token-group matrix: a row for each token and group holds the union of the members' sets, with the least size of the members
+   that have the token; tokens of one node alone are left out, as no other can share them. A node nominates the foreign groups that share a prefix token; the overlap of its
    whole set with a group's union bounds what any member can share with it, and only groups where that is enough for a
    similar member are opened. Their members are verified on the whole sets.
 5. Components of all links, by least labels and pointer jumps.
@@ -31,6 +31,8 @@ from .words import Runs, Words, raw, slices
 
 #: Counts of nodes from which a token is in a later class of the order.
 CLASSES = [2, 4, 16, 64, 512]
+#: A group's union of as many tokens is one array beside its queries; a larger one is joined token by token.
+MOST_UNION = 4096
 #: Documents without an id come after all others: from here on keys are made of the hash of their text.
 NO_ID = 1 << 62
 
@@ -138,8 +140,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("v", "c")
 
 
-def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """t, node, n, own (tokens that no other node has) and at (position) of the tokens in each node's prefix, rarest first.
+def _prefixes(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """t, node, n, own (tokens that no other node has) and at (position) of the tokens in each node's prefix, rarest first; and the
+    tokens (t) that several nodes have.
 
     The order is by classes of counts told by bit arrays: the same for all nodes; a wrong hit only moves a token to a later
     class everywhere. Where the arrays would be crowded, the counts themselves are joined to the tokens.
@@ -162,10 +165,10 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     reach = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("int")  # greatest position, from 0
     own = (F.col("n") - F.size("known")).alias("own")
     listed = placed.select("node", "n", own, F.posexplode(F.slice("known", F.lit(1), F.greatest(F.lit(0), reach - own + 1))).alias("at", "x"))
-    return cut(listed.select("x.t", "node", "n", "own", (F.col("at") + F.col("own")).alias("at")))
+    return cut(listed.select("x.t", "node", "n", "own", (F.col("at") + F.col("own")).alias("at"))), often.select("t")
 
 
-def _opened(prefix: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+def _opened(prefix: DataFrame, often: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes of different groups (v, c; others are groups of their own) that may be similar, by the token-group matrix.
 
     Of two groups, nodes of the one with fewer members ask.
@@ -187,14 +190,22 @@ def _opened(prefix: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den
 
     smaller = (F.col("members") < F.col("g_members")) | (F.col("members") == F.col("g_members")) & (F.col("c") > F.col("g"))
     nominated = cut(asked.join(offers, "t").where((F.col("c") != F.col("g")) & smaller & fits("g_least", "g_most", "g_room")).select("t", "node", "n", "room", "g").distinct())
-    # The matrix of the nominated groups, and the overlap of each query with the unions.
+    # The matrix of the nominated groups, without tokens that one node alone has, and the overlap of each query with the unions.
     wanted = cut(nominated.select("g").distinct())
     whole = sets.join(member.select("node", "c"), "node", "left").select(F.coalesce("c", "node").alias("g"), "n", "s").join(sent(wanted), "g", "left_semi")
-    matrix = whole.select("g", "n", F.explode("s").alias("t")).groupBy("g", "t").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asking = nominated.select("node", "g").distinct().join(sets, "node").select("node", "g", "n", F.explode("s").alias("t"))
-    within = (F.col("most") >= least_of(F.col("n"))) & (F.col("least") * num <= F.col("n") * den)  # by a member of a size that can be similar
-    bound = asking.join(matrix, ["g", "t"]).where(within).groupBy("node", "g", "n").agg(F.count("*").alias("overlap"), F.min("least").alias("least"))
-    opened = bound.where(F.col("overlap") >= needed(F.col("n"), F.greatest(F.col("least"), least_of(F.col("n"))))).select("node", "g")
+    size = bits_for(often.count(), 16, 1 << 12)
+    marked = whole.select("g", "n", "s", bit_array(often, "t", size).scalar().alias("bits"))
+    shared = let(F.col("bits"), lambda bits: F.filter("s", lambda t: bit_set(bits, t, size)))
+    matrix = cut(marked.select("g", "n", F.explode(shared).alias("t")).groupBy("g", "t").agg(F.min("n").alias("least")))
+    unions = cut(matrix.groupBy("g").agg(F.count("*").alias("tokens"), F.min("least").alias("least")))
+    small = matrix.select("g", "t").join(unions.where(F.col("tokens") <= MOST_UNION), "g").groupBy("g", "least").agg(F.collect_list("t").alias("union"))
+    asking = nominated.select("node", "g").distinct().join(sets, "node").select("node", "g", "n", "s")
+    enough = lambda overlap: overlap >= needed(F.col("n"), F.greatest(F.col("least"), least_of(F.col("n"))))
+    opened = asking.join(small, "g").where(enough(F.size(F.array_intersect("s", "union")))).select("node", "g")
+    large = unions.where(F.col("tokens") > MOST_UNION).select("g", "least")
+    if not large.isEmpty():
+        tokens = asking.join(large, "g").select("node", "g", "n", "least", F.explode("s").alias("t")).join(matrix.select("g", "t"), ["g", "t"])
+        opened = opened.unionByName(tokens.groupBy("node", "g", "n", "least").agg(F.count("*").alias("overlap")).where(enough(F.col("overlap"))).select("node", "g"))
     ask = nominated.join(opened, ["node", "g"], "left_semi")
     others = asked.select("t", F.col("c").alias("g"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"))
     return ask.join(others, ["t", "g"]).where(fits("n_b", "n_b", "room_b")).select(F.col("node").alias("a"), "b").distinct()
@@ -220,7 +231,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     if sets.count() > many:  # only where rows repeat in full
         sets = cut(sets.dropDuplicates(["node"]))
     release(docs)
-    prefix = _prefixes(sets, num, den)
+    prefix, often = _prefixes(sets, num, den)
     release(docs)
     # 3. One leader for each node.
     order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("node").alias("node"))
@@ -230,7 +241,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     near = cut(_verified(best.select(F.col("node").alias("a"), F.col("x.leader").alias("b")), sets, num, den))
     groups = components(near)
     # 4. The groups that may hold a set similar to a query, by the matrix of tokens and groups.
-    links = _verified(_opened(prefix, sets, groups, num, den), sets, num, den)
+    links = _verified(_opened(prefix, often, sets, groups, num, den), sets, num, den)
     linked = components(near.unionByName(cut(links)))
     release(docs)
     # 5. From nodes back to documents.
