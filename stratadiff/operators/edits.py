@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,23 +119,27 @@ def nth_replaced(text: str, part: str, new: str, n: int) -> str:
     return text if n >= len(found) else text[: found[n]] + new + text[found[n] + len(part) :]
 
 
-def _grouped(rows: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
+def _grouped(rows: DataFrame, keys: list[str], schema: str, work: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """``work`` on the rows of each key, as dictionaries. Keys are many and their rows few, so these are gathered into one row each and
+    whole batches of keys go to Python."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    gathered = rows.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in keys))).alias("__rows"))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = work(group)
-        return pd.DataFrame([(*key, *r) for r in out], columns=[*keys, *(x.split()[0] for x in schema.split(", "))])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(*key, *r) for *key, some in batch.itertuples(index=False) for r in work(list(some))]
+            yield pd.DataFrame(out, columns=[*keys, *(x.split()[0] for x in schema.split(", "))])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+    return gathered.select(*keys, "__rows").mapInPandas(run, f"{kinds}, {schema}")
 
 
 def applied_edits(edits: DataFrame, keys: list[str]) -> DataFrame:
     """The text of each key after its edits (old, new, line), from the last line up; text repeats in each row."""
 
-    def work(group: pd.DataFrame) -> Iterator[tuple]:
-        text = group["text"].iloc[0]
-        for e in group.sort_values(["line", "ord"], ascending=[False, True]).itertuples():
-            text = replaced_nearest(text, e.old, e.new, e.line)
+    def work(rows: list[dict]) -> list[tuple]:
+        text = rows[0]["text"]
+        for e in sorted(rows, key=lambda e: (-e["line"], e["ord"])):
+            text = replaced_nearest(text, e["old"], e["new"], e["line"])
         return [(text,)]
 
     return _grouped(edits, keys, "text string", work)
@@ -144,21 +148,16 @@ def applied_edits(edits: DataFrame, keys: list[str]) -> DataFrame:
 def repaired_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows: keys, ord, line_no, text (of the whole file, repeated) → ord, line_no without -1 where a neighbour tells."""
 
-    def work(group: pd.DataFrame) -> list[tuple]:
-        g = group.sort_values("ord")
-        return list(zip(map(int, g["ord"]), repaired([int(x) for x in g["line_no"]], g["text"].iloc[0].split("\n")), strict=True))
+    def work(some: list[dict]) -> list[tuple]:
+        some = sorted(some, key=lambda r: r["ord"])
+        return list(zip((int(r["ord"]) for r in some), repaired([int(r["line_no"]) for r in some], some[0]["text"].split("\n")), strict=True))
 
     return _grouped(rows, keys, "ord int, line_no int", work)
 
 
 def merged_prompts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows: keys, ord, prompt, context → the hunks and the context of each prompt that is left, see ``absorbed``."""
-
-    def work(group: pd.DataFrame) -> list[tuple]:
-        g = group.sort_values("ord")
-        return absorbed(list(zip(g["prompt"], g["context"], strict=True)))
-
-    return _grouped(rows, keys, "hunks array<string>, context string", work)
+    return _grouped(rows, keys, "hunks array<string>, context string", lambda some: absorbed([(r["prompt"], r["context"]) for r in sorted(some, key=lambda r: r["ord"])]))
 
 
 def report(rows: DataFrame, key: str, order: str, parts: list[str], line: str = "-" * 20) -> DataFrame:
