@@ -259,3 +259,19 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 def test_modules_have_their_sql():
     assert {urls.ORACLE_SQL, chat.ORACLE_SQL, decontaminate.ORACLE_SQL} == set(queries.ORACLE_SQL.values())
+
+
+def test_large_unions_are_joined_by_token(spark, monkeypatch):
+    from stratadiff.llm import jaccard
+
+    r = random.Random(9)
+    rows = []
+    for i in range(40):
+        words = prose(i // 20, 90).split()
+        for _ in range(i % 6):
+            words[r.randrange(len(words))] = f"y{r.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((x.doc_id, x.least_id) for x in jaccard.similar(docs).collect())
+    monkeypatch.setattr(jaccard, "MOST_UNION", 3)
+    assert sorted((x.doc_id, x.least_id) for x in jaccard.similar(docs).collect()) == want
