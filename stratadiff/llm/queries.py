@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, decontaminate, jaccard, licenses, packing, periods, quality, shards, spans, urls
+from . import chat, classifier, decontaminate, jaccard, licenses, packing, periods, quality, shards, spans, tokenfiles, urls
 
 QUERIES = {
     "op1_token_group_matrix": jaccard.op1_token_group_matrix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_winnowing": decontaminate.op9_winnowing,
     "op10_pairwise_ranking": classifier.op10_pairwise_ranking,
+    "op11_plane_shuffle": tokenfiles.op11_plane_shuffle,
     "op13_suffix_automaton": periods.op13_suffix_automaton,
 }
 ORACLE_SQL = {
