@@ -17,9 +17,12 @@ payload but with the chunk's place in the whole corpus, so that a reader opens o
 from __future__ import annotations
 
 import os
+import re
 import struct
+import sys
 import uuid
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +83,62 @@ def open_chunk(payload: bytes) -> np.ndarray:
     return ids_of(planes, n, kind)
 
 
+class Known(dict):
+    """The ids of parts of texts, as bytes, each found when it is first asked for. A part of letters alone is one word to the tokenizer's
+    splitter, so it goes to the model, its bytes as the letters that stand for them there."""
+
+    LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__({"": b""})
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def __missing__(self, part: str) -> bytes:
+        if self.LETTERS.fullmatch(part):
+            ids = [t.id for t in self.model.tokenize(part.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        self[part] = out = np.array(ids, "<u4").tobytes()
+        return out
+
+
+class KeptTokens(WordTokens):
+    """WordTokens that look each part up once."""
+
+    #: Parts that are kept; beyond it the store is emptied.
+    MOST = 600_000
+
+    def __init__(self, path: str, specials_are_text: bool = False):
+        super().__init__(path, specials_are_text)
+        self.known = Known(self.tokenizer)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        find, out = self.known.__getitem__, []
+        for t in texts:
+            if self.whole or any(s in t for s in self.specials):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(find, self.parts(t))), "<u4"))
+            if len(self.known) > self.MOST:
+                self.known.clear()
+                self.known[""] = b""
+        return out
+
+
+def _kept(path: str, specials_are_text: bool) -> KeptTokens:
+    """One for all tasks of a worker process. Functions come to workers by value, with module variables of their own, so it is kept in a
+    module that the process has."""
+    store = sys.modules.setdefault("_stratadiff_tokens", ModuleType("_stratadiff_tokens")).__dict__
+    key = f"{path} {specials_are_text}"
+    if key not in store:
+        store[key] = KeptTokens(path, specials_are_text)
+    return store[key]
+
+
 _CHUNKS = "file int, chunk long, first long, n_ids int, payload binary, doc_ids array<long>, starts array<long>, lengths array<long>"
 _NAMES = [x.split()[0] for x in _CHUNKS.split(", ")]
 _LONGS = pa.list_(pa.int64())
@@ -92,7 +151,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str | None, kind: str, siz
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    words, file, chunk, first, held = WordTokens(path, specials_are_text), TaskContext.get().partitionId(), 0, 0, 0
+    words, file, chunk, first, held = _kept(path, specials_are_text), TaskContext.get().partitionId(), 0, 0, 0
     some: list[np.ndarray] = []  # ids that are in no chunk yet
     docs: list[tuple[int | None, int, int]] = []  # doc_id, start, length of documents that have ids among them
     end = np.array([END], "<u4")
