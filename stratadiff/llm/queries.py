@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, classifier, decontaminate, jaccard, licenses, packing, periods, quality, shards, spans, tokenfiles, urls
+from . import chat, classifier, decontaminate, jaccard, licenses, packing, periods, phrases, quality, shards, spans, tokenfiles, urls
 
 QUERIES = {
     "op1_token_group_matrix": jaccard.op1_token_group_matrix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_winnowing": decontaminate.op9_winnowing,
     "op10_pairwise_ranking": classifier.op10_pairwise_ranking,
     "op11_plane_shuffle": tokenfiles.op11_plane_shuffle,
+    "op12_perfect_hash": phrases.op12_perfect_hash,
     "op13_suffix_automaton": periods.op13_suffix_automaton,
 }
 ORACLE_SQL = {
