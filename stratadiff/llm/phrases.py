@@ -3,15 +3,16 @@
 Words are counted first. Texts then become arrays of slots, the numbers of their frequent words, with gaps for all else; a phrase of k words is
 a pair of slots of k - 1 words, its first and its last ones, so its key of 64 bits is exact and a phrase without both of them frequent is
 never looked at (Apriori). For each k, over these arrays:
-1. buckets: mappers count keys by hash; totals of buckets bound the counts of their keys from above;
-2. candidates: the distinct keys in buckets of ``least`` or more;
+1. buckets: mappers send the distinct keys of many texts with their counts to ranges of hash buckets; totals of buckets bound counts of keys
+   from above;
+2. candidates: the distinct keys in buckets of ``least`` or more, each found by the one task that has its range;
 3. a minimal perfect hash of the candidates with stored keys (``perfect``), which mappers get in groups of ``KEYS`` keys at most;
 4. counts: mappers bincount slots into arrays, which are summed in two rounds; candidates of ``least`` or more are the frequent phrases;
 5. the arrays of slots for the next k, where only phrases that are frequent have one.
 Counts of a phrase's cuts are read by the slots of its first and last words. Keys of words alone are hashes of 64 bits.
 
 Arrays are tables in a folder of the shared one, so lost executors repeat single tasks; the folder goes when the result stands. Nothing
-that grows with the corpus is sent at once: bit arrays of 8 MB, and ``KEYS`` keys in a pass; beyond that there are more passes.
+that grows with the corpus is sent at once: ``KEYS`` keys in a pass; beyond that there are more passes.
 """
 
 from __future__ import annotations
@@ -30,16 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_folder, table
 from .perfect import PerfectHash, build, part_of
-from .words import _BYTES, Runs, mix, raw, slices
+from .words import _BYTES, M2, M3, Runs, mix, raw, slices
 
 MOST_WORDS, LEAST, TOP = 5, 100, 2000
 #: Keys that mappers hold at a time, keys of a part of the hash (built by one task), buckets of a range (summed at a time), slots of a block.
 KEYS, PART, RANGE_BITS, BLOCK = 1 << 20, 1 << 14, 20, 1 << 13
-#: Bits that mappers are sent at most, as a power of two: 8 MB.
-MOST_BITS = 26
-#: Keys that a mapper gathers before it counts or tells them apart.
+#: Keys that a task gathers before it counts them or tells them apart.
 AT_ONCE = 1 << 21
 
+_BACK2, _BACK3 = (np.uint64(pow(int(m), -1, 1 << 64)) for m in (M2, M3))
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
@@ -132,51 +132,53 @@ def _gathered(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         yield np.concatenate(some)
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` gives these numbers for."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * _BACK3
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * _BACK2
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], source: Source, bits: int) -> Iterator[pa.RecordBatch]:
-    """range, and of its buckets with keys the numbers and counts."""
+    """range, and the mixed keys in its buckets, in order, with their counts. A bucket is what keys with the same first bits are in."""
     each = min(bits, RANGE_BITS)
     for keys in _gathered(source(batches)):
-        bucket, n = np.unique((mix(keys) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-        of = bucket >> each
+        mixed, n = np.unique(mix(keys), return_counts=True)
+        of = (mixed >> np.uint64(64 - bits) >> np.uint64(each)).astype(np.int64)
         edges = np.flatnonzero(np.diff(of, prepend=-1))
         for a, b in zip(edges, [*edges[1:], len(of)], strict=True):
-            ids, counts = (bucket[a:b] & ((1 << each) - 1)).astype("<u4"), n[a:b].astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int64()), pa.array([_packed(ids)], pa.binary()), pa.array([_packed(counts)], pa.binary())], ["range", "ids", "counts"])
+            row = [pa.array([int(of[a])], pa.int64()), pa.array([_packed(mixed[a:b])], pa.binary()), pa.array([_packed(n[a:b].astype("<u4"))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["range", "keys", "counts"])
 
 
-def _hot(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """fold, bits: of each range (rows come by range) a bit for each bucket with ``least`` keys or more."""
-    size, at, total = 1 << min(bits, RANGE_BITS), None, None
+def _candidates(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """key: of each range (rows come by range) the distinct keys in buckets that ``least`` keys or more are in."""
+    each = min(bits, RANGE_BITS)
+    at, total, some, held = None, None, [], 0
+    bucket = lambda mixed: ((mixed >> np.uint64(64 - bits)) & np.uint64((1 << each) - 1)).astype(np.int64)
 
     def done() -> pa.RecordBatch:
-        marks = np.packbits(total >= least, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([at % (1 << MOST_BITS - RANGE_BITS)], pa.int64()), pa.array([marks], pa.binary())], ["fold", "bits"])
+        mixed = np.unique(np.concatenate(some))
+        keys = unmix(mixed[total[bucket(mixed)] >= least])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64())], ["key"])
 
     for batch in batches:
-        for range_, ids, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        for range_, keys, counts in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             if range_ != at:
                 if at is not None:
                     yield done()
-                at, total = range_, np.zeros(size, np.int64)
-            total[_unpacked(ids, "<u4")] += _unpacked(counts, "<u4")
+                at, total, some, held = range_, np.zeros(1 << each, np.int64), [], 0
+            mixed = _unpacked(keys, "<u8")
+            np.add.at(total, bucket(mixed), _unpacked(counts, "<u4").astype(np.int64))
+            some.append(mixed)
+            held += len(mixed)
+            if held >= AT_ONCE:
+                some = [np.unique(np.concatenate(some))]
+                held = 0
     if at is not None:
         yield done()
 
 
-def _either(rows: pa.Table) -> pa.Table:
-    marks = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in rows.column("bits")])
-    return pa.table({"fold": rows.column("fold")[:1], "bits": pa.array([marks.tobytes()], pa.binary())})
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], source: Source, bits: int, marks: Broadcast) -> Iterator[pa.RecordBatch]:
-    """key: the distinct keys of hot buckets among those that were gathered."""
-    hot = np.frombuffer(marks.value, np.uint8)
-    for keys in _gathered(source(batches)):
-        at = mix(keys) >> np.uint64(64 - bits) & np.uint64((1 << min(bits, MOST_BITS)) - 1)
-        held = hot[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[held == 1]).view(np.int64), pa.int64())], ["key"])
-
-
 def _parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -325,25 +327,12 @@ class Miner:
             each[0] = each[0].unionByName(more)
         return self.kept(each[0].select("slot", "lang", F.col("word").cast("string").alias("phrase"), "a")), sizes, level
 
-    def hot(self, rows: DataFrame, source: Source, bits: int) -> bytes:
-        """Bits of the buckets that ``least`` keys or more are in."""
-        least = self.least
-        counted = rows.mapInArrow(lambda b: _buckets(b, source, bits), "range long, ids binary, counts binary")
-        marks = counted.repartition("range").sortWithinPartitions("range").mapInArrow(lambda b: _hot(b, bits, least), "fold long, bits binary")
-        if bits > MOST_BITS:
-            marks = marks.groupBy("fold").applyInArrow(_either, "fold long, bits binary")
-        size = 1 << min(bits, RANGE_BITS)
-        out = np.zeros((1 << min(bits, MOST_BITS)) // size * (size // 8), np.uint8)
-        for r in marks.collect():
-            out[r["fold"] * (size // 8) : (r["fold"] + 1) * (size // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        return out.tobytes()
-
     def longer(self, rows: DataFrame, many: int) -> tuple[DataFrame, Level]:
         """Frequent phrases (slot, p, s, a) of one word more than the slots in ``rows``, of which there are ``many`` at most."""
         context, source, least = self.spark.sparkContext, keys_of_slots, self.least
         bits = min(40, max(16, (many // 8).bit_length()))
-        marks = context.broadcast(self.hot(rows, source, bits))
-        keys = self.kept(rows.mapInArrow(lambda b: _candidates(b, source, bits, marks), "key long").distinct())
+        ranges = rows.mapInArrow(lambda b: _buckets(b, source, bits), "range long, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
+        keys = self.kept(ranges.mapInArrow(lambda b: _candidates(b, bits, least), "key long"))
         groups, frequent, marked = self.hashed(keys), None, []
         level = Level(groups, context)
         for (first, sent), (_, arrays, _) in zip(level.groups, groups, strict=True):
@@ -356,7 +345,6 @@ class Miner:
             of[found.select("slot").toArrow().column(0).to_numpy() - first] = True
             marked.append((first, arrays, of))
         level.drop()
-        marks.unpersist()
         return frequent, Level(marked, context)
 
 
