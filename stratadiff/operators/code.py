@@ -1,5 +1,5 @@
-"""Functions, statements and names in source texts, by a scanner that knows strings, templates, comments and regular
-expressions but no grammar: ranges come from balanced braces. Rows are scanned where they are (mapInPandas)."""
+"""Functions of source texts and what changed in them. Scripts go through their syntax tree (``syntax``); C has a scanner that knows strings
+and comments but no grammar: ranges come from balanced braces. Rows are scanned where they are (mapInPandas)."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratadiff.operators import syntax
+
 _ID = r"[A-Za-z_$][\w$]*"
-_WORDS = set("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return static super switch this throw try typeof var void while with yield async await of null true false undefined".split())
 
 
 def blanked(code: str) -> str:
@@ -64,44 +65,6 @@ def _closing(code: str, at: int, pair: str = "{}") -> int:
     return len(code) - 1
 
 
-_HEADS = [
-    re.compile(rf"\bfunction\s*\*?\s*(?P<name>{_ID})?\s*(?P<params>\()"),
-    re.compile(rf"(?:(?P<name>{_ID})\s*[=:]\s*)?(?:async\s+)?(?:(?P<params>\()[^()]*\)|(?P<one>{_ID}))\s*=>"),
-    re.compile(rf"(?m)^[ \t]*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*(?P<name>#?{_ID})\s*(?P<params>\()"),
-]
-
-
-def js_functions(code: str) -> list[dict]:
-    """start_line, end_line, name, params, ret (always empty), body; of equal ranges the last found. Names come from the function, else
-    from what it is assigned to or the key it stands under; without either they are empty."""
-    clean, found = blanked(code), {}
-    line = lambda at: clean.count("\n", 0, at) + 1
-    for head in _HEADS:
-        for m in head.finditer(clean):
-            name = m["name"] or ""
-            if name in _WORDS:
-                if head is not _HEADS[1]:
-                    continue
-                name = ""
-            if head is _HEADS[0] and not name:
-                before = re.search(rf"({_ID})\s*[=:]\s*(?:async\s+)?$", clean[max(0, m.start() - 200) : m.start()])
-                name = before[1] if before else ""
-            params = m["one"] if "one" in head.groupindex and m["one"] else code[m.start("params") + 1 : _closing(clean, m.start("params"), "()")]
-            at = m.end() if head is _HEADS[1] else _closing(clean, m.start("params"), "()") + 1
-            rest = re.match(r"\s*", clean[at:])
-            at += rest.end()
-            if at < len(clean) and clean[at] == "{":
-                end = _closing(clean, at)
-            elif head is _HEADS[1]:
-                stop = re.search(r"[;,)\n]", clean[at:])
-                end = at + stop.start() - 1 if stop else len(clean) - 1
-            else:
-                continue
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            found[line(start), line(max(start, end))] = {"name": name, "params": " ".join(params.split()), "ret": "", "body": code[start : end + 1]}
-    return [{"start_line": a, "end_line": b, **found[a, b]} for a, b in sorted(found)]
-
-
 _C_HEAD = re.compile(rf"(?m)^(?P<ret>[A-Za-z_][\w\s*]*?[\s*])(?P<name>{_ID})\s*(?P<params>\()")
 
 
@@ -118,66 +81,24 @@ def c_functions(code: str) -> list[dict]:
     return out
 
 
-def statement_around(code: str, number: int) -> tuple[int, int]:
-    """First and last line of the smallest comment, statement or declaration around a line (from 1): lines whose brackets are open belong together."""
-    comment = [(code.count("\n", 0, m.start()) + 1, code.count("\n", 0, m.end()) + 1) for m in re.finditer(r"/\*.*?\*/", code, re.S)]
-    around = [c for c in comment if c[0] <= number <= c[1]]
-    lines = blanked(code).split("\n")
-    depth, start = 0, 1
-    best = min(around, key=lambda c: c[1] - c[0], default=(1, len(lines)))
-    if around and number <= len(lines) and not lines[number - 1].strip():
-        return best
-    for i, text in enumerate(lines, 1):
-        if depth == 0:
-            start = i
-        depth += sum(text.count(c) for c in "([") - sum(text.count(c) for c in ")]")
-        depth = max(0, depth)
-        if depth == 0 and start <= number <= i:
-            return min(best, (start, i), key=lambda c: c[1] - c[0])
-    return best
-
-
-def defs_and_uses(code: str, first: int, last: int) -> tuple[list[str], list[str]]:
-    """Names that lines first to last define (declared, assigned, parameters) and use, each once in order."""
-    text = "\n".join(blanked(code).split("\n")[first - 1 : last])
-    defs: dict[str, int] = {}
-    for m in re.finditer(rf"\b(?:var|let|const|function|class)\s+({_ID})|(?<![.\w$])({_ID})\s*(?:[-+*/%&|^]|\*\*|<<|>>>?)?=(?![=>])|\bfunction\b[^(]*\(([^)]*)\)|\(([^()]*)\)\s*=>", text):
-        for name in re.findall(_ID, next(g for g in m.groups() if g is not None)):
-            defs.setdefault(name, m.start())
-    uses = dict.fromkeys(m[0] for m in re.finditer(rf"(?<![.\w$]){_ID}", text) if m[0] not in _WORDS and not re.match(r"\s*:(?!:)", text[m.end() :]) and not re.match(r"\s*=(?![=>])", text[m.end() :]))
-    declared = set(re.findall(rf"\b(?:var|let|const|function|class)\s+({_ID})", text))
-    once = {n for n in declared if len(re.findall(rf"(?<![.\w$]){re.escape(n)}(?![\w$])", text)) == 1}
-    return [d for d in defs if d not in _WORDS], [u for u in uses if u not in once]
-
-
 FUNCTIONS = "start_line int, end_line int, name string, params string, ret string, body string"
 
 
 def functions(files: DataFrame, keys: list[str], text: str, language: str = "js") -> DataFrame:
-    """A row for each function of each file."""
-    scan = {"js": js_functions, "c": c_functions}[language]
-    kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
+    """A row for each function of each file. Scripts ("js") are parsed (``syntax.functions``), C ("c") is scanned."""
     names = [x.split()[0] for x in FUNCTIONS.split(", ")]
+    if language == "js":
+        return syntax.functions(files, keys, text, syntax.syntax(files, keys, text)).select(*keys, *names)
+    kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*key, *(f[n] for n in names)) for *key, code in batch[[*keys, text]].itertuples(index=False) for f in scan(code or "")]
+            rows = [(*key, *(f[n] for n in names)) for *key, code in batch[[*keys, text]].itertuples(index=False) for f in c_functions(code or "")]
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     return files.select(*keys, text).mapInPandas(run, f"{kinds}, {FUNCTIONS}")
 
 
-def names_in_ranges(ranges: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """def and use arrays for rows with a text and first and last lines."""
-    kinds = ", ".join(f"{k} {ranges.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(*key, *defs_and_uses(code or "", int(a), int(b))) for *key, code, a, b in batch[[*keys, text, "first", "last"]].itertuples(index=False)], columns=[*keys, "def", "use"])
-
-    return ranges.select(*keys, text, "first", "last").mapInPandas(run, f"{kinds}, def array<string>, use array<string>")
-
-
 def function_by_name(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """The first function (least start_line) of each asked name (keys, name) in another version: start_line, end_line, body; null without one."""
     first = found.groupBy(*keys, "name").agg(F.min(F.struct("start_line", "end_line", "body")).alias("x"))
@@ -206,14 +127,3 @@ def signature_changes(pairs: DataFrame) -> DataFrame:
     gone, fresh = F.col("new_name").isNull(), F.col("old_name").isNull()
     differs = lambda c: ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
     return pairs.select("*", *(F.when(gone, False).when(fresh, True).otherwise(differs(c)).alias(f"{c}_changed") for c in ("name", "params", "ret")))
-
-
-def statements_around(places: DataFrame, keys: list[str], text: str, line: str = "line_no") -> DataFrame:
-    """first and last line of the smallest statement, declaration or comment around a line, for rows with a text and a line number."""
-    kinds = ", ".join(f"{k} {places.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(*key, int(n), *statement_around(code or "", int(n))) for *key, code, n in batch[[*keys, text, line]].itertuples(index=False)], columns=[*keys, line, "first", "last"])
-
-    return places.select(*keys, text, line).mapInPandas(run, f"{kinds}, {line} int, first int, last int")

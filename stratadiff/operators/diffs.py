@@ -239,8 +239,8 @@ def changed_lines(lines: DataFrame, key: str = "case_id") -> DataFrame:
 
 
 def unique_moves(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
-    """Removed lines whose text stands once among the removed and once among the added: where they moved."""
-    once = lambda rows, c: rows.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min(c).alias(c)).where("n = 1").drop("n")
+    """Removed lines whose text stands once among the removed and once among the added: where they moved. Blank lines don't count."""
+    once = lambda rows, c: rows.where(F.col("value").rlike(r"[^ \t\n\x0B\f\r]")).groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min(c).alias(c)).where("n = 1").drop("n")
     return once(removed, "src_no").join(once(added, "tgt_no"), [*keys, "value"])
 
 

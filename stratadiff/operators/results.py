@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratadiff.functions import sets
+from stratadiff.operators.graphs import _cut
 
 #: Buckets of counts (label, least, greatest); None is without end. Fixed values.
 BUCKETS = [("1-2", 1, 2), ("3-4", 3, 4), ("5-6", 5, 6), ("7-8", 7, 8), ("9-10", 9, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("51-100", 51, 100), (">100", 101, None)]
@@ -89,8 +90,9 @@ def counted(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
 
 def true_then_false(rows: DataFrame, flag: str, key: str) -> DataFrame:
     """Rows with their place (from 1) when the true ones come first, each part in order of ``key``. Places are numbered without one task
-    for all rows: counts of key ranges first, then within each range."""
-    ranged = rows.repartitionByRange(F.desc(flag), F.asc(key)).withColumn("__part", F.spark_partition_id())
+    for all rows: counts of key ranges first, then within each range. Ranges are written with their numbers before, as bounds that are
+    sampled twice differ."""
+    ranged = _cut(rows.repartitionByRange(F.desc(flag), F.asc(key)).withColumn("__part", F.spark_partition_id()))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n"))
     placed = ranged.withColumn("__k", F.row_number().over(W.partitionBy("__part").orderBy(F.desc(flag), F.asc(key))))

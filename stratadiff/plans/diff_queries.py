@@ -82,7 +82,7 @@ def changed_lines(spark, d):
 
 
 @query(f"""WITH {DIFFS}, r AS (SELECT doc_id, value, min(src_no) AS src_no FROM dl WHERE line_type = '-' GROUP BY 1, 2 HAVING count(*) = 1), a AS (SELECT doc_id, substr(value, 5) AS value, min(tgt_no) AS tgt_no FROM dl WHERE line_type = '+' GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT doc_id, src_no, tgt_no FROM r JOIN a USING (doc_id, value)""")
+SELECT doc_id, src_no, tgt_no FROM r JOIN a USING (doc_id, value) WHERE {FULL.format("value")}""")
 def unique_moves(spark, d):
     dl = document_diffs(spark, d)
     added = dl.where("line_type = '+'").withColumn("value", F.substring("value", F.lit(5), F.char_length("value")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratadiff.operators import code, edits, graphs, similarity
+from stratadiff.operators import code, edits, graphs, similarity, syntax
 from stratadiff.plans import studies
 from stratadiff.plans.registry import DIFFS, LINES, document_diffs, document_lines, query
 from stratadiff.sources.readers import table
@@ -203,33 +203,54 @@ def commit_distance(spark, d):
 
 
 # --- functions of source texts -----------------------------------------------------------------------------------------------
-# Each part is a script with two functions: one is named after its brand, the other holds its size; a C file has the same.
-_JS = ["function f", " (a, b) {\n  var x = a + 1;\n  return x * ", ";\n}\nconst g", " = (c) => {\n  return c;\n};\n"]
-
-
+# Each part is a script that its key and size vary: a function with destructured parameters and one or two functions in it, a class where the
+# size is a multiple of 3, and an assigned function. i and j say which parts are there. A C file has its key and size too.
 def _scripts(spark, d):
     k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    js = F.concat(F.lit(_JS[0]), k, F.lit(_JS[1]), size, F.lit(_JS[2]), k, F.lit(_JS[3]))
+    if_ = lambda rule, text: F.when(rule, F.lit(text)).otherwise("")
+    js = F.concat(
+        F.lit("function f"), k, F.lit("({ a, b: [c] }, ...rest) {\n  const x = a + "), size, F.lit(";\n"), if_(F.col("i") == 1, "  const g = (y) => { return y * x; };\n"),
+        F.lit("  return rest.map(function (z) { return z + c + x; });\n}\n"), if_(F.col("j") == 1, "class K {\n  static m(p = {}) { return p; }\n}\n"),
+        F.lit("mod.run"), size, F.lit(' = async function () { let x = "}"; return x; };\n'),
+    )
     c = F.concat(F.lit("int h"), k, F.lit("(int a) {\n  return a + "), size, F.lit(";\n}\n"))
-    return table(spark, d, "part").select("p_partkey", "p_size", js.alias("js"), c.alias("c"))
+    flags = [F.when(F.col("p_size") % 2 == 0, 1).otherwise(0).alias("i"), F.when(F.col("p_size") % 3 == 0, 1).otherwise(0).alias("j")]
+    return table(spark, d, "part").select("p_partkey", "p_size", *flags).select("p_partkey", "p_size", "i", "j", js.alias("js"), c.alias("c"))
+
 
+_SCRIPTS = "s AS (SELECT p_partkey, p_size, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS i, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS j FROM part)"
 
-@query("SELECT p_partkey, 'f' || p_partkey AS name, 1 AS start_line, 4 AS end_line, 'a, b' AS params, '' AS ret FROM part UNION ALL SELECT p_partkey, 'g' || p_partkey, 5, 7, 'c', '' FROM part UNION ALL SELECT p_partkey, 'h' || p_partkey, 1, 3, 'int a', 'int' FROM part")
+
+@query(f"""WITH {_SCRIPTS} SELECT p_partkey, 'f' || p_partkey AS name, 1 AS start_line, (4 + i)::INT AS end_line, '{{ a, b: [c] }}, ...rest' AS params, 'rest.map(function (z) {{ return z + c + x; }})' AS ret, (2 + i)::INT AS place FROM s
+UNION ALL SELECT p_partkey, 'g', 3, 3, 'y', 'y * x', 1 FROM s WHERE i = 1 UNION ALL SELECT p_partkey, '', 3 + i, 3 + i, 'z', 'z + c + x', 1 + i FROM s
+UNION ALL SELECT p_partkey, 'm', 6 + i, 6 + i, 'p = {{}}', 'p', 3 + i FROM s WHERE j = 1 UNION ALL SELECT p_partkey, 'mod.run' || p_size, 5 + i + 3 * j, 5 + i + 3 * j, '', 'x', 3 + i + j FROM s
+UNION ALL SELECT p_partkey, 'h' || p_partkey, 1, 3, 'int a', 'int', 1 FROM s""")
 def functions_of_texts(spark, d):
     s = _scripts(spark, d)
-    both = code.functions(s, ["p_partkey"], "js").unionByName(code.functions(s, ["p_partkey"], "c", "c"))
-    return both.select("p_partkey", "name", "start_line", "end_line", "params", "ret")
+    columns = ["p_partkey", "name", "start_line", "end_line", "params", "ret", "place"]
+    js = syntax.functions(s, ["p_partkey"], "js", syntax.syntax(s, ["p_partkey"], "js")).select(*columns)
+    return js.unionByName(code.functions(s, ["p_partkey"], "c", "c").withColumn("place", F.lit(1)).select(*columns))
 
 
-@query("SELECT p_partkey, 2 AS line_no, 2 AS first, 2 AS last FROM part")
+@query(f"""WITH {_SCRIPTS}, a AS (SELECT *, unnest([2, 3, 4]) AS line_no FROM s) SELECT p_partkey, line_no::INT AS line_no, CASE WHEN line_no = 4 AND i = 0 THEN 1 ELSE line_no END::INT AS first, line_no::INT AS last FROM a""")
 def statements_around(spark, d):
-    return code.statements_around(_scripts(spark, d).withColumn("line_no", F.lit(2)), ["p_partkey"], "js")
+    """Lines 2 to 4: a declaration, another one or a return, and a return or the end of the function's block."""
+    s = _scripts(spark, d)
+    places = s.select("p_partkey", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("line_no"))
+    return syntax.statements_around(places, s, ["p_partkey"], "js", syntax.syntax(s, ["p_partkey"], "js")).drop("text")
 
 
-@query("SELECT p_partkey, 'a,b,x' AS defs, 'a' AS uses FROM part")
+@query(f"""WITH {_SCRIPTS} SELECT p_partkey, 0 AS r, CASE WHEN i = 1 THEN 'x,g,y,z' ELSE 'x,z' END AS defs, 'a,rest,c' AS uses FROM s UNION ALL SELECT p_partkey, 1, 'x', 'mod' FROM s
+UNION ALL SELECT p_partkey, 2, 'z', 'rest,c,x' FROM s""")
 def names_in_ranges(spark, d):
-    found = code.names_in_ranges(_scripts(spark, d).select("p_partkey", "js", F.lit(2).alias("first"), F.lit(2).alias("last")), ["p_partkey"], "js")
-    return found.select("p_partkey", F.concat(F.lit("a,b,"), F.array_join(F.array_sort("def"), ",")).alias("defs"), F.array_join(F.array_sort("use"), ",").alias("uses"))
+    """The inner lines of the first function; the last line, whose x is another one; and the first function's return alone."""
+    s = _scripts(spark, d)
+    last = F.col("i") + 3 * F.col("j") + 5
+    range_ = lambda r, a, b: F.struct(F.lit(r).alias("r"), a.cast("int").alias("first"), b.cast("int").alias("last"))
+    inner = F.col("i") + 3
+    asked = s.select("p_partkey", F.inline(F.array(range_(0, F.lit(2), inner), range_(1, last, last), range_(2, inner, inner))))
+    found = syntax.names_in_ranges(asked, syntax.names(syntax.syntax(s, ["p_partkey"], "js"), ["p_partkey"]), ["p_partkey"], ["r"])
+    return found.select("p_partkey", "r", F.array_join("def", ",").alias("defs"), F.array_join("use", ",").alias("uses"))
 
 
 @query("SELECT a.p_partkey, 'f' AS old_name, 'f' AS new_name, a.p_size <> b.p_size AS changed, false AS params_changed FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -307,7 +328,7 @@ def name_history(spark, d):
     return found.select("user_id", F.array_join("paths", ",").alias("paths"))
 
 
-@query("SELECT p_partkey, 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS start_line, CASE WHEN p_partkey % 2 = 0 THEN 4 END AS end_line FROM part")
+@query("SELECT p_partkey, 'f' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS start_line, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END END AS end_line FROM part")
 def function_by_name(spark, d):
     s = _scripts(spark, d)
     found = code.functions(s.where("p_partkey % 2 = 0"), ["p_partkey"], "js")

@@ -49,8 +49,8 @@ def walked_history(start: DataFrame, blame: DataFrame, lines: DataFrame, mapped:
     start: keys, commit_id, line_no. blame: keys, commit_id, line_no, origin_commit. lines: diff lines of keys, commit_id and
     origin_commit, which carry a line over to the commit it comes from. mapped: keys, commit_id, line_no, new_no: where a changed
     line stood in the first parent (see ``mapped_lines``). A line's walk ends where blame has no commit or the line's own one, where
-    the line is new, and at commits of ``newest_known`` (keys, commit_id), which are older than what is asked for. Each commit and line is
-    followed once, so walks end.
+    the line is new, and behind commits of ``newest_known`` (keys, commit_id), which are older than what is asked for: the first of them is
+    still told, as it is what a lookup of the nearest earlier commit needs. Each commit and line is followed once, so walks end.
     """
     parents = graphs.first_parents(edges).select(*keys, F.col("commit_id"), "parent_id")
     pairs = [*keys, "commit_id", "origin_commit"]
@@ -58,12 +58,11 @@ def walked_history(start: DataFrame, blame: DataFrame, lines: DataFrame, mapped:
     followed, found, depth = edge, None, 0
     while not edge.isEmpty():
         named = edge.join(blame, [*keys, "commit_id", "line_no"]).where("origin_commit <> commit_id")
-        if newest_known is not None:
-            named = named.join(newest_known.select(*keys, F.col("commit_id").alias("origin_commit")), [*keys, "origin_commit"], "left_anti")
         moved = diffs.transport(named.withColumn("ord", F.lit(0)), lines, pairs)
         at = moved.select(*keys, F.col("origin_commit").alias("commit_id"), F.col("new_no").alias("line_no"), F.lit(depth).alias("depth")).distinct()
         found = graphs._cut(at if found is None else found.unionByName(at.join(found, [*keys, "commit_id", "line_no"], "left_anti")))
-        before = at.join(mapped, [*keys, "commit_id", "line_no"]).where("new_no > 0").join(parents, [*keys, "commit_id"])
+        further = at if newest_known is None else at.join(newest_known.select(*keys, "commit_id"), [*keys, "commit_id"], "left_anti")
+        before = further.join(mapped, [*keys, "commit_id", "line_no"]).where("new_no > 0").join(parents, [*keys, "commit_id"])
         edge = graphs._cut(before.select(*keys, F.col("parent_id").alias("commit_id"), F.col("new_no").alias("line_no")).distinct().join(followed, [*keys, "commit_id", "line_no"], "left_anti"))
         followed = graphs._cut(followed.unionByName(edge))
         depth += 1

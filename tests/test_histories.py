@@ -58,8 +58,15 @@ def test_walked_history_ends(spark):
     edges = spark.createDataFrame([("r", "b", "p", 0), ("r", "a", "o", 0), ("r", "o", None, 0)], "repo string, commit_id string, parent_id string, parent_idx int")
     got = {(x.commit_id, x.line_no, x.depth) for x in studies.walked_history(start, blame, lines, mapped, edges, ["repo"]).collect()}
     assert got == {("b", 4, 0), ("a", 2, 1)}
-    older = spark.createDataFrame([("r", "a")], "repo string, commit_id string")
-    assert {x.commit_id for x in studies.walked_history(start, blame, lines, mapped, edges, ["repo"], older).collect()} == {"b"}
+    older = lambda *ids: spark.createDataFrame([("r", c) for c in ids], "repo string, commit_id string")
+    walk = lambda *ids: {x.commit_id for x in studies.walked_history(start, blame, lines, mapped, edges, ["repo"], older(*ids)).collect()}
+    assert walk("a") == {"b", "a"} and walk("a", "b") == {"b"}
+    # Where the lines were last known before the version asked for: the first commit older than it.
+    chain = studies.walked_history(start, blame, lines, mapped, edges, ["repo"], older("a")).groupBy("repo", "commit_id").agg(F.collect_list("line_no").alias("lines"))
+    chain = chain.join(spark.createDataFrame([("a", 1), ("p", 2), ("b", 3)], "commit_id string, rank int"), "commit_id")
+    none = lines.drop("commit_id", "origin_commit").withColumn("from_commit", F.lit("other"))
+    found = studies.localized(spark.createDataFrame([("r", 2)], "repo string, rank int"), chain, none, ["repo"])
+    assert [(x.repo, x.lines) for x in found.collect()] == [("r", [2])]
 
 
 def test_nearest_vectors_in_blocks(spark):
@@ -73,3 +80,22 @@ def test_nearest_vectors_in_blocks(spark):
     for q in range(0, 60, 10):
         want = sorted(((round(sum(a * b for a, b in zip(rows[q][1], v, strict=True)) / (size(rows[q][1]) * size(v)), 6), i) for i, v in rows[:60] if i != q), key=lambda x: (-x[0], x[1]))[:4]
         assert sorted(got[q], key=lambda x: (-x[0], x[1])) == want
+
+
+def test_true_then_false_over_many_ranges(spark):
+    from stratadiff.operators import results
+
+    rows = spark.range(300_000).select(F.col("id"), (F.col("id") % 3 == 0).alias("flag"), F.concat(F.lit("k"), F.hex(F.xxhash64("id"))).alias("key"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for size, parts in (("64m", "4"), ("200k", "60")):
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = results.true_then_false(rows, "flag", "key")
+            n = got.agg(F.count("*").alias("n"), F.count_distinct("place").alias("p"), F.min("place").alias("a"), F.max("place").alias("b"), F.count_if(F.col("flag") != (F.col("place") <= 100_000)).alias("wrong")).first()
+            assert tuple(n) == (300_000, 300_000, 1, 300_000, 0)
+            want = [r.id for r in rows.where("NOT flag").orderBy("key").limit(3).collect()]
+            assert [r.id for r in got.where("place BETWEEN 100001 AND 100003").orderBy("place").collect()] == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
