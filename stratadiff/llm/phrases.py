@@ -35,7 +35,9 @@ from .words import _BYTES, M2, M3, Runs, mix, raw, slices
 
 MOST_WORDS, LEAST, TOP = 5, 100, 2000
 #: Keys that mappers hold at a time, keys of a part of the hash (built by one task), buckets of a range (summed at a time), slots of a block.
-KEYS, PART, RANGE_BITS, BLOCK = 1 << 20, 1 << 14, 20, 1 << 13
+KEYS, PART, RANGE_BITS, BLOCK = 1 << 20, 1 << 14, 18, 1 << 13
+#: Tasks that ranges are dealt to at most; each has few ranges, so what it is handed at once stays small.
+DEALT = 1 << 13
 #: Keys that a task gathers before it counts them or tells them apart.
 AT_ONCE = 1 << 21
 
@@ -331,7 +333,7 @@ class Miner:
         """Frequent phrases (slot, p, s, a) of one word more than the slots in ``rows``, of which there are ``many`` at most."""
         context, source, least = self.spark.sparkContext, keys_of_slots, self.least
         bits = min(40, max(16, (many // 8).bit_length()))
-        ranges = rows.mapInArrow(lambda b: _buckets(b, source, bits), "range long, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
+        ranges = rows.mapInArrow(lambda b: _buckets(b, source, bits), "range long, keys binary, counts binary").repartition(min(DEALT, 1 << max(0, bits - RANGE_BITS)), "range").sortWithinPartitions("range")
         keys = self.kept(ranges.mapInArrow(lambda b: _candidates(b, bits, least), "key long"))
         groups, frequent, marked = self.hashed(keys), None, []
         level = Level(groups, context)
