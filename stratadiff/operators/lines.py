@@ -77,16 +77,16 @@ def place_of_block(lines: DataFrame, block: DataFrame, keys: list[str]) -> DataF
 
 
 def exact_matches(lines: DataFrame, candidates: DataFrame, keys: list[str], first: Column, last: Column, least: float = 0.95) -> DataFrame:
-    """Numbers of file lines in a range that are nearly a candidate line, once for each candidate, in order."""
-    from .similarity import ratio_join
+    """Numbers of file lines in a range that are nearly a candidate line, once for each candidate."""
+    from .likeness import ratio_join
 
     near = lines.where(F.col("line_no").between(first, last))
-    return ratio_join(near, candidates, keys, "value", least).select(*(F.col(f"l_{k}").alias(k) for k in keys), F.col("l_line_no").alias("line_no")).orderBy(*keys, "line_no")
+    return ratio_join(near, candidates, keys, "value", least).select(*(F.col(f"l_{k}").alias(k) for k in keys), F.col("l_line_no").alias("line_no"))
 
 
 def renamed_lines(removed: DataFrame, target: DataFrame, keys: list[str], files: DataFrame, least: float = 0.9) -> DataFrame:
     """Removed lines that stand in another file of the commit, nearly the same; only where it has two script files or more."""
-    from .similarity import ratio_join
+    from .likeness import ratio_join
 
     several = files.where(F.endswith("path", F.lit(".js"))).groupBy(*keys).agg(F.count_distinct("path").alias("n")).where("n >= 2").select(*keys)
     return ratio_join(removed.join(several, keys, "left_semi"), target, keys, "value", least, strict=False)

@@ -173,16 +173,6 @@ def _bounded(a: Column, b: Column, least: float) -> Column:
     return out
 
 
-def ratio_join(left: DataFrame, right: DataFrame, keys: list[str], text: str, least: float, strict: bool = True) -> DataFrame:
-    """As edit_join, by sequence_ratio: twice the shorter over both lengths bounds it, so most pairs never reach Python."""
-    a = left.select([F.col(c).alias(f"l_{c}") for c in left.columns])
-    b = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
-    la, lb = F.char_length(f"l_{text}"), F.char_length(f"r_{text}")
-    joined = a.join(b, [*(a[f"l_{k}"].eqNullSafe(b[f"r_{k}"]) for k in keys), 2 * F.least(la, lb) >= least * (la + lb)])
-    rated = joined.withColumn("similarity", sequence_ratio(F.col(f"l_{text}"), F.col(f"r_{text}")))
-    return rated.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
-
-
 def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 64, digits: int = 6) -> DataFrame:
     """q, key, s: for each query vector the ``k`` rows of greatest cosine, ties by key, itself left out.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratadiff.functions import sets
 from stratadiff.functions import text as T
-from stratadiff.operators import edits, graphs, lines, results, similarity
+from stratadiff.operators import edits, graphs, likeness, lines, results, similarity
 from stratadiff.plans import studies
 from stratadiff.plans.registry import query
 from stratadiff.sources.readers import table
@@ -256,10 +256,21 @@ def _long(spark, d, unit="x"):
 @query(f"SELECT a.p_partkey AS l_partkey, b.p_partkey AS r_partkey, round({_LIKE}, 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey % 5 = 0 AND b.p_partkey % 5 = 1 WHERE {_LIKE} > 0.95")
 def sequence_join(spark, d):
     p = _long(spark, d)
-    out = similarity.ratio_join(p.where("p_partkey % 5 = 0"), p.where("p_partkey % 5 = 1"), ["p_brand"], "value", 0.95)
+    out = likeness.ratio_join(p.where("p_partkey % 5 = 0"), p.where("p_partkey % 5 = 1"), ["p_brand"], "value", 0.95)
     return out.select(F.col("l_p_partkey").alias("l_partkey"), F.col("r_p_partkey").alias("r_partkey"), F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def alike_lines(spark, d):
+    """For each line of the documents whose id is divisible by 100: how many other lines of its language are nearly the same, or quite, and
+    the greatest similarity. Matching blocks are beyond SQL."""
+    docs = table(spark, d, "documents")
+    every = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
+    out = likeness.ratio_join(every.where("doc_id % 100 = 0"), every, ["lang"], "value", 0.9, strict=False)
+    other = out.where("l_doc_id <> r_doc_id OR l_line_no <> r_line_no")
+    return other.groupBy(F.col("l_doc_id").alias("doc_id"), F.col("l_line_no").alias("line_no")).agg(F.count("*").alias("others"), F.round(F.max("similarity"), 6).alias("best"))
+
+
 @query(f"SELECT a.p_partkey AS l_partkey, b.p_partkey AS r_partkey FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey % 5 = 0 AND b.p_partkey % 5 = 1 WHERE {_LIKE} >= 0.9 AND a.p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 3 = 0 GROUP BY 1 HAVING count(*) >= 2)")
 def renamed_lines(spark, d):
     p = _long(spark, d)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratadiff.operators import code, diffs, edits, graphs, results, similarity
+from stratadiff.operators import code, diffs, edits, graphs, likeness, results, similarity
 
 PATCH = """diff --git a/lib/a.js b/lib/a.js
 --- a/lib/a.js
@@ -87,7 +87,7 @@ def test_similarity_joins(spark):
     left = spark.createDataFrame([(1, "return value;"), (2, "zzz")], "id int, t string")
     right = spark.createDataFrame([(5, "return values;"), (6, "return"), (7, "zzz")], "id int, t string")
     assert sorted((r.l_id, r.r_id) for r in similarity.edit_join(left, right, [], "t", 0.9).collect()) == [(1, 5), (2, 7)]
-    assert sorted((r.l_id, r.r_id) for r in similarity.ratio_join(left, right.withColumn("k", F.lit(1)), [], "t", 0.95).collect()) == [(1, 5), (2, 7)]
+    assert sorted((r.l_id, r.r_id) for r in likeness.ratio_join(left, right.withColumn("k", F.lit(1)), [], "t", 0.95).collect()) == [(1, 5), (2, 7)]
     best = similarity.best_match(spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.9), ("a", 3, 0.9)], "k string, n int, s double"), ["k"], "s", ["n"])
     assert best.first().n == 2
     pairs = spark.createDataFrame([("m", 0, 0, 0.97, False), ("n", 0, 0, 0.6, True), ("n", 0, 1, 0.1, True), ("o", 0, 0, 0.6, False)], "k string, a_hunk int, b_hunk int, similarity double, message boolean")
