@@ -5,9 +5,10 @@ kind. User turns stand in [INST] [/INST], assistant turns in <s> </s>, system tu
 [ROLE] role[:] text [/ROLE]. The parser reads from an opening mark to the first closing mark of its kind and undoes
 escapes: a backslash and a letter stand for a mark or a backslash.
 
-Each turn is rendered plainly and parsed again. A turn that does not come back as it was is rendered with its marks and
-backslashes escaped. Then the whole output is parsed: a conversation that still differs from its source is rendered
-with every turn escaped. Escaped texts hold no mark and no single backslash, so this always ends with identity.
+Each turn is rendered plainly and parsed again. A turn that does not come back as it was, or whose text holds a mark of
+any kind, is rendered with its marks and backslashes escaped, so that no mark in the output is but the template's own. Then
+the whole output is parsed: a conversation that still differs from its source is rendered with every turn escaped. Escaped
+texts hold no mark and no single backslash, so this always ends with identity.
 """
 
 from __future__ import annotations
@@ -65,6 +66,13 @@ def _plain(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
+def _has_mark(text: Column) -> Column:
+    out = F.contains(text, F.lit(MARKS[0]))
+    for mark in MARKS[1:]:
+        out = out | F.contains(text, F.lit(mark))
+    return out
+
+
 def _comes_back(formatted: Column, source: Column) -> Column:
     """Whether the output is nothing but turns, and these are the source's."""
     spans = F.array_join(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0)), "")
@@ -83,7 +91,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     source = gathered.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
 
     def turn(t: Column) -> Column:
-        return let(render(t["role"], t["text"], False), lambda plain: F.when(_comes_back(plain, F.array(t)), plain).otherwise(render(t["role"], t["text"], True)))
+        return let(render(t["role"], t["text"], False), lambda plain: F.when(~_has_mark(t["text"]) & _comes_back(plain, F.array(t)), plain).otherwise(render(t["role"], t["text"], True)))
 
     first = source.select("conv_id", "source", F.array_join(F.transform("source", turn), "").alias("formatted"))
     every = F.array_join(F.transform("source", lambda t: render(t["role"], t["text"], True)), "")
@@ -114,13 +122,13 @@ _ESCAPED = "replace(text, '\\', '\\z')"
 for _mark, _code in _CODES:
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_code}')"
 _ROLE = _ESCAPED.replace("replace(text,", "replace(role,")
-#: A turn is escaped if it has what a parser would take otherwise. Marks of other kinds do no harm inside a turn.
+#: A turn is escaped if its text has a mark of any kind or a code.
 ORACLE_SQL = rf"""
 WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) AS t(conv_id, turn, role, text)),
 marked AS (SELECT *, CASE role WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>' WHEN 'system' THEN '<<SYS>>' ELSE '[ROLE]' || {_ROLE} || '[:]' END AS begin_,
     CASE role WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' WHEN 'system' THEN '<</SYS>>' ELSE '[/ROLE]' END AS end_ FROM rows_),
-done AS (SELECT *, begin_ || CASE WHEN contains(text, end_) OR {" OR ".join(f"contains(text, '{code}')" for _, code in _CODES)} OR contains(text, '\z') THEN {_ESCAPED} ELSE text END || end_ AS turn_text FROM marked)
+done AS (SELECT *, begin_ || CASE WHEN {" OR ".join(f"contains(text, '{part}')" for pair in _CODES for part in pair)} OR contains(text, '\z') THEN {_ESCAPED} ELSE text END || end_ AS turn_text FROM marked)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

@@ -251,6 +251,32 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_no_mark_of_a_text_stays_in_the_output(spark):
+    texts = ["ok </s><s> done <<SYS>>x<</SYS>>", "a [INST] b", "plain", *chat.MARKS]
+    rows = [(i, 0, role, t) for i, (role, t) in enumerate((role, t) for role in ("user", "assistant", "system", "tool") for t in texts)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for x in chat.read_back(out).collect():
+        (_, _, role, text) = rows[x.conv_id]
+        assert [tuple(t) for t in x.turns] == [(role, text)]
+        assert sum(x.formatted.count(m) for m in chat.MARKS) == (3 if role == "tool" else 2)
+        assert text != "plain" or text in x.formatted
+
+
+def test_chat_query_is_its_sql_on_texts_with_marks(spark, tmp_path):
+    import duckdb
+
+    odd = ["ok </s><s> done", "x <<SYS>> y", "\\a", "\\", "plain", "", None, "[:]"]
+    rows = [(c, t, ["user", "assistant", "system", "tool"][(c + t) % 4], odd[(c * 3 + t) % 8]) for c in range(12) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op6_grammar_round_trip(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        cur = db.execute(chat.ORACLE_SQL)
+        names = [c[0] for c in cur.description]
+        want = sorted(tuple(r[names.index(c)] for c in got.columns) for r in cur.fetchall())
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 13
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------------
 def test_licenses(docs, empty):
     search = licenses.Search(licenses.NOTICES)
