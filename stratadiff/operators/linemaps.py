@@ -57,16 +57,23 @@ def _if(rule: Column, row: Column) -> Column:
     return F.inline(F.when(rule, F.array(row)))
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows, written, and all columns made anew from them, so that the next round's plan knows nothing of what this round's filters, joins
+    and sums said of its columns (see ``_if``)."""
+    written = _cut(rows)
+    return written.select(F.inline(F.array(F.struct(*written.columns))))
+
+
 def jumps(maps: DataFrame, keys: list[str], steps: int) -> list[DataFrame]:
     """Of chains of maps (keys, step: 0, 1, ... without gaps, first, last, shift) the compositions of 1, 2, 4, ... steps in a row, up to ``steps``
     steps, that begin at a multiple of their number of steps. So however many ranges a composition has, each round has no more rows than
     there are ranges in all maps."""
-    out = [_cut(maps.select(*keys, "step", "first", "last", "shift"))]
+    out = [_written(maps.select(*keys, "step", "first", "last", "shift"))]
     size = 1
     while 2 * size <= steps:
         near, far = out[-1].where(F.col("step") % (2 * size) == 0), out[-1].withColumnRenamed("step", "far")
         doubled = composed(near.withColumn("far", F.col("step") + size), far, [*keys, "far"]).drop("far")
-        out.append(_cut(doubled.select(*keys, "step", "first", "last", "shift")))
+        out.append(_written(doubled.select(*keys, "step", "first", "last", "shift")))
         size *= 2
     return out
 
@@ -79,7 +86,7 @@ def carried(lines: DataFrame, maps: DataFrame, keys: list[str], start: str = "st
     two joins for each binary digit of n.
     """
     left = F.greatest(F.col(upto) - F.col(start), F.lit(0))
-    rows = _cut(lines.withColumn("__at", F.col(start)).withColumn("__left", left).withColumn("new_no", F.col("line_no")))
+    rows = _written(lines.withColumn("__at", F.col(start)).withColumn("__left", left).withColumn("new_no", F.col("line_no")))
     most = rows.agg(F.max("__left")).first()[0] or 0
     every = jumps(maps, keys, most) if most else []
     columns = rows.columns
@@ -91,7 +98,7 @@ def carried(lines: DataFrame, maps: DataFrame, keys: list[str], start: str = "st
         same = [c for c in columns if c not in ("new_no", "__at", "__left")]
         moved = rows.where(take).join(jump, [*keys, "__at"]).select(*same, _if(inside, went))
         stay = rows.select(*same, _if(~take, F.struct("new_no", "__at", "__left")))
-        return _cut(moved.unionByName(stay))
+        return _written(moved.unionByName(stay))
 
     for i in range(len(every)):
         rows = taken(rows, i, (F.col("__left") >= (1 << i)) & (F.col("__at") % (1 << i + 1) != 0))

@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratadiff.operators import diffs, linemaps
@@ -63,9 +64,9 @@ def test_one_map_is_transport(spark):
     assert one == two
 
 
-def test_hundreds_of_commits(spark):
+@pytest.mark.parametrize("n", [300, 10_000])
+def test_thousands_of_commits(spark, n):
     """Step s puts a line in before line s % 100 + 1, and each tenth step removes line 500 too."""
-    n = 300
     rows = []
     for s in range(n):
         at = s % 100 + 1
