@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratadiff.operators import code, edits, graphs, similarity, syntax
-from stratadiff.plans import studies
-from stratadiff.plans.registry import DIFFS, LINES, document_diffs, document_lines, query
+from stratadiff.plans import studies, walks
+from stratadiff.plans.registry import DIFFS, FULL, LINES, document_diffs, document_lines, query
 from stratadiff.sources.readers import table
 
 # A history of customers: the first parent is half of the id, and each third id has the next lower id as a second parent.
@@ -166,6 +166,44 @@ def walked_history(spark, d):
     return studies.walked_history(at("c", of.where("line_no % 3 = 0")), blame, none, mapped, edges, ["doc_id"]).select("doc_id", "commit_id", "line_no", "depth")
 
 
+_KIND = "CASE WHEN g % 4 < 2 THEN 'add' ELSE 'remove' END"
+
+
+@query(f"""WITH {DIFFS},
+y AS (SELECT *, n // 9 AS g, min(CASE WHEN k >= 0 AND k NOT IN (3, 5) THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS kept,
+    max(n) OVER (PARTITION BY doc_id) AS last_no, last_value({FULL.format("v")}) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_full FROM x),
+context AS (SELECT *, n + b AS t FROM y WHERE k >= 0 AND k NOT IN (3, 5)),
+added AS (SELECT *, CASE k WHEN 5 THEN n + b ELSE n + b + 1 END AS t, k = 5 AND n % 2 = 0 AS m, CASE WHEN n + 1 > last_no OR (n + 1 = last_no AND NOT last_full) THEN -1 ELSE n + 1 END AS place FROM y WHERE k IN (5, 7)),
+rated AS (SELECT *, bool_or(m) OVER (PARTITION BY doc_id, g) AS any_m, row_number() OVER (PARTITION BY doc_id, g ORDER BY t DESC) AS r FROM added),
+at_a AS (SELECT doc_id, path, 2 * g AS walk, n AS line_no, {_KIND} AS kind FROM context UNION ALL SELECT doc_id, path, 2 * g + 1, n, {_KIND} FROM rated WHERE m
+    UNION ALL SELECT doc_id, path, 2 * g + 1, CASE WHEN g % 4 < 2 THEN place ELSE kept END, 'add' FROM rated WHERE NOT any_m AND r = 1 AND (g % 4 < 2 OR kept IS NOT NULL)),
+whole AS (SELECT *, bool_and(line_no // 9 % 2 = 0) OVER (PARTITION BY doc_id, walk) AS z FROM at_a)
+SELECT doc_id, walk, path, 'b' AS commit_id, t AS line_no, kind, 0 AS depth FROM (SELECT doc_id, path, 2 * g AS walk, t, {_KIND} AS kind FROM context UNION ALL SELECT doc_id, path, 2 * g + 1, t, {_KIND} FROM added)
+UNION ALL SELECT doc_id, walk, path, CASE WHEN line_no = -1 THEN 'a' ELSE 'z' END, line_no, kind, 1 FROM whole WHERE line_no = -1 OR z""")
+def walked_chunks(spark, d):
+    """A document is a file in commit a; b applies its patch, c takes it back, d leaves the file as b made it. Nine lines of a are a group: in
+    c a walk starts at those that b kept, in d at those that it added, of which every second new one was said to mean the old one."""
+    every, rows = document_diffs(spark, d), document_lines(spark, d)
+    at = lambda c, rows: rows.withColumn("commit_id", F.lit(c))
+    changes = at("b", every)
+    group = lambda n: F.floor(F.col(n) / 9).cast("int")
+    start = every.where("line_type = ' '").select("doc_id", "path", F.lit("c").alias("commit_id"), F.col("src_no").alias("line_no"), group("src_no").alias("g"), F.lit(0).alias("odd"))
+    # A line is added behind the old one that the patch names before it.
+    above = F.max("src_no").over(W.partitionBy("doc_id", "hunk_idx").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    added = every.withColumn("above", above).where("line_type = '+'").select("doc_id", "path", F.lit("d").alias("commit_id"), F.col("tgt_no").alias("line_no"), "above", (F.col("above") % 9 == 5).alias("new"))
+    start = start.unionByName(added.select("doc_id", "path", "commit_id", "line_no", group("above").alias("g"), F.lit(1).alias("odd")))
+    starts = start.select("doc_id", (2 * F.col("g") + F.col("odd")).alias("walk"), "path", "commit_id", "line_no", F.when(F.col("g") % 4 < 2, "add").otherwise("remove").alias("kind"))
+    known = added.where("new AND above % 2 = 0").select("doc_id", "path", F.lit("b").alias("commit_id"), "line_no", F.lit(walks.MEANT).alias("by"), F.col("path").alias("to_path"), F.col("above").alias("new_no"))
+    numbers = rows.select("doc_id", "path", "line_no")
+    named = start.select("doc_id", "path", "commit_id", "line_no", F.lit("b").alias("origin_commit"))
+    blame = named.unionByName(at("a", numbers).withColumn("origin_commit", F.when(F.floor(F.col("line_no") / 9) % 2 == 0, "z").otherwise("a")))
+    docs = rows.select("doc_id").distinct()
+    ranked = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(c).alias("commit_id"), F.lit(i).alias("rank")) for i, c in enumerate("zabcd")))))
+    edges = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(c).alias("commit_id"), F.lit(p).cast("string").alias("parent_id"), F.lit(0).alias("parent_idx")) for c, p in (("b", "a"), ("a", "z"), ("z", None))))))
+    between = at("c", every).withColumn("origin_commit", F.lit("b"))
+    return walks.walked_chunks(starts, blame, ranked, between, changes, known, at("b", rows), edges, ["doc_id"])
+
+
 @query("SELECT c_custkey AS a, c_custkey % 7 AS line_no, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS steps FROM customer")
 def walk_back(spark, d):
     c = table(spark, d, "customer")
