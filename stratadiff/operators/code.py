@@ -1,5 +1,5 @@
 """Functions of source texts and what changed in them. Scripts go through their syntax tree (``syntax``); C has a scanner that knows strings
-and comments but no grammar: ranges come from balanced braces. Rows are scanned where they are (mapInPandas)."""
+and comments but no grammar: ranges come from balanced braces. Files are dealt by key and scanned there (mapInPandas)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratadiff.operators import syntax
+from stratadiff.operators.graphs import _dealt
 
 _ID = r"[A-Za-z_$][\w$]*"
 
@@ -96,13 +97,14 @@ def functions(files: DataFrame, keys: list[str], text: str, language: str = "js"
             rows = [(*key, *(f[n] for n in names)) for *key, code in batch[[*keys, text]].itertuples(index=False) for f in c_functions(code or "")]
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
-    return files.select(*keys, text).mapInPandas(run, f"{kinds}, {FUNCTIONS}")
+    return _dealt(files.select(*keys, text), *keys).mapInPandas(run, f"{kinds}, {FUNCTIONS}")
 
 
 def function_by_name(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """The first function (least start_line) of each asked name (keys, name) in another version: start_line, end_line, body; null without one."""
     first = found.groupBy(*keys, "name").agg(F.min(F.struct("start_line", "end_line", "body")).alias("x"))
-    return asked.select(*keys, "name").distinct().join(first, [*keys, "name"], "left").select(*keys, "name", "x.start_line", "x.end_line", "x.body")
+    # Tables of functions come from much smaller files, so no estimate of their size is to be trusted: they aren't broadcast.
+    return asked.select(*keys, "name").distinct().join(first.hint("merge"), [*keys, "name"], "left").select(*keys, "name", "x.start_line", "x.end_line", "x.body")
 
 
 def matched_functions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
