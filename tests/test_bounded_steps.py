@@ -1,9 +1,12 @@
 """Steps that hold a bounded part of their input at a time."""
 
+import math
+import random
+
 import pandas as pd
 from pyspark.sql import types as T
 
-from stratadiff.operators import diffs
+from stratadiff.operators import diffs, similarity
 
 
 class _Patches:
@@ -34,3 +37,28 @@ def test_lines_of_patches_are_handed_on_in_parts():
         assert sum(map(len, parts)) == (60_000 if name == "value" else 30_000) and max(map(len, parts)) <= 10_000
         assert pd.concat(p for p in parts if len(p)).groupby("id").hunk_idx.nunique().tolist() == [3_000] * 10
         assert max(p[name].str.len().sum() for p in work(wide, "id") if len(p)) < 8_000_000
+
+
+def test_nearest_vectors_by_products_of_blocks(spark):
+    """No pair is a row, nothing is broadcast; copies, ties, nulls, other dimensions and vectors of length 0 as ever."""
+    r = random.Random(5)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(70)]
+    rows += [(70, None), (71, [1.0, None, 2.0]), (72, [0.0] * 3), (73, [1.0, 2.0]), (74, [2.0, 1.0]), (None, [1.0, 0.0, 0.0])] + [(75 + i, [1.0, 2.0, 0.5]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    out = similarity.nearest_vectors(df.where("id % 5 = 0 OR id = 72 OR id = 73"), df, "id", "v", 3, block=4, wide=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Broadcast" not in plan
+    got = {}
+    for x in out.collect():
+        got.setdefault(x.q, []).append((x.s, x.id))
+
+    def like(a, b):
+        if not a or not b or None in a or None in b or len(a) != len(b) or not any(a) or not any(b):
+            return None
+        return round(sum(p * q for p, q in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b)), 6)
+
+    order = lambda x: (x[0] is None, -(x[0] or 0.0), x[1])
+    for q, v in rows:
+        if q is not None and (q % 5 == 0 or q in (72, 73)):
+            assert sorted(got.pop(q), key=order) == sorted(((like(v, w), i) for i, w in rows if i is not None and i != q), key=order)[:3], q
+    assert not got
