@@ -82,3 +82,16 @@ def test_ancestors_are_counted_without_the_closure(spark, tmp_path, monkeypatch)
     depth = {i: i.bit_length() - 1 for i in range(1, 200)}
     assert {x.commit_id: x.ancestors for x in catalogue.topological_depth(spark, str(tmp_path)).collect()} == depth
     assert {x.c_custkey: x.ancestors for x in catalogue.closure_count(spark, str(tmp_path)).collect()} == {i: n for i, n in depth.items() if n}
+
+
+def test_components_pass_no_labels_through_the_driver(spark, monkeypatch):
+    plans, cut = [], graphs._cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graphs, "_cut", seen)
+    edges = spark.range(1, 40).selectExpr("id AS a", "id + IF(id % 10 = 0, 0, 1) AS b")
+    assert {x.v: x.c for x in graphs.components(edges).collect()} == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 41)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
