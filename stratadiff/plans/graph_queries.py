@@ -183,7 +183,8 @@ UNION ALL SELECT doc_id, walk, path, CASE WHEN line_no = -1 THEN 'a' ELSE 'z' EN
 def walked_chunks(spark, d):
     """A document is a file in commit a; b applies its patch, c takes it back, d leaves the file as b made it. Nine lines of a are a group: in
     c a walk starts at those that b kept, in d at those that it added, of which every second new one was said to mean the old one."""
-    every, rows = document_diffs(spark, d), document_lines(spark, d)
+    # Patches are parsed once, not in each round. What is meant is known, so no text of a line is asked for.
+    every, rows = graphs._cut(document_diffs(spark, d).withColumn("value", F.lit(""))), document_lines(spark, d)
     at = lambda c, rows: rows.withColumn("commit_id", F.lit(c))
     changes = at("b", every)
     group = lambda n: F.floor(F.col(n) / 9).cast("int")

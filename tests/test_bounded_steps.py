@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import types as T
 
 from stratadiff.operators import diffs, edits, graphs, similarity
-from stratadiff.plans import catalogue
+from stratadiff.plans import catalogue, graph_queries
 
 
 class _Patches:
@@ -107,3 +107,17 @@ def test_long_reports_are_digested_in_rounds(spark):
     assert {r.k: r.report for r in edits.report_digests(df, "k", "i", ["t", "s"], "--").collect()} == want
     # Only the short report of c is put together in one row.
     assert sum(len(t.encode()) + 6 for k, _, t, _ in rows if k == "c") < 2_500 and "state" not in out.columns
+
+
+def test_walks_parse_patches_once(spark, tmp_path, monkeypatch):
+    plans, cut = [], graphs._cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graphs, "_cut", seen)
+    spark.createDataFrame([(i, "\n".join(f"line {n}" for n in range(10 * i))) for i in range(1, 4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = graph_queries.walked_chunks(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() > 20 and sum(p.count("MapInPandas") for p in plans) == 1
